@@ -1,0 +1,217 @@
+"""DuckDB SQL twins of the registered queries (the correctness oracle).
+
+Each string runs on the driver's pre-registered parquet views. The derived
+input views (panel, preds, predlog) are prepended as CTEs with the same
+definitions as ``tessera.sources.fixtures``. Column names equal the Spark
+query's; doubles that come from sums are rounded to 6 places on both sides.
+"""
+
+from __future__ import annotations
+
+from .. import config as C
+
+VIEWS = {
+    "panel": """
+SELECT user_id AS patient_id,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS hour,
+       event_id,
+       CASE WHEN event_type = 'view'     THEN 50e0   + value * 0.3e0  END AS hr,
+       CASE WHEN event_type = 'click'    THEN 35.5e0 + value * 0.02e0 END AS temp,
+       CASE WHEN event_type = 'error'    THEN 10e0   + value * 0.1e0  END AS resp,
+       CASE WHEN event_type = 'signup'   THEN 3e0    + value * 0.05e0 END AS wbc,
+       CASE WHEN event_type = 'purchase' THEN 0.5e0  + value * 0.01e0 END AS lactate,
+       CASE WHEN value > 100e0 THEN 1 ELSE 0 END AS label
+FROM events""",
+    "panel_short": "SELECT * FROM panel WHERE panel.hour < patient_id % 9 + 1",
+    "preds": """
+SELECT event_id AS row_id,
+       CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y,
+       least(value / 200e0, 1e0) * 0.7e0
+         + 0.3e0 * (CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS m0,
+       (event_id % 101) / 100e0                  AS m1,
+       ((event_id * 7) % 97) / 96e0              AS m2,
+       ((event_id * 13 + user_id) % 89) / 88e0   AS m3,
+       (user_id % 53) / 52e0                     AS m4,
+       ((event_id * 31) % 1009) / 1008e0         AS m5
+FROM events""",
+    "predlog": """
+SELECT ts, event_id AS id, (event_id % 101) / 100e0 AS prediction,
+       1e0 - (user_id % 53) / 104e0 AS confidence, value AS processing_time_ms
+FROM events""",
+}
+
+VIEW_DEPS = {"panel_short": ["panel"]}
+
+MEASURES = ["hr", "temp", "resp", "wbc", "lactate"]
+MODELS = ["m0", "m1", "m2", "m3", "m4", "m5"]
+
+
+def with_views(body: str, *names: str, extra: list | None = None) -> str:
+    """Prefix ``body`` with the CTEs it needs (dependencies first)."""
+    order = []
+    for n in names:
+        for d in VIEW_DEPS.get(n, []):
+            if d not in order:
+                order.append(d)
+        if n not in order:
+            order.append(n)
+    ctes = [f"{n} AS ({VIEWS[n]})" for n in order] + (extra or [])
+    return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def f(x: float) -> str:
+    """A DOUBLE literal for both engines."""
+    return repr(float(x)) + "e0" if "e" not in repr(float(x)) else repr(float(x))
+
+
+# ------------------------------------------------------------------ panel
+
+W_PANEL = "PARTITION BY patient_id ORDER BY hour, event_id"
+RUN = f"({W_PANEL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+RUN_DESC = "(PARTITION BY patient_id ORDER BY hour DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def clip_sql(m: str) -> str:
+    lo, hi = {k.lower(): v for k, v in C.NORMAL_RANGES.items()}[m]
+    return f"CASE WHEN {m} IS NOT NULL THEN greatest({f(lo)}, least({m}, {f(hi)})) END"
+
+
+def score_sql() -> str:
+    terms = []
+    for m, lo, hi in C.DETERIORATION_RULES:
+        conds = []
+        if hi is not None:
+            conds.append(f"{m.lower()} > {f(hi)}")
+        if lo is not None:
+            conds.append(f"{m.lower()} < {f(lo)}")
+        terms.append(f"coalesce(CAST(({' OR '.join(conds)}) AS INT), 0)")
+    return "CAST(" + " + ".join(terms) + " AS INT)"
+
+
+def temporal_select(src: str = "panel", cols: list | None = None) -> str:
+    cols = cols or MEASURES
+    parts = []
+    for m in cols:
+        parts += [
+            f"{m} - lag({m}) OVER ({W_PANEL}) AS {m}_delta",
+            f"max({m}) OVER {RUN} AS {m}_rolling_max",
+            f"min({m}) OVER {RUN} AS {m}_rolling_min",
+            f"CASE WHEN row_number() OVER ({W_PANEL}) >= 3 THEN "
+            f"CASE WHEN lag({m}) OVER ({W_PANEL}) IS NOT NULL THEN ({m} - lag({m}, 2) OVER ({W_PANEL})) / 2e0 END "
+            f"WHEN row_number() OVER ({W_PANEL}) = 2 THEN {m} - lag({m}) OVER ({W_PANEL}) END AS {m}_trend",
+        ]
+    return f"SELECT *, {', '.join(parts)}, {score_sql()} AS vital_deterioration_score FROM {src}"
+
+
+def locf_select(src: str = "panel", cols: list | None = None) -> str:
+    cols = cols or MEASURES
+    rest = ", ".join(
+        f"coalesce(last({m} IGNORE NULLS) OVER {RUN}, last({m} IGNORE NULLS) OVER {RUN_DESC}) AS {m}"
+        for m in cols)
+    return f"SELECT patient_id, hour, event_id, label, {rest} FROM {src}"
+
+
+def SQL() -> dict:
+    q = {}
+    q["panel_clip"] = with_views(
+        "SELECT patient_id, hour, event_id, " + ", ".join(
+            f"{clip_sql(m)} AS {m}" for m in ["hr", "temp", "resp", "wbc", "lactate"]) +
+        " FROM panel", "panel")
+    q["deterioration_score"] = with_views(
+        f"SELECT patient_id, hour, {score_sql()} AS vital_deterioration_score FROM panel", "panel")
+    q["locf_fill"] = with_views(locf_select(), "panel")
+    med = ", ".join(f"coalesce({m}, (SELECT median({m}) FROM filled)) AS {m}" for m in MEASURES)
+    q["load_imputation"] = with_views(
+        f"SELECT patient_id, hour, event_id, label, {med} FROM filled", "panel",
+        extra=[f"filled AS ({locf_select()})"])
+    q["temporal_features"] = with_views(temporal_select(), "panel")
+    q["temporal_features_segmented"] = q["temporal_features"]
+    q.update(window_sqls())
+    return q
+
+
+# ---------------------------------------------------------------- windows
+
+def _last_rows_sql(src: str, cols: list, n: int = 6) -> str:
+    sel = ", ".join(cols)
+    zeros = ", ".join(f"0e0 AS {c}" for c in cols)
+    return f"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY hour DESC, event_id DESC) AS rd FROM {src}),
+lastr AS (SELECT patient_id, CAST({n} - rd AS INT) AS step, {sel}, false AS is_pad FROM ranked WHERE rd <= {n}),
+firsts AS (SELECT patient_id, min(step) AS f FROM lastr GROUP BY patient_id),
+pads AS (SELECT patient_id, CAST(s AS INT) AS step, {zeros}, true AS is_pad
+         FROM firsts, range(0, {n}) t(s) WHERE s < f),
+win AS (SELECT * FROM lastr UNION ALL SELECT * FROM pads)"""
+
+
+def derived_names(ms=None) -> list:
+    ms = ms or MEASURES
+    out = [f"{m}_{s}" for m in ms for s in ("delta", "rolling_max", "rolling_min", "trend")]
+    return out + ["vital_deterioration_score"]
+
+
+def prepare_windows_ctes() -> list:
+    """CTE chain of the D14 pipeline (after the panel view)."""
+    ms = MEASURES
+    vit = [m for m in ms if m in ("hr", "temp", "resp")]
+    labs = [m for m in ms if m not in vit]
+    lab_def = {k.lower(): v for k, v in C.LAB_DEFAULTS.items()}
+    feats = ms + derived_names()
+    med = ", ".join(f"coalesce({m}, (SELECT median({m}) FROM filled)) AS {m}" for m in ms)
+    clipped = ", ".join(f"{clip_sql(m)} AS {m}" if m in {k.lower() for k in C.NORMAL_RANGES} else m
+                        for m in ms)
+    # advanced imputation
+    dt = ", ".join(f"coalesce({c}, 0e0) AS {c}" for c in derived_names() if c.endswith(("_delta", "_trend")))
+    roll = [c for c in derived_names() if c.endswith(("_rolling_max", "_rolling_min"))]
+    vit_fill = ", ".join(
+        f"coalesce(last({m} IGNORE NULLS) OVER {RUN}, last({m} IGNORE NULLS) OVER {RUN_DESC}) AS {m}" for m in vit)
+    vit_med = ", ".join(f"coalesce({m}, (SELECT median({m}) FROM adv2)) AS {m}" for m in vit)
+    lab_fill = ", ".join(
+        f"coalesce({m}, {f(lab_def[m])}) AS {m}" if m in lab_def else
+        f"coalesce({m}, (SELECT median({m}) FROM adv2)) AS {m}" for m in labs)
+    roll_fill = ", ".join(
+        f"coalesce({c}, {c.replace('_rolling_max', '').replace('_rolling_min', '')}, 0e0) AS {c}" for c in roll)
+    keep = "patient_id, hour, event_id, label, vital_deterioration_score"
+    ctes = [
+        f"filled AS ({locf_select('panel')})",
+        f"imp AS (SELECT patient_id, hour, event_id, label, {med} FROM filled)",
+        f"scored AS (SELECT *, {score_sql()} AS vital_deterioration_score FROM imp)",
+        f"clipped AS (SELECT patient_id, hour, event_id, label, vital_deterioration_score, {clipped} FROM scored)",
+        "feats AS (" + temporal_select("clipped").replace(f", {score_sql()} AS vital_deterioration_score", "") + ")",
+        f"adv1 AS (SELECT {keep}, {', '.join(ms)}, {dt}, {', '.join(roll)} FROM feats)",
+        f"adv2 AS (SELECT * EXCLUDE ({', '.join(vit)}), {vit_fill} FROM adv1)",
+        f"adv3 AS (SELECT * EXCLUDE ({', '.join(ms)}), {vit_med}, {lab_fill} FROM adv2)",
+        f"adv AS (SELECT * EXCLUDE ({', '.join(roll)}), {roll_fill} FROM adv3)",
+        _last_rows_sql("adv", feats).strip(),
+        "stats AS (SELECT " + ", ".join(
+            f"quantile_cont({c}, 0.5) AS c_{c}, "
+            f"CASE WHEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) = 0 THEN 1e0 "
+            f"ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END AS s_{c}" for c in feats)
+        + " FROM win WHERE NOT is_pad)",
+    ]
+    return ctes
+
+
+def window_sqls() -> dict:
+    q = {}
+    ms = MEASURES
+    q["last_window"] = with_views(
+        "SELECT * FROM win", "panel_short", extra=[_last_rows_sql("panel_short", ms).strip()])
+    q["last_label"] = with_views(
+        "SELECT patient_id, CAST(arg_max(label, hour) AS INT) AS y FROM panel GROUP BY patient_id", "panel")
+    feats = ms + derived_names()
+    scaled = ", ".join(f"round((win.{c} - stats.c_{c}) / stats.s_{c}, 6) AS {c}" for c in feats)
+    q["prepare_windows"] = with_views(
+        f"SELECT win.patient_id, win.step, win.is_pad, {scaled} FROM win, stats", "panel",
+        extra=prepare_windows_ctes())
+    q["robust_scaler_fit"] = with_views(
+        "SELECT feature, round(center, 9) AS center, round(scale, 9) AS scale FROM (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, c_{c} AS center, s_{c} AS scale FROM stats" for c in feats) + ")",
+        "panel", extra=prepare_windows_ctes())
+    # flattened window vector, one row per (patient, position); time-major
+    unp = " UNION ALL ".join(
+        f"SELECT patient_id, CAST(step * {len(feats)} + {i} AS INT) AS pos, "
+        f"round((win.{c} - stats.c_{c}) / stats.s_{c}, 6) AS value FROM win, stats"
+        for i, c in enumerate(feats))
+    q["window_vectors"] = with_views(unp, "panel", extra=prepare_windows_ctes())
+    return q
