@@ -151,10 +151,9 @@ def exact_quantiles(df: DataFrame, cols: list, probs: list, nparts: int | None =
     counts = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     ranked = ordinal_rank(long, ["feature"], ["value"], out="r", nparts=nparts, ngroups=len(cols))
     # target positions per (feature, prob): floor and ceil of (n-1)*p
-    prob_df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "qi int, p double")
-    targets = counts.crossJoin(F.broadcast(prob_df)).select(
-        "feature", "qi",
-        (F.col("n") - 1).cast("double").alias("nm1"), "p")
+    pairs = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    targets = counts.select("feature", (F.col("n") - 1).cast("double").alias("nm1"),
+                            F.explode(pairs).alias("__q")).select("feature", "nm1", "__q.qi", "__q.p")
     targets = targets.select("feature", "qi",
                              F.floor(F.col("nm1") * F.col("p")).cast("long").alias("lo"),
                              F.ceil(F.col("nm1") * F.col("p")).cast("long").alias("hi"),

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PanelSpec
-from ..operators import clean, temporal, windows
+from pyspark.sql import Window
+
+from ..operators import clean, meta, metrics, temporal, windows
 from ..sources import fixtures as fx
 
 PANEL = PanelSpec()  # patient_id / hour / event_id / label
@@ -82,8 +84,114 @@ def q_window_vectors(spark: SparkSession, sf: str) -> DataFrame:
         "patient_id", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))
 
 
+# ------------------------------------------------------------ meta (G)
+
+MODELS = fx.MODEL_COLS
+ROUNDED_META = (["ensemble_mean", "ensemble_std", "ensemble_range", "ensemble_median",
+                 "high_confidence", "low_confidence", "disagreement"])
+
+
+def _r6(df: DataFrame, cols) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def _meta(spark, sf):
+    return meta.meta_features(fx.preds(spark, sf), MODELS)
+
+
+def q_meta_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The 51-column meta dataset over the six base predictions."""
+    # row-wise values are computed in the same order in both engines, so
+    # they are compared unrounded
+    return _meta(spark, sf)
+
+
+def q_target_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return meta.target_distribution(fx.preds(spark, sf)).withColumn("class_ratio", F.round("class_ratio", 6))
+
+
+def q_meta_target_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    m = _meta(spark, sf)
+    c = meta.target_correlations(m, meta.meta_column_names(MODELS)).select(
+        "feature", F.round("corr", 6).alias("corr"))
+    w = Window.orderBy(F.abs(F.col("corr")).desc_nulls_last(), F.col("feature"))
+    return c.withColumn("rank", F.row_number().over(w))
+
+
+def q_meta_describe(spark: SparkSession, sf: str) -> DataFrame:
+    d = meta.describe(_meta(spark, sf), meta.meta_column_names(MODELS))
+    return _r6(d, ["mean", "std", "min", "max", "q25", "q50", "q75"])
+
+
+def q_meta_mutual_information(spark: SparkSession, sf: str) -> DataFrame:
+    mi = meta.mutual_information(_meta(spark, sf), meta.meta_column_names(MODELS))
+    return _r6(mi, ["mi"])
+
+
+def q_scoring_meta_features(spark: SparkSession, sf: str) -> DataFrame:
+    return meta.scoring_meta_features(fx.preds(spark, sf), MODELS, ["row_id"])
+
+
+# --------------------------------------------------------- metrics (H)
+
+def _plong(spark, sf):
+    return metrics.predictions_long(fx.preds(spark, sf), MODELS)
+
+
+def q_model_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """H1 + H2 (+ H11: the mean ensemble as a seventh model)."""
+    return _r6(metrics.auc_table(_plong(spark, sf)), ["auroc", "auprc"])
+
+
+def q_sens_spec(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(metrics.sens_spec(_plong(spark, sf)), ["sensitivity", "specificity"])
+
+
+def q_threshold_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(metrics.threshold_comparison(_plong(spark, sf)), ["score"])
+
+
+def q_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(metrics.threshold_sweep(_plong(spark, sf)), ["sensitivity", "specificity", "precision", "f1"])
+
+
+def q_roc_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(metrics.roc_curve(_plong(spark, sf)), ["fpr", "tpr"])
+
+
+def q_pr_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(metrics.pr_curve(_plong(spark, sf)), ["precision", "recall"])
+
+
+def q_brier_score(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(metrics.brier(_plong(spark, sf)), ["brier"])
+
+
+def q_calibration_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(metrics.calibration(_plong(spark, sf)), ["mean_predicted", "fraction_positive"])
+
+
+def q_evaluate(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(metrics.evaluate(_plong(spark, sf)), ["value"])
+
+
 def QUERIES() -> dict:
     return {
+        "meta_features": q_meta_features,
+        "target_distribution": q_target_distribution,
+        "meta_target_correlation": q_meta_target_correlation,
+        "meta_describe": q_meta_describe,
+        "meta_mutual_information": q_meta_mutual_information,
+        "scoring_meta_features": q_scoring_meta_features,
+        "model_auc": q_model_auc,
+        "sens_spec": q_sens_spec,
+        "threshold_comparison": q_threshold_comparison,
+        "threshold_sweep": q_threshold_sweep,
+        "roc_curve": q_roc_curve,
+        "pr_curve": q_pr_curve,
+        "brier_score": q_brier_score,
+        "calibration_curve": q_calibration_curve,
+        "evaluate": q_evaluate,
         "last_window": q_last_window,
         "last_label": q_last_label,
         "prepare_windows": q_prepare_windows,
