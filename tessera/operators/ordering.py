@@ -140,33 +140,39 @@ def unpivot(df: DataFrame, id_cols: list, value_cols: list, name: str = "feature
         df.select(F.lit(0).alias("__id"), *value_cols).unpivot(["__id"], value_cols, name, value).drop("__id")
 
 
+def quantiles_by(long: DataFrame, group_cols: list, value: str, probs: list,
+                 ngroups: int | None = None, nparts: int | None = None) -> DataFrame:
+    """One row per group: ``q{i}`` = linear-interpolated quantile
+    ``probs[i]`` of the non-NULL ``value``s (DuckDB ``quantile_cont``,
+    numpy's default). Distributed: rank inside each group, then pick the two
+    neighbouring ranks of every quantile and interpolate."""
+    vals = long.select(*group_cols, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = ordinal_rank(vals, group_cols, ["__v"], out="__r", nparts=nparts, ngroups=ngroups)
+    pairs = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    pos = F.col("__nm1") * F.col("__q.p")
+    targets = (counts.select(*group_cols, (F.col("__n") - 1).cast("double").alias("__nm1"),
+                             F.explode(pairs).alias("__q"))
+               .select(*group_cols, F.col("__q.qi").alias("qi"),
+                       F.floor(pos).cast("long").alias("lo"), F.ceil(pos).cast("long").alias("hi"),
+                       (pos - F.floor(pos)).alias("frac")))
+    need = targets.select(*group_cols, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("__r")).distinct()
+    bound = 2 * len(probs) * ngroups if ngroups is not None else None
+    picked = join_small(ranked, need, [*group_cols, "__r"], how="left_semi", bound=bound)
+    lo = picked.select(*group_cols, F.col("__r").alias("lo"), F.col("__v").alias("vlo"))
+    hi = picked.select(*group_cols, F.col("__r").alias("hi"), F.col("__v").alias("vhi"))
+    q = (targets.join(lo, [*group_cols, "lo"]).join(hi, [*group_cols, "hi"])
+         .select(*group_cols, "qi", (F.col("vlo") + F.col("frac") * (F.col("vhi") - F.col("vlo"))).alias("q")))
+    wide = q.groupBy(*group_cols).pivot("qi", list(range(len(probs)))).agg(F.first("q"))
+    return wide.select(*group_cols, *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
+
+
 def exact_quantiles(df: DataFrame, cols: list, probs: list, nparts: int | None = None) -> DataFrame:
     """One row per column: ``feature`` plus ``q{i}`` = linear-interpolated
-    quantile ``probs[i]`` over the non-NULL values (DuckDB ``quantile_cont``,
-    numpy's default). Columns with no values get NULL. Works in a distributed
-    way: unpivot, rank, then pick the two neighbouring ranks per quantile."""
+    quantile ``probs[i]`` over the column's non-NULL values; columns with no
+    values get NULL."""
     spark = df.sparkSession
-    long = unpivot(df.select(*cols), [], cols).filter(F.col("value").isNotNull()) \
-        .select("feature", F.col("value").cast("double").alias("value"))
-    counts = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    ranked = ordinal_rank(long, ["feature"], ["value"], out="r", nparts=nparts, ngroups=len(cols))
-    # target positions per (feature, prob): floor and ceil of (n-1)*p
-    pairs = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    targets = counts.select("feature", (F.col("n") - 1).cast("double").alias("nm1"),
-                            F.explode(pairs).alias("__q")).select("feature", "nm1", "__q.qi", "__q.p")
-    targets = targets.select("feature", "qi",
-                             F.floor(F.col("nm1") * F.col("p")).cast("long").alias("lo"),
-                             F.ceil(F.col("nm1") * F.col("p")).cast("long").alias("hi"),
-                             (F.col("nm1") * F.col("p") - F.floor(F.col("nm1") * F.col("p"))).alias("frac"))
-    need = targets.select("feature", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("r"))
-    picked = join_small(ranked, need.distinct(), ["feature", "r"], how="left_semi",
-                        bound=2 * len(cols) * len(probs))
-    lo = picked.select("feature", F.col("r").alias("lo"), F.col("value").alias("vlo"))
-    hi = picked.select("feature", F.col("r").alias("hi"), F.col("value").alias("vhi"))
-    q = (targets.join(lo, ["feature", "lo"]).join(hi, ["feature", "hi"])
-         .select("feature", "qi", (F.col("vlo") + F.col("frac") * (F.col("vhi") - F.col("vlo"))).alias("q")))
-    wide = q.groupBy("feature").pivot("qi", list(range(len(probs)))).agg(F.first("q"))
-    for i in range(len(probs)):
-        wide = wide.withColumnRenamed(str(i), f"q{i}")
+    long = unpivot(df.select(*cols), [], cols)
+    wide = quantiles_by(long, ["feature"], "value", probs, ngroups=len(cols), nparts=nparts)
     names = spark.createDataFrame([(c,) for c in cols], "feature string")
     return names.join(wide, "feature", "left")

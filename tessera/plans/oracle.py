@@ -128,6 +128,7 @@ def SQL() -> dict:
     q["temporal_features_segmented"] = q["temporal_features"]
     q.update(window_sqls())
     q.update(meta_metric_sqls())
+    q.update(report_sqls())
     return q
 
 
@@ -386,3 +387,136 @@ def meta_metric_sqls() -> dict:
                                " round(sum(pos * tp / (tp + fp)) / max(n_pos), 6) AS auprc FROM cum JOIN tot USING (model)"
                                " GROUP BY cum.model)"])
     return q
+
+
+# ---------------------------------------------------------------- reports
+
+def hist_sql(src: str, value: str, groups: list, bins: int, shared: bool = False, name: str = "h") -> list:
+    """CTEs computing a numpy-style histogram; the final CTE is ``{name}``."""
+    ug = list(groups)
+    g = ug or ["__g"]
+    gsel = ", ".join(ug + [f"CAST({value} AS DOUBLE) AS __x"]) if ug else f"0 AS __g, CAST({value} AS DOUBLE) AS __x"
+    gl = ", ".join(g)
+    mn = "(SELECT min(__x) FROM {n}_d)" if shared else "min(__x)"
+    mx = "(SELECT max(__x) FROM {n}_d)" if shared else "max(__x)"
+    mn, mx = mn.format(n=name), mx.format(n=name)
+    step = f"((__hi - __lo) / {float(bins)!r}e0)"
+
+    def edge(k):
+        return f"(CASE WHEN {k} >= {bins} THEN __hi ELSE CAST({k} AS DOUBLE) * {step} + __lo END)"
+
+    idx0 = f"least(greatest(CAST(floor((__x - __lo) / (__hi - __lo) * {float(bins)!r}e0) AS INT), 0), {bins - 1})"
+    dec = f"(CASE WHEN __x < {edge('idx0')} THEN idx0 - 1 ELSE idx0 END)"
+    on = " AND ".join(f"a.{c} = b.{c}" for c in g)
+    return [
+        f"{name}_d AS (SELECT {gsel} FROM {src} WHERE {value} IS NOT NULL)",
+        f"{name}_s0 AS (SELECT {gl}, count(*) AS n, avg(__x) AS series_mean, {mn} AS __mn, {mx} AS __mx "
+        f"FROM {name}_d GROUP BY {gl})",
+        f"{name}_s AS (SELECT {gl}, n, series_mean, CASE WHEN __mn = __mx THEN __mn - 0.5e0 ELSE __mn END AS __lo, "
+        f"CASE WHEN __mn = __mx THEN __mx + 0.5e0 ELSE __mx END AS __hi FROM {name}_s0)",
+        f"{name}_i AS (SELECT a.*, b.__lo, b.__hi, {idx0} AS idx0 FROM {name}_d a JOIN {name}_s b ON {on})",
+        f"{name}_b AS (SELECT {gl}, CASE WHEN __x >= {edge('(' + dec + ' + 1)')} AND {dec} <> {bins - 1} "
+        f"THEN {dec} + 1 ELSE {dec} END AS bin FROM {name}_i)",
+        f"{name}_c AS (SELECT {gl}, bin, count(*) AS cnt FROM {name}_b GROUP BY {gl}, bin)",
+        f"{name} AS (SELECT {', '.join('s.' + c for c in ug)}{', ' if ug else ''}CAST(t.bin AS INT) AS bin, "
+        f"CAST(t.bin AS DOUBLE) * ((s.__hi - s.__lo) / {float(bins)!r}e0) + s.__lo AS lo, "
+        f"CASE WHEN t.bin = {bins - 1} THEN s.__hi ELSE CAST(t.bin + 1 AS DOUBLE) * ((s.__hi - s.__lo) / {float(bins)!r}e0) + s.__lo END AS hi, "
+        f"CAST(coalesce(c.cnt, 0) AS BIGINT) AS count, s.n, round(s.series_mean, 6) AS series_mean "
+        f"FROM {name}_s s CROSS JOIN range(0, {bins}) t(bin) LEFT JOIN {name}_c c ON "
+        + " AND ".join([f"c.{x} = s.{x}" for x in g] + ["c.bin = t.bin"]) + ")",
+    ]
+
+
+def hist_final(name: str = "h") -> str:
+    return f"SELECT *, count / (n * (hi - lo)) AS density FROM {name}"
+
+
+ENS1 = f"ens AS (SELECT row_id, y, {_mean_sql()} AS p FROM preds)"
+WIDE = f"pw AS (SELECT *, {_mean_sql()} AS ensemble FROM preds)"
+
+
+def report_sqls() -> dict:
+    q = {}
+    meta_cte = f"meta AS ({meta_select(round_to=None)})"
+    band = "CASE WHEN p < 0.3e0 THEN 'low' WHEN p <= 0.7e0 THEN 'mid' ELSE 'high' END"
+    q["prediction_histograms"] = with_views(hist_final(), "preds", extra=[PLONG] + hist_sql("plong", "p", ["model"], 30))
+    q["probability_histograms_20"] = with_views(hist_final(), "preds", extra=[PLONG] + hist_sql("plong", "p", ["model"], 20))
+    q["disagreement_histogram"] = with_views(hist_final(), "preds", extra=[meta_cte] + hist_sql("meta", "disagreement", [], 30))
+    q["confidence_histogram"] = with_views(
+        hist_final(), "preds", extra=[meta_cte, "conf2 AS (SELECT 'high_confidence' AS series, high_confidence AS value FROM meta "
+                                                "UNION ALL SELECT 'low_confidence', low_confidence FROM meta)"]
+        + hist_sql("conf2", "value", ["series"], 30, shared=True))
+    q["ensemble_stat_correlation"] = with_views(
+        " UNION ALL ".join(f"SELECT '{c}' AS stat, round(abs(corr({c}, ensemble_mean)), 6) AS abs_corr FROM meta"
+                           for c in ["ensemble_mean", "ensemble_std", "ensemble_range"]), "preds", extra=[meta_cte])
+    q["error_box_stats"] = with_views(
+        "SELECT band, q1, median, q3, count(*) AS count, "
+        "min(CASE WHEN error >= q1 - 1.5e0 * (q3 - q1) AND error <= q3 + 1.5e0 * (q3 - q1) THEN error END) AS whisker_low, "
+        "max(CASE WHEN error >= q1 - 1.5e0 * (q3 - q1) AND error <= q3 + 1.5e0 * (q3 - q1) THEN error END) AS whisker_high, "
+        "sum(CASE WHEN error >= q1 - 1.5e0 * (q3 - q1) AND error <= q3 + 1.5e0 * (q3 - q1) THEN 0 ELSE 1 END) AS outliers "
+        "FROM e JOIN qs USING (band) GROUP BY band, q1, median, q3", "preds",
+        extra=[ENS1, f"e AS (SELECT row_id, y, p, abs(p - y) AS error, {band} AS band FROM ens)",
+               "qs AS (SELECT band, quantile_cont(error, 0.25) AS q1, quantile_cont(error, 0.5) AS median, "
+               "quantile_cont(error, 0.75) AS q3 FROM e GROUP BY band)"])
+    q["outcome_shares"] = with_views(
+        "SELECT outcome, count, count * 100.0e0 / sum(count) OVER () AS percent FROM ("
+        "SELECT 'True Pos' AS outcome, CAST(sum(CASE WHEN p >= 0.5e0 AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS count FROM ens UNION ALL "
+        "SELECT 'True Neg', CAST(sum(CASE WHEN p < 0.5e0 AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM ens UNION ALL "
+        "SELECT 'False Pos', CAST(sum(CASE WHEN p >= 0.5e0 AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM ens UNION ALL "
+        "SELECT 'False Neg', CAST(sum(CASE WHEN p < 0.5e0 AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) FROM ens)",
+        "preds", extra=[ENS1])
+    votes = " + ".join(f"CAST({m} >= 0.5e0 AS INT)" for m in MODELS)
+    q["error_agreement"] = with_views(
+        f"SELECT {votes} AS models_positive, count(*) AS count FROM pw "
+        "WHERE CAST(ensemble >= 0.5e0 AS INT) <> y GROUP BY 1", "preds", extra=[WIDE])
+    q["error_histogram_by_class"] = with_views(
+        hist_final(), "preds", extra=[ENS1, "e AS (SELECT row_id, y, p, abs(p - y) AS error FROM ens)"]
+        + hist_sql("e", "error", ["y"], 30, shared=True))
+    q["error_projection"] = with_views("SELECT row_id, y, p, abs(p - y) AS error FROM ens", "preds", extra=[ENS1])
+    q["high_error_histogram"] = with_views(
+        hist_final(), "preds",
+        extra=[ENS1, "e AS (SELECT row_id, y, p, abs(p - y) AS error FROM ens)",
+               "he AS (SELECT * FROM e WHERE error >= (SELECT quantile_cont(error, 0.9) FROM e))"]
+        + hist_sql("he", "p", [], 20))
+    q["model_band_table"] = with_views(
+        f"SELECT model, row_id, y, p, {band} AS band, CAST(p >= 0.5e0 AS INT) AS above_half FROM plong",
+        "preds", extra=[PLONG])
+    q["confidence_by_class"] = with_views(hist_final(), "preds", extra=[PLONG] + hist_sql("plong", "p", ["model", "y"], 25))
+    ms = MODELS
+    unc = (f"unc AS (SELECT row_id, y, mu AS mean, sqrt((" + " + ".join(f"({m} - mu) * ({m} - mu)" for m in ms)
+           + f") / 6e0) AS std, least({', '.join(ms)}) AS min, greatest({', '.join(ms)}) AS max, abs(mu - y) AS error "
+           f"FROM (SELECT *, {_mean_sql()} AS mu FROM preds))")
+    q["row_uncertainty"] = with_views("SELECT * FROM unc", "preds", extra=[unc])
+    q["uncertainty_histograms"] = with_views(
+        hist_final(), "preds", extra=[unc, "ul AS (SELECT 'std' AS series, std AS value FROM unc "
+                                           "UNION ALL SELECT 'range', max - min FROM unc)"]
+        + hist_sql("ul", "value", ["series"], 30))
+    q["high_uncertainty_cases"] = with_views(
+        "SELECT row_id, y, mean, std FROM unc WHERE std > (SELECT quantile_cont(std, 0.75) FROM unc)",
+        "preds", extra=[unc])
+    edges = [k * (1.0 / 20) for k in range(1, 20)]
+    b = " + ".join(f"CAST(p >= {e!r}e0 AS INT)" for e in edges)
+    q["decision_bins"] = with_views(
+        "SELECT model, bin, count, positive_rate, CASE WHEN max(count) OVER (PARTITION BY model) > 0 "
+        "THEN count / max(count) OVER (PARTITION BY model) ELSE 0e0 END AS count_scaled FROM ("
+        " SELECT m.model, CAST(t.bin AS INT) AS bin, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count, "
+        " coalesce(c.rate, 0e0) AS positive_rate FROM (SELECT DISTINCT model FROM plong) m CROSS JOIN range(0, 20) t(bin)"
+        f" LEFT JOIN (SELECT model, {b} AS bin, count(*) AS cnt, avg(y) AS rate FROM plong WHERE p >= 0e0 AND p < 1e0"
+        " GROUP BY model, bin) c ON c.model = m.model AND c.bin = t.bin)", "preds", extra=[PLONG])
+    pairs = [(MEASURES[i], MEASURES[j]) for i in range(len(MEASURES)) for j in range(len(MEASURES)) if i > j]
+    q["measure_correlation"] = with_views(
+        " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM filled" for a, b in pairs),
+        "panel", extra=[f"filled AS ({locf_select('panel')})"])
+    names = meta_feature_names()
+    q["meta_correlation_matrix"] = with_views(
+        "SELECT a, b, round(r, 6) AS r FROM (" + " UNION ALL ".join(
+            f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM meta" for a in names for b in names) + ")",
+        "preds", extra=[meta_cte])
+    q["ensemble_std_histogram"] = with_views(hist_final(), "preds", extra=[meta_cte] + hist_sql("meta", "ensemble_std", [], 50))
+    ml = " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM meta" for c in names)
+    q["top_contributions"] = with_views(
+        "SELECT row_id, rank, feature, value, CASE WHEN value < 0 THEN 'negative' ELSE 'positive' END AS sign, "
+        "sum(value) OVER (PARTITION BY row_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running_total FROM ("
+        " SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(value) DESC, feature) AS rank FROM ml) "
+        "WHERE rank <= 15", "preds", extra=[meta_cte, f"ml AS ({ml})"])
+    return q

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..config import PanelSpec
 from pyspark.sql import Window
 
-from ..operators import clean, meta, metrics, temporal, windows
+from ..functions import exprs as X
+from ..operators import clean, meta, metrics, reports, temporal, windows
 from ..sources import fixtures as fx
 
 PANEL = PanelSpec()  # patient_id / hour / event_id / label
@@ -175,8 +176,140 @@ def q_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return _r6(metrics.evaluate(_plong(spark, sf)), ["value"])
 
 
+# --------------------------------------------------------- reports (I)
+
+def _hist(df: DataFrame) -> DataFrame:
+    return df.withColumn("series_mean", F.round("series_mean", 6))
+
+
+def _ens(spark, sf):
+    """The mean ensemble's (row_id, y, p)."""
+    return _plong(spark, sf).filter(F.col("model") == "ensemble").select("row_id", "y", "p")
+
+
+def _wide(spark, sf):
+    pr = fx.preds(spark, sf)
+    return pr.withColumn("ensemble", X.row_mean(MODELS))
+
+
+def q_prediction_histograms(spark, sf):
+    """30-bin density histogram of each model's probabilities."""
+    return _hist(reports.prediction_histograms(_plong(spark, sf), 30))
+
+
+def q_probability_histograms_20(spark, sf):
+    """20-bin version used next to the calibration table."""
+    return _hist(reports.prediction_histograms(_plong(spark, sf), 20))
+
+
+def q_disagreement_histogram(spark, sf):
+    return _hist(reports.disagreement_histogram(_meta(spark, sf)))
+
+
+def q_confidence_histogram(spark, sf):
+    return _hist(reports.confidence_histogram(_meta(spark, sf)))
+
+
+def q_ensemble_stat_correlation(spark, sf):
+    return _r6(reports.ensemble_stat_correlation(_meta(spark, sf)), ["abs_corr"])
+
+
+def q_error_box_stats(spark, sf):
+    return reports.error_box_stats(_ens(spark, sf))
+
+
+def q_outcome_shares(spark, sf):
+    return reports.outcome_shares(_ens(spark, sf))
+
+
+def q_error_agreement(spark, sf):
+    return reports.error_agreement(_wide(spark, sf), "ensemble", MODELS)
+
+
+def q_error_histogram_by_class(spark, sf):
+    return _hist(reports.error_histogram_by_class(_ens(spark, sf)))
+
+
+def q_error_projection(spark, sf):
+    return reports.with_error(_ens(spark, sf))
+
+
+def q_high_error_histogram(spark, sf):
+    return _hist(reports.high_error_histogram(_ens(spark, sf)))
+
+
+def q_model_band_table(spark, sf):
+    return reports.model_band_table(_plong(spark, sf))
+
+
+def q_confidence_by_class(spark, sf):
+    return _hist(reports.confidence_by_class(_plong(spark, sf)))
+
+
+def q_row_uncertainty(spark, sf):
+    return reports.row_uncertainty(fx.preds(spark, sf), MODELS)
+
+
+def q_uncertainty_histograms(spark, sf):
+    return _hist(reports.uncertainty_histograms(reports.row_uncertainty(fx.preds(spark, sf), MODELS)))
+
+
+def q_high_uncertainty_cases(spark, sf):
+    return reports.high_uncertainty_cases(reports.row_uncertainty(fx.preds(spark, sf), MODELS))
+
+
+def q_decision_bins(spark, sf):
+    return reports.decision_bins(_plong(spark, sf))
+
+
+def q_measure_correlation(spark, sf):
+    """I20 on the forward/backward-filled panel (the raw panel has one
+    measure per row, so no pair would be complete)."""
+    filled = clean.locf_fill(fx.panel(spark, sf), PANEL)
+    return _r6(reports.correlation_pairs(filled, ["hr", "temp", "resp", "wbc", "lactate"]), ["r"])
+
+
+def q_meta_correlation_matrix(spark, sf):
+    return _r6(reports.correlation_matrix(_meta(spark, sf), meta.meta_column_names(MODELS)), ["r"])
+
+
+def q_ensemble_std_histogram(spark, sf):
+    return _hist(reports.histogram(_meta(spark, sf), "ensemble_std", [], 50))
+
+
+def q_top_contributions(spark, sf):
+    """Top 15 meta-feature values by magnitude per row, with running
+    totals (waterfall)."""
+    m = _meta(spark, sf)
+    names = meta.meta_column_names(MODELS)
+    lg = m.select("row_id", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(
+        ["row_id"], names, "feature", "value")
+    return reports.top_contributions(lg, "row_id", "feature", "value", 15)
+
+
 def QUERIES() -> dict:
     return {
+        "prediction_histograms": q_prediction_histograms,
+        "probability_histograms_20": q_probability_histograms_20,
+        "disagreement_histogram": q_disagreement_histogram,
+        "confidence_histogram": q_confidence_histogram,
+        "ensemble_stat_correlation": q_ensemble_stat_correlation,
+        "error_box_stats": q_error_box_stats,
+        "outcome_shares": q_outcome_shares,
+        "error_agreement": q_error_agreement,
+        "error_histogram_by_class": q_error_histogram_by_class,
+        "error_projection": q_error_projection,
+        "high_error_histogram": q_high_error_histogram,
+        "model_band_table": q_model_band_table,
+        "confidence_by_class": q_confidence_by_class,
+        "row_uncertainty": q_row_uncertainty,
+        "uncertainty_histograms": q_uncertainty_histograms,
+        "high_uncertainty_cases": q_high_uncertainty_cases,
+        "decision_bins": q_decision_bins,
+        "measure_correlation": q_measure_correlation,
+        "meta_correlation_matrix": q_meta_correlation_matrix,
+        "ensemble_std_histogram": q_ensemble_std_histogram,
+        "top_contributions": q_top_contributions,
         "meta_features": q_meta_features,
         "target_distribution": q_target_distribution,
         "meta_target_correlation": q_meta_target_correlation,
