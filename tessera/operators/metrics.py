@@ -19,7 +19,8 @@ from .ordering import prefix_sums, unpivot
 
 
 def predictions_long(wide: DataFrame, pred_cols: list, row_id: str = "row_id", label: str = "y",
-                     ensemble: str | None = "ensemble", names: list | None = None) -> DataFrame:
+                     ensemble: str | None = "ensemble", names: list | None = None,
+                     extra_keys: list | None = None) -> DataFrame:
     """Wide predictions -> long (row_id, y, model, p); with ``ensemble`` the
     row mean of the base predictions is added as one more model (H11).
     Invalid predictions become 0.5 (B10)."""
@@ -27,32 +28,34 @@ def predictions_long(wide: DataFrame, pred_cols: list, row_id: str = "row_id", l
     cols = {n: X.invalid_to(c) for n, c in zip(names, pred_cols)}
     if ensemble:
         cols[ensemble] = X.row_mean([X.invalid_to(c) for c in pred_cols])
-    w = wide.select(row_id, F.col(label).cast("int").alias("y"), *[v.alias(k) for k, v in cols.items()])
-    return unpivot(w, [row_id, "y"], list(cols), "model", "p")
+    keys = [row_id] + list(extra_keys or [])
+    w = wide.select(*keys, F.col(label).cast("int").alias("y"), *[v.alias(k) for k, v in cols.items()])
+    return unpivot(w, [*keys, "y"], list(cols), "model", "p")
 
 
-def score_counts(long: DataFrame, model: str = "model") -> DataFrame:
-    """One row per distinct (model, p): pos and neg counts."""
-    return long.groupBy(model, "p").agg(F.sum("y").cast("long").alias("pos"),
+def score_counts(long: DataFrame, groups=("model",)) -> DataFrame:
+    """One row per distinct (group, p): pos and neg counts."""
+    return long.groupBy(*groups, "p").agg(F.sum("y").cast("long").alias("pos"),
                                         (F.count(F.lit(1)) - F.sum("y")).cast("long").alias("neg"))
 
 
-def _cumulative(long: DataFrame) -> DataFrame:
+def _cumulative(long: DataFrame, groups=("model",)) -> DataFrame:
     """Distinct scores with tp/fp = positives/negatives scored >= p."""
-    sc = score_counts(long)
-    cum = prefix_sums(sc, ["model"], "p", ["pos", "neg"], descending=True)
+    sc = score_counts(long, groups)
+    cum = prefix_sums(sc, list(groups), "p", ["pos", "neg"], descending=True)
     return cum.withColumnsRenamed({"pos_cum": "tp", "neg_cum": "fp"})
 
 
-def auc_table(long: DataFrame) -> DataFrame:
-    """H1 + H2 per model: AUROC with ties counted half (Mann-Whitney), and
-    average precision in step form sum(delta recall * precision)."""
-    c = _cumulative(long)
-    g = c.groupBy("model").agg(
+def auc_table(long: DataFrame, groups=("model",)) -> DataFrame:
+    """H1 + H2 per model (or any groups, e.g. model and fold for E6): AUROC
+    with ties counted half (Mann-Whitney), and average precision in step
+    form sum(delta recall * precision)."""
+    c = _cumulative(long, groups)
+    g = c.groupBy(*groups).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / F.lit(2.0))).alias("__u"),
         F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("__ap"))
-    return g.select("model",
+    return g.select(*groups,
                     F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("__u") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"),
                     F.when(F.col("n_pos") > 0, F.col("__ap") / F.col("n_pos")).alias("auprc"))
 

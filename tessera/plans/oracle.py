@@ -129,6 +129,7 @@ def SQL() -> dict:
     q.update(window_sqls())
     q.update(meta_metric_sqls())
     q.update(report_sqls())
+    q.update(ops_sqls())
     return q
 
 
@@ -520,3 +521,122 @@ def report_sqls() -> dict:
         " SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(value) DESC, feature) AS rank FROM ml) "
         "WHERE rank <= 15", "preds", extra=[meta_cte, f"ml AS ({ml})"])
     return q
+
+
+# ------------------------------------------- quality, scoring, monitor, splits
+
+PANEL_COLS = ["patient_id", "hour", "event_id", "hr", "temp", "resp", "wbc", "lactate", "label"]
+
+
+def _std_sql(ms, mu="mu"):
+    return "sqrt((" + " + ".join(f"({m} - {mu}) * ({m} - {mu})" for m in ms) + f") / {float(len(ms))!r}e0)"
+
+
+def ops_sqls() -> dict:
+    q = {}
+    ms = MODELS
+
+    def miss(c):
+        if c in MEASURES:
+            return f"(CASE WHEN {c} IS NULL OR isnan({c}) THEN 1e0 ELSE 0e0 END)"
+        return f"(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END)"
+    nulls = " UNION ALL ".join(f"SELECT '{c}' AS column_name, avg({miss(c)}) * 100e0 AS np FROM panel" for c in PANEL_COLS)
+    q["null_profile"] = with_views(
+        f"SELECT column_name, round(np, 6) AS null_percent, np > 50e0 AS high_missing FROM ({nulls})", "panel")
+    q["panel_profile"] = with_views(
+        "SELECT count(*) AS total_rows, count(DISTINCT patient_id) AS unique_entities, "
+        "CAST(min(hour) AS DOUBLE) AS min_time, CAST(max(hour) AS DOUBLE) AS max_time, "
+        f"{len(PANEL_COLS)} AS total_columns, (SELECT round(avg(np), 6) FROM nl) AS null_pct_mean, "
+        "(SELECT round(min(np), 6) FROM nl) AS null_pct_min, (SELECT round(max(np), 6) FROM nl) AS null_pct_max "
+        "FROM panel", "panel", extra=[f"nl AS ({nulls})"])
+    q["label_distribution"] = with_views("SELECT label, count(*) AS count FROM panel GROUP BY label", "panel")
+    q["class_imbalance"] = with_views(
+        "SELECT count(*) AS classes, min(count) AS min_count, max(count) AS max_count, "
+        "CASE WHEN count(*) = 2 THEN round(min(count) / max(count), 6) END AS imbalance_ratio, "
+        "CASE WHEN count(*) = 2 THEN min(count) / max(count) < 0.1e0 ELSE false END AS severe "
+        "FROM (SELECT label, count(*) AS count FROM panel GROUP BY label)", "panel")
+    ctes = [f"filled AS ({locf_select('panel_short')})", _last_rows_sql("filled", MEASURES).strip(),
+            "wl AS (SELECT patient_id, step, unnest([" + ", ".join(MEASURES) + "]) AS v FROM win)"]
+    q["input_checks"] = with_views(
+        "SELECT patient_id, 6 AS n_steps, 5 AS n_features, true AS shape_ok, count(v) < count(*) AS has_null, "
+        "false AS has_nan, false AS has_inf, "
+        "min(v) AS value_min, max(v) AS value_max, round(avg(v), 6) AS value_mean, "
+        "round(stddev_pop(v), 6) AS value_std, count(v) = count(*) AS is_valid FROM wl GROUP BY patient_id",
+        "panel_short", extra=ctes)
+    q["risk_levels"] = with_views(
+        "SELECT row_id, p, CASE WHEN p >= 0.8e0 THEN 'HIGH' WHEN p >= 0.5e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level "
+        "FROM ens", "preds", extra=[ENS1])
+    q["score_summary"] = with_views(
+        "SELECT row_id, mu AS probability, CASE WHEN mu >= 0.8e0 THEN 'HIGH' WHEN mu >= 0.5e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, "
+        f"greatest(0e0, 1e0 - {_std_sql(ms)}) AS confidence, mu AS ensemble_mean, {_std_sql(ms)} AS prediction_std, "
+        "6 AS model_count, m0 AS model_0 "
+        f"FROM (SELECT *, {_mean_sql()} AS mu FROM preds)", "preds")
+    std = _std_sql(ms)
+    q["explain_contributions"] = with_views(
+        " UNION ALL ".join(
+            f"SELECT row_id, '{m}' AS model, {m} AS prediction, {m} - mu AS contribution, "
+            f"abs({m} - mu) / (sd + 1e-6) AS relative_importance FROM b" for m in ms),
+        "preds", extra=[f"b AS (SELECT *, {std} AS sd FROM (SELECT *, {_mean_sql()} AS mu FROM preds))"])
+    top = "greatest(" + ", ".join(f"abs({m} - mu)" for m in ms) + ")"
+    most = "CASE " + " ".join(f"WHEN abs({m} - mu) = {top} THEN '{m}'" for m in ms) + " END"
+    q["explain_summary"] = with_views(
+        f"SELECT row_id, mu AS mean_prediction, {std} AS std_prediction, {most} AS most_influential, "
+        f"CASE WHEN {std} < 0.1e0 THEN 'High' WHEN {std} < 0.2e0 THEN 'Medium' ELSE 'Low' END AS agreement_level "
+        f"FROM (SELECT *, {_mean_sql()} AS mu FROM preds)", "preds")
+    q["batch_windows"] = with_views(
+        "SELECT g.patient_id, CAST(k // f AS INT) AS step, CAST(k % f AS INT) AS j, CASE WHEN k < g.n THEN v.value ELSE 0e0 END AS value "
+        "FROM (SELECT patient_id, n, CAST(ceil(n / 6e0) AS BIGINT) AS f FROM (SELECT patient_id, count(*) AS n FROM fl GROUP BY patient_id)) g, "
+        "LATERAL (SELECT unnest(range(0, 6 * g.f)) AS k) t LEFT JOIN fl v ON v.patient_id = g.patient_id AND v.pos = t.k",
+        "panel_short", extra=[f"filled AS ({locf_select('panel_short')})",
+                              "fl AS (SELECT patient_id, (rn - 1) * 5 + i - 1 AS pos, value FROM ("
+                              " SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY hour) AS rn, "
+                              " unnest([" + ", ".join(MEASURES) + "]) AS value, unnest(range(1, 6)) AS i FROM filled))"])
+    q["batch_results"] = with_views(
+        "SELECT row_id AS row_index, concat('patient_', CAST(row_id AS VARCHAR)) AS patient_id, "
+        "ensemble AS sepsis_probability, CASE WHEN ensemble >= 0.8e0 THEN 'HIGH' WHEN ensemble >= 0.5e0 THEN 'MEDIUM' "
+        "ELSE 'LOW' END AS risk_level FROM pw WHERE " + " AND ".join(
+            f"{m} IS NOT NULL AND {m} >= 0 AND {m} <= 1" for m in ms), "preds", extra=[WIDE])
+    q["performance_summary"] = with_views(
+        "SELECT 7 AS period_days, count(*) AS total_predictions, round(avg(prediction), 6) AS prediction_mean, "
+        "round(stddev_pop(prediction), 6) AS prediction_std, min(prediction) AS prediction_min, max(prediction) AS prediction_max, "
+        "round(avg(confidence), 6) AS confidence_mean, round(stddev_pop(confidence), 6) AS confidence_std, "
+        "min(confidence) AS confidence_min, max(confidence) AS confidence_max, "
+        "round(avg(processing_time_ms), 6) AS mean_processing_time_ms, max(processing_time_ms) AS max_processing_time_ms, "
+        "min(processing_time_ms) AS min_processing_time_ms, "
+        "CAST(sum(CASE WHEN prediction >= 0.8e0 THEN 1 ELSE 0 END) AS BIGINT) AS risk_high, "
+        "CAST(sum(CASE WHEN prediction >= 0.5e0 AND prediction < 0.8e0 THEN 1 ELSE 0 END) AS BIGINT) AS risk_medium, "
+        "CAST(sum(CASE WHEN prediction < 0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS risk_low "
+        "FROM predlog WHERE ts >= (SELECT max(ts) FROM predlog) - INTERVAL 7 DAY", "predlog")
+    q["recent_log"] = with_views("SELECT * FROM predlog ORDER BY ts DESC, id DESC LIMIT 10000", "predlog")
+    q["monitor_windows"] = with_views(
+        "SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, count(*) AS total_predictions, "
+        "round(avg(prediction), 6) AS prediction_mean, round(stddev_pop(prediction), 6) AS prediction_std, "
+        "min(prediction) AS prediction_min, max(prediction) AS prediction_max, round(avg(confidence), 6) AS confidence_mean, "
+        "max(processing_time_ms) AS max_processing_time_ms, "
+        "CAST(sum(CASE WHEN prediction >= 0.8e0 THEN 1 ELSE 0 END) AS BIGINT) AS risk_high FROM ("
+        " SELECT *, date_trunc('day', ts) - to_days(CAST(k AS INT)) AS window_start FROM predlog, range(0, 7) t(k)) "
+        "GROUP BY window_start", "predlog")
+    q["group_kfold"] = with_views(
+        "SELECT patient_id, hour, CAST((dense_rank() OVER (ORDER BY patient_id) - 1) % 5 AS INT) AS fold FROM panel",
+        "panel")
+    q["stratified_kfold"] = with_views(
+        "SELECT row_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY row_id) - 1) % 5 AS INT) AS fold FROM preds",
+        "preds")
+    fold_plong = ("fplong AS (SELECT plong.*, f.fold_id FROM plong JOIN (SELECT row_id, "
+                  "CAST((row_number() OVER (PARTITION BY y ORDER BY row_id) - 1) % 5 AS INT) AS fold_id FROM preds) f "
+                  "USING (row_id))")
+    auc_fold = ("SELECT pz.model, pz.fold_id, sum(CASE WHEN pz.p > nz.p THEN 1e0 WHEN pz.p = nz.p THEN 0.5e0 ELSE 0e0 END) "
+                "/ count(*) AS auroc FROM fplong pz JOIN fplong nz ON pz.model = nz.model AND pz.fold_id = nz.fold_id "
+                "AND pz.y = 1 AND nz.y = 0 GROUP BY pz.model, pz.fold_id")
+    ap_fold = ("SELECT model, fold_id, sum(pos * tp / (tp + fp)) / sum(pos) AS auprc FROM ("
+               " SELECT model, fold_id, p, pos, sum(pos) OVER (PARTITION BY model, fold_id ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp,"
+               " sum(neg) OVER (PARTITION BY model, fold_id ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS fp FROM ("
+               "  SELECT model, fold_id, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM fplong GROUP BY model, fold_id, p)) "
+               "GROUP BY model, fold_id")
+    q["fold_auc"] = with_views(
+        f"SELECT a.model, a.fold_id, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc FROM ({auc_fold}) a "
+        f"JOIN ({ap_fold}) b ON a.model = b.model AND a.fold_id = b.fold_id", "preds", extra=[PLONG, fold_plong])
+    q["cv_summary"] = with_views(
+        f"SELECT model, round(avg(auroc), 6) AS cv_auc, round(stddev_pop(auroc), 6) AS cv_std FROM ({auc_fold}) GROUP BY model",
+        "preds", extra=[PLONG, fold_plong])
+    return q

@@ -13,7 +13,7 @@ from ..config import PanelSpec
 from pyspark.sql import Window
 
 from ..functions import exprs as X
-from ..operators import clean, meta, metrics, reports, temporal, windows
+from ..operators import clean, meta, metrics, monitor, quality, reports, scoring, splits, temporal, windows
 from ..sources import fixtures as fx
 
 PANEL = PanelSpec()  # patient_id / hour / event_id / label
@@ -287,8 +287,176 @@ def q_top_contributions(spark, sf):
     return reports.top_contributions(lg, "row_id", "feature", "value", 15)
 
 
+# ---------------------------------------------------------- quality (J)
+
+def q_null_profile(spark, sf):
+    return _r6(quality.null_percent(fx.panel(spark, sf)), ["null_percent"])
+
+
+def q_panel_profile(spark, sf):
+    return _r6(quality.profile(fx.panel(spark, sf), PANEL), ["null_pct_mean", "null_pct_min", "null_pct_max"])
+
+
+def q_label_distribution(spark, sf):
+    return quality.label_distribution(fx.panel(spark, sf), "label")
+
+
+def q_class_imbalance(spark, sf):
+    return _r6(quality.class_imbalance(fx.panel(spark, sf), "label"), ["imbalance_ratio"])
+
+
+def _request_windows(spark, sf):
+    """Score requests: each patient's last 6 filled rows (zero-padded) as a
+    6 x 5 array, from the short-history panel."""
+    ms = ["hr", "temp", "resp", "wbc", "lactate"]
+    filled = clean.locf_fill(fx.panel_short(spark, sf), PANEL)
+    long = windows.pad_front(windows.last_rows(filled, PANEL), PANEL, ms)
+    return windows.window_arrays(long, PANEL, ms, out="features")
+
+
+def q_input_checks(spark, sf):
+    """Shape, NaN/inf and value-range checks per request."""
+    c = quality.input_checks(_request_windows(spark, sf), "features", steps=6)
+    return _r6(c.drop("features"), ["value_mean", "value_std"])
+
+
+def q_validation_report(spark, sf):
+    """All panel checks as one findings table (rows-only check)."""
+    return quality.validation_report(fx.panel(spark, sf), PANEL)
+
+
+# ---------------------------------------------------------- scoring (K)
+
+def q_risk_levels(spark, sf):
+    """B8 on the ensemble probability."""
+    e = _ens(spark, sf)
+    return clean.risk_levels(e, "p").select("row_id", "p", "risk_level")
+
+
+def q_score_summary(spark, sf):
+    """K1-K3: probability, risk, confidence and the explanation's numbers
+    (the struct and map are flattened for comparison)."""
+    w = _wide(spark, sf)
+    s = scoring.score_summary(w, MODELS, "ensemble", ["row_id"])
+    return s.select("row_id", "probability", "risk_level", "confidence",
+                    F.col("explanation.ensemble_mean").alias("ensemble_mean"),
+                    F.col("explanation.prediction_std").alias("prediction_std"),
+                    F.col("explanation.model_count").alias("model_count"),
+                    F.col("explanation.base_predictions")["model_0"].alias("model_0"))
+
+
+def q_explain_contributions(spark, sf):
+    return scoring.contributions(fx.preds(spark, sf), MODELS, ["row_id"])
+
+
+def q_explain_summary(spark, sf):
+    return scoring.explain_summary(fx.preds(spark, sf), MODELS, ["row_id"])
+
+
+def _flat_rows(spark, sf):
+    """Batch-scoring input: one flat row of numbers per patient (its filled
+    measures hour by hour, 5 to 45 values)."""
+    ms = ["hr", "temp", "resp", "wbc", "lactate"]
+    filled = clean.locf_fill(fx.panel_short(spark, sf), PANEL)
+    g = filled.groupBy("patient_id").agg(
+        F.array_sort(F.collect_list(F.struct("hour", F.array(*ms).alias("v")))).alias("__r"))
+    return g.select("patient_id", F.flatten(F.transform("__r", lambda x: x["v"])).alias("values"))
+
+
+def q_batch_windows(spark, sf):
+    """K4: flat rows reshaped to 6 x ceil(n/6) windows with zero padding."""
+    r = scoring.reshape_flat(_flat_rows(spark, sf), "values")
+    st = r.select("patient_id", F.posexplode("window").alias("step", "row"))
+    return st.select("patient_id", F.col("step").cast("int").alias("step"),
+                     F.posexplode("row").alias("j", "value")).select(
+        "patient_id", "step", F.col("j").cast("int").alias("j"), "value")
+
+
+def q_batch_results(spark, sf):
+    """K5 + K6: scored rows with index, default patient id and risk; rows
+    whose base predictions are invalid are routed apart."""
+    w = _wide(spark, sf).withColumn("__ok", F.lit(True))
+    for m in MODELS:
+        w = w.withColumn("__ok", F.col("__ok") & F.col(m).isNotNull() & (F.col(m) >= 0) & (F.col(m) <= 1))
+    good, _bad, _tot, _first = scoring.route_errors(w, "__ok", "row_id")
+    return scoring.batch_rows(good, "row_id", None, "ensemble")
+
+
+# -------------------------------------------------------- monitoring (L)
+
+def q_performance_summary(spark, sf):
+    """L1 + L2 for the 7 days up to the log's last entry."""
+    log = fx.predlog(spark, sf)
+    s = monitor.performance_summary(log, monitor.latest_time(log), 7)
+    return _r6(s, ["prediction_mean", "prediction_std", "confidence_mean", "confidence_std",
+                   "mean_processing_time_ms"])
+
+
+def q_recent_log(spark, sf):
+    """L3: the retained (most recent 10,000) log entries."""
+    return monitor.recent_entries(fx.predlog(spark, sf))
+
+
+def q_monitor_windows(spark, sf):
+    """L5 batch twin: the summary per 7-day window sliding by a day."""
+    return _r6(monitor.window_summary(fx.predlog(spark, sf)),
+               ["prediction_mean", "prediction_std", "confidence_mean"])
+
+
+# ------------------------------------------------------------ splits (E)
+
+def q_group_kfold(spark, sf):
+    p = fx.panel(spark, sf).select("patient_id", "hour")
+    return splits.group_folds(p, "patient_id", 5, method="rank")
+
+
+def q_stratified_kfold(spark, sf):
+    return splits.stratified_folds(fx.preds(spark, sf).select("row_id", "y"), "y", "row_id", 5)
+
+
+def q_holdout_split(spark, sf):
+    """E1 + E2: whole patients to train/test by a seeded hash (rows-only)."""
+    return splits.holdout_split(fx.panel(spark, sf).select("patient_id", "hour"), "patient_id")
+
+
+def _fold_long(spark, sf):
+    f = splits.stratified_folds(fx.preds(spark, sf), "y", "row_id", 5)
+    return metrics.predictions_long(f.withColumnRenamed("fold", "fold_id"), MODELS, extra_keys=["fold_id"])
+
+
+def q_fold_auc(spark, sf):
+    """AUROC/AUPRC per model and stratified fold."""
+    return _r6(metrics.auc_table(_fold_long(spark, sf), ("model", "fold_id")), ["auroc", "auprc"])
+
+
+def q_cv_summary(spark, sf):
+    """Mean and population std of the fold AUROCs per model."""
+    a = metrics.auc_table(_fold_long(spark, sf), ("model", "fold_id"))
+    return _r6(splits.cv_summary(a), ["cv_auc", "cv_std"])
+
+
 def QUERIES() -> dict:
     return {
+        "null_profile": q_null_profile,
+        "panel_profile": q_panel_profile,
+        "label_distribution": q_label_distribution,
+        "class_imbalance": q_class_imbalance,
+        "input_checks": q_input_checks,
+        "validation_report": q_validation_report,
+        "risk_levels": q_risk_levels,
+        "score_summary": q_score_summary,
+        "explain_contributions": q_explain_contributions,
+        "explain_summary": q_explain_summary,
+        "batch_windows": q_batch_windows,
+        "batch_results": q_batch_results,
+        "performance_summary": q_performance_summary,
+        "recent_log": q_recent_log,
+        "monitor_windows": q_monitor_windows,
+        "group_kfold": q_group_kfold,
+        "stratified_kfold": q_stratified_kfold,
+        "holdout_split": q_holdout_split,
+        "fold_auc": q_fold_auc,
+        "cv_summary": q_cv_summary,
         "prediction_histograms": q_prediction_histograms,
         "probability_histograms_20": q_probability_histograms_20,
         "disagreement_histogram": q_disagreement_histogram,
