@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from .ordering import exact_quantiles, ordinal_rank, unpivot
+from .ordering import ordinal_rank, quantiles_by, unpivot
 
 STAT_COLS = ["ensemble_mean", "ensemble_std", "ensemble_min", "ensemble_max",
              "ensemble_range", "ensemble_median"]
@@ -129,18 +129,15 @@ def target_correlations(df: DataFrame, features: list, label: str = "y") -> Data
 
 
 def describe(df: DataFrame, features: list) -> DataFrame:
-    """Count, mean, sample std, min, exact quartiles, max per feature."""
-    aggs = []
-    for c in features:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.max(x).alias(f"{c}__max")]
-    one = df.agg(*aggs)
-    stack = ", ".join(
-        f"'{c}', `{c}__count`, `{c}__mean`, `{c}__std`, `{c}__min`, `{c}__max`" for c in features)
-    basic = one.selectExpr(f"stack({len(features)}, {stack}) AS (feature, count, mean, std, min, max)")
-    q = exact_quantiles(df, features, [0.25, 0.5, 0.75]).select(
+    """Count, mean, sample std, min, exact quartiles, max per feature.
+    The table is unpivoted to (feature, value) and aggregated per feature,
+    so each statistic is one aggregation buffer however many features."""
+    long = unpivot(df.select(*[F.col(c).cast("double").alias(c) for c in features]), [], features,
+                   "feature", "value")
+    basic = long.groupBy("feature").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    q = quantiles_by(long, ["feature"], "value", [0.25, 0.5, 0.75], ngroups=len(features)).select(
         "feature", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
     return basic.join(q, "feature")
 

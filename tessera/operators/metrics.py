@@ -62,21 +62,22 @@ def auc_table(long: DataFrame, groups=("model",)) -> DataFrame:
 
 def confusion(long: DataFrame, thresholds: list, groups=("model",)) -> DataFrame:
     """H3: TP/TN/FP/FN per group and threshold (predicted positive when
-    p >= t). One aggregation pass computes four conditional sums per
-    threshold (partial aggregation before the shuffle), then the result is
-    unpivoted to one row per (group, threshold)."""
-    y = F.col("y")
-    aggs = []
+    p >= t). One aggregation pass: class totals once, and two conditional
+    counts per threshold (few aggregation buffers, so whole-stage codegen
+    stays on); FN and TN follow from the totals. Partial aggregation runs
+    before the shuffle, then one row per (group, threshold) is unpivoted."""
+    y1 = F.col("y") == 1
+    aggs = [F.count_if(y1).alias("__P"), F.count_if(~y1).alias("__N")]
     for i, t in enumerate(thresholds):
-        pos = (F.col("p") >= X.dlit(t)).cast("int")
-        aggs += [F.sum(pos * y).cast("long").alias(f"tp{i}"),
-                 F.sum((1 - pos) * (1 - y)).cast("long").alias(f"tn{i}"),
-                 F.sum(pos * (1 - y)).cast("long").alias(f"fp{i}"),
-                 F.sum((1 - pos) * y).cast("long").alias(f"fn{i}")]
+        hit = F.col("p") >= X.dlit(t)
+        aggs += [F.count_if(hit & y1).alias(f"tp{i}"), F.count_if(hit & ~y1).alias(f"fp{i}")]
     wide = long.groupBy(*groups).agg(*aggs)
-    parts = ", ".join(f"CAST({float(t)!r} AS DOUBLE), tp{i}, tn{i}, fp{i}, fn{i}"
-                      for i, t in enumerate(thresholds))
-    return wide.selectExpr(*groups, f"stack({len(thresholds)}, {parts}) AS (t, tp, tn, fp, fn)")
+    parts = ", ".join(f"CAST({float(t)!r} AS DOUBLE), tp{i}, fp{i}" for i, t in enumerate(thresholds))
+    lg = wide.selectExpr(*groups, "__P", "__N", f"stack({len(thresholds)}, {parts}) AS (t, tp, fp)")
+    return lg.select(*groups, "t", F.col("tp").cast("long").alias("tp"),
+                     (F.col("__N") - F.col("fp")).cast("long").alias("tn"),
+                     F.col("fp").cast("long").alias("fp"),
+                     (F.col("__P") - F.col("tp")).cast("long").alias("fn"))
 
 
 def _ratio(a, b):

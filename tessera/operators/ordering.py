@@ -140,14 +140,27 @@ def unpivot(df: DataFrame, id_cols: list, value_cols: list, name: str = "feature
         df.select(F.lit(0).alias("__id"), *value_cols).unpivot(["__id"], value_cols, name, value).drop("__id")
 
 
+# Largest group whose exact quantile state (a value -> count map) may sit in
+# one task; bigger groups use the distributed rank method.
+LOCAL_QUANTILE_ROWS = 10_000_000
+
+
 def quantiles_by(long: DataFrame, group_cols: list, value: str, probs: list,
-                 ngroups: int | None = None, nparts: int | None = None) -> DataFrame:
+                 ngroups: int | None = None, nparts: int | None = None,
+                 local_rows: int = LOCAL_QUANTILE_ROWS) -> DataFrame:
     """One row per group: ``q{i}`` = linear-interpolated quantile
     ``probs[i]`` of the non-NULL ``value``s (DuckDB ``quantile_cont``,
-    numpy's default). Distributed: rank inside each group, then pick the two
-    neighbouring ranks of every quantile and interpolate."""
+    numpy's default). The group sizes are measured first: when every group
+    has at most ``local_rows`` values, Spark's exact ``percentile`` aggregate
+    is used (its state is bounded by the group size); otherwise the
+    distributed method ranks values inside each group, picks the two
+    neighbouring ranks of every quantile and interpolates."""
     vals = long.select(*group_cols, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
+    biggest = counts.agg(F.max("__n")).first()[0] or 0
+    if biggest <= local_rows:
+        agg = vals.groupBy(*group_cols).agg(F.percentile("__v", [float(p) for p in probs]).alias("__q"))
+        return agg.select(*group_cols, *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))])
     ranked = ordinal_rank(vals, group_cols, ["__v"], out="__r", nparts=nparts, ngroups=ngroups)
     pairs = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
     pos = F.col("__nm1") * F.col("__q.p")

@@ -14,7 +14,8 @@ earlier (or, for the backward fill, later) segments, and that carry is joined
 back on (entity, segment). The scanned rows are already hash-partitioned and
 sorted on (entity, segment) by the window, so the join moves only the small
 summary side. ``span=None`` gives the plain one-window form (tests compare
-the two).
+the two); the default ``"auto"`` measures the largest entity first and
+segments only when one entity is too big for a task.
 """
 
 from __future__ import annotations
@@ -25,7 +26,22 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from .ordering import join_small  # noqa: F401  (re-export for callers)
 
-DEFAULT_SPAN = 1024
+DEFAULT_SPAN = "auto"
+SEGMENT_SPAN = 1024
+# Largest entity (rows) that one task scans as a whole; above it the scan is
+# segmented.
+HOT_ENTITY_ROWS = 2_000_000
+
+
+def choose_span(df: DataFrame, entity: str, span=DEFAULT_SPAN, hot_rows: int = HOT_ENTITY_ROWS):
+    """Resolve ``span="auto"``: one aggregate (partial counts per entity,
+    then their max) finds the largest entity; if it fits one task the plain
+    per-entity window is used (``None``), otherwise ``SEGMENT_SPAN``-unit
+    segments split it. Explicit spans pass through."""
+    if span != "auto":
+        return span
+    biggest = df.groupBy(entity).count().agg(F.max("count")).first()[0] or 0
+    return None if biggest <= hot_rows else SEGMENT_SPAN
 
 OPS = ("ffill", "bfill", "lag1", "lag2", "cummax", "cummin")
 
@@ -59,6 +75,7 @@ def entity_scan(df: DataFrame, entity: str, order: list, cols: list,
     must be unique per entity for a deterministic result).
     """
     ops = tuple(ops)
+    span = choose_span(df, entity, span)
     time = order[0]
     seg = "__seg"
     d = df.withColumn(seg, _segment(df, time, span))

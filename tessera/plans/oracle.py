@@ -130,6 +130,9 @@ def SQL() -> dict:
     q.update(meta_metric_sqls())
     q.update(report_sqls())
     q.update(ops_sqls())
+    q["class_weights"] = (
+        "SELECT vec_id AS row_id, CAST(label <> 0 AS INT) AS label, "
+        "round(count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY label <> 0)), 9) AS weight FROM embeddings")
     return q
 
 

@@ -435,8 +435,47 @@ def q_cv_summary(spark, sf):
     return _r6(splits.cv_summary(a), ["cv_auc", "cv_std"])
 
 
+# ----------------------------------------------------------- learners (F)
+
+def _embedded(spark, sf):
+    """embeddings -> (row_id, features vector, label 0/1)."""
+    from pyspark.ml.functions import array_to_vector
+    e = fx.table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"),
+                    array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"),
+                    (F.col("label") != 0).cast("double").alias("label"))
+
+
+def q_class_weights(spark, sf):
+    """F8: balanced class weights n / (2 n_class) per row."""
+    from ..operators import learners
+    w = learners.class_weights(_embedded(spark, sf), "label")
+    return w.select("row_id", F.col("label").cast("int").alias("label"), F.round("weight", 9).alias("weight"))
+
+
+def q_oof_predictions(spark, sf):
+    """E5 + F5 + F1 (small): out-of-fold probabilities of a logistic
+    regression and a boosted-tree model over 3 stratified folds (rows-only)."""
+    from ..operators import learners
+    d = splits.stratified_folds(learners.class_weights(_embedded(spark, sf), "label"), "label", "row_id", 3)
+    ests = {k: v for k, v in learners.base_learners(64, scale=0.02).items()
+            if k in ("LogisticRegression", "XGBoost_Advanced")}
+    return learners.out_of_fold(d, ests, "row_id", "fold", 3)
+
+
+def q_top_importances(spark, sf):
+    """F10 + I23: top-20 feature importances of a boosted-tree model."""
+    from ..operators import learners
+    d = learners.class_weights(_embedded(spark, sf), "label")
+    m = learners.base_learners(64, scale=0.02)["XGBoost_Advanced"].fit(d)
+    return reports.top_importances(learners.feature_importances(m), 20)
+
+
 def QUERIES() -> dict:
     return {
+        "class_weights": q_class_weights,
+        "oof_predictions": q_oof_predictions,
+        "top_importances": q_top_importances,
         "null_profile": q_null_profile,
         "panel_profile": q_panel_profile,
         "label_distribution": q_label_distribution,
