@@ -103,3 +103,24 @@ def feature_importances(model, names: list | None = None) -> DataFrame:
     imp = model.featureImportances.toArray()
     names = names or [f"f{i}" for i in range(len(imp))]
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, importance double")
+
+
+def with_early_stopping(est: GBTClassifier, indicator: str = "is_validation", tol: float = 0.01) -> GBTClassifier:
+    """boosted trees stop when the loss on rows flagged ``indicator``
+    stops improving by ``tol`` (Spark's validation-indicator form; the
+    reference's fixed 50-round patience has no equivalent)."""
+    return est.copy({est.validationIndicatorCol: indicator, est.validationTol: tol})
+
+
+def learning_curve(model, train: DataFrame, valid: DataFrame) -> DataFrame:
+    """Log-loss per boosting iteration on training and validation rows
+    (Spark's ``evaluateEachIteration``: one distributed pass per set; the
+    result has one row per iteration) and the best validation iteration."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    tr = model.evaluateEachIteration(train)
+    va = model.evaluateEachIteration(valid)
+    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(tr, va))]
+    df = spark.createDataFrame(rows, "iteration int, train_loss double, validation_loss double")
+    best = min(rows, key=lambda r: (r[2], r[0]))[0]
+    return df.withColumn("best_iteration", F.lit(best))

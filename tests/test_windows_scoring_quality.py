@@ -79,3 +79,16 @@ def test_stratified_folds_balance(spark):
     f = splits.stratified_folds(df, "y", "id", 5)
     per = f.groupBy("fold").agg(F.sum("y").alias("pos")).collect()
     assert {r.pos for r in per} == {20}
+
+
+def test_learning_curve_and_early_stopping(spark):
+    from pyspark.ml.linalg import Vectors
+    from tessera.operators import learners
+    rows = [(i, Vectors.dense([float(i % 7), float(i % 3)]), float(i % 7 > 3), 1.0, i % 4 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, ["row_id", "features", "label", "weight", "is_validation"])
+    est = learners.base_learners(2, scale=0.02)["XGBoost_Advanced"]
+    m = est.fit(df.filter(~F.col("is_validation")))
+    lc = learners.learning_curve(m, df.filter(~F.col("is_validation")), df.filter("is_validation")).collect()
+    assert len(lc) == m.getNumTrees and lc[0].train_loss >= lc[-1].train_loss
+    es = learners.with_early_stopping(est).fit(df)
+    assert es.getNumTrees <= est.getMaxIter()
