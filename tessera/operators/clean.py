@@ -182,8 +182,13 @@ def advanced_imputation(df: DataFrame, spec: PanelSpec = PanelSpec(), span=DEFAU
     out = df.fillna(0.0, subset=dt) if dt else df
     vitals = present(out.columns, spec.vitals)
     if vitals:
-        out = locf_fill(out, spec, vitals, span)
-        out = median_fill(out, vitals, zero_when_all_null=False)
+        # fill scans only for vitals that still hold a NULL (after the
+        # loader's imputation usually none): one count pass decides
+        nulls = null_counts(out, vitals)
+        need = [c for c in vitals if nulls[c] > 0]
+        if need:
+            out = locf_fill(out, spec, need, span)
+            out = median_fill(out, need, zero_when_all_null=False)
     out = lab_default_fill(out, spec)
     fills = {}
     for c in feats:

@@ -121,7 +121,11 @@ def prepare_windows(df: DataFrame, spec: PanelSpec = PanelSpec(), n: int = C.TIM
     Returns (long window table, labels table, stats table, feature list).
     """
     from pyspark import StorageLevel
+
+    from .scan import choose_span
     keep = StorageLevel.MEMORY_AND_DISK
+    # the entity sizes are the same for every scan below: decide once
+    span = choose_span(df, spec.entity, span)
     # fitted statistics (medians, scaler) read their input once more: keep
     # the intermediate tables instead of re-running the ordered scans
     base = load_imputation(df, spec, span).persist(keep) if impute_on_load else df
