@@ -78,6 +78,8 @@ def ordinal_rank(df: DataFrame, group_cols: list, order_cols: list,
     # seeded by RDD id). So the tagged rows are written once to the shared
     # checkpoint folder (reliable: survives executor loss) and both branches
     # read that copy.
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     ranged = ranged.checkpoint(eager=True)
     stats = ranged.groupBy("__pid", *group_cols).agg(
         F.count(F.lit(1)).alias("__cnt"), F.min("__loc").alias("__first"))
