@@ -106,15 +106,18 @@ def _link(radius: int, dense: int | None):
     """Task function over rows (tab, key, fp) sorted by (tab, key): edges (a, b, NULL), or
     members of a bucket with over ``dense`` fingerprints as (fp, NULL, tab)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def later(tab: int, parts: list[np.ndarray]):
+            fps = np.concatenate(parts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(fps.astype(np.int64)), pa.nulls(len(fps), pa.int64()), pa.array(np.full(len(fps), tab, np.int32))],
+                ["a", "b", "tab"])
+
         def close(tab: int, parts: list[np.ndarray], size: int):
-            if size < 2:
+            if size < 2 or not parts:
                 return None
-            fps = np.unique(np.concatenate(parts))
-            if dense and len(fps) > dense:
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(fps.astype(np.int64)), pa.nulls(len(fps), pa.int64()), pa.array(np.full(len(fps), tab, np.int32))],
-                    ["a", "b", "tab"])
-            a, b = forest(fps, radius)
+            if dense and size > dense:
+                return later(tab, parts)
+            a, b = forest(np.concatenate(parts), radius)
             return pa.RecordBatch.from_arrays(
                 [pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.nulls(len(a), pa.int32())],
                 ["a", "b", "tab"]) if len(a) else None
@@ -140,6 +143,9 @@ def _link(radius: int, dense: int | None):
                     last, parts, size = here, [], 0
                 parts.append(fp[s:ends[k]])
                 size += ends[k] - s
+                if dense and size > dense:  # a large bucket is passed on as it comes, not gathered
+                    yield later(here[0], parts)
+                    parts = []
         if last is not None and (out := close(last[0], parts, size)) is not None:
             yield out
     return run
