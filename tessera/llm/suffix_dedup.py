@@ -14,8 +14,9 @@ passages of one mark, its family, hold every repeat of their windows.
    different passages from several documents.
 2. Equal passages are thus decided: all but the smallest document's go whole.
 3. Different passages of a family may share windows. Each different passage's
-   bytes go, once, to the family's task; what one block sent is a shard. The
-   shards' transforms are merged by interleave refinement (``bwt.py``), whose
+   bytes go, once, to the family's task, which first sets aside those that
+   share no 40 bytes around the mark with another document (they cannot share
+   50). What one block sent is a shard. The shards' transforms are merged by interleave refinement (``bwt.py``), whose
    boundaries give the common prefixes; an interval of suffixes that share 50
    bytes and come from several documents is a repeat, and its windows in all
    but the smallest document go.
@@ -57,7 +58,7 @@ MARK = 20
 MARKS = LENGTH - MARK + 1  # marks to choose from in a window
 BLOCK_BYTES = 1 << 21
 BLOCK_DOCS = 60_000  # document numbers in a block fit 16 bits
-SEGMENT = 1 << 21
+SEGMENT = 1 << 16
 BATCH_BYTES = 1 << 22
 
 _BYTE = np.random.default_rng(50).integers(0, 1 << 64, 256, np.uint64)
@@ -79,8 +80,8 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def passages(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of joined documents that end at ``ends``: (mark, doc, low, high) of every passage: the 64-bit hash of its mark,
-    its document's number, its first and last window."""
+    """Of joined documents that end at ``ends``: (mark, doc, low, high, place) of every passage: the 64-bit hash of its
+    mark, its document's number, its first and last window, and the mark's place."""
     parts = []
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
     for seg in range(0, max(0, len(data) - LENGTH + 1), SEGMENT):
@@ -106,12 +107,11 @@ def passages(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(new)
         last = np.concatenate((first[1:], [len(window)])) - 1
         low, high = window[first] + seg, window[last] + seg
-        parts.append((mark[at[first]], np.searchsorted(starts, low, "right") - 1, low, high))
+        parts.append((mark[at[first]], np.searchsorted(starts, low, "right") - 1, low, high, at[first] + seg))
     if not parts:
-        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
-    mark, doc, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-    # empty documents share their start with the next; the last of equal starts holds the window
-    return mark, doc, low, high
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4))
+    # empty documents share their start with the next: the last of equal starts holds the window
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def contents(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -129,9 +129,9 @@ class Block:
         self.ends = np.cumsum(np.frombuffer(row["sizes"], np.int64))
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.known = np.frombuffer(row["known"], bool)  # is the id not NULL?
-        self.mark, doc, self.low, self.high = passages(self.data, self.ends)
+        mark, doc, low, high, place = passages(self.data, self.ends)
         keep = self.known[doc] if len(doc) else np.empty(0, bool)
-        self.mark, self.doc, self.low, self.high = self.mark[keep], self.ids[doc[keep]], self.low[keep], self.high[keep]
+        self.mark, self.doc, self.low, self.high, self.place = mark[keep], self.ids[doc[keep]], low[keep], high[keep], place[keep]
         self.content = contents(self.data, self.low, self.high)
         order = np.lexsort((self.doc, self.content))
         c = self.content[order]
@@ -256,7 +256,7 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.int64()), ("what", pa.string()), ("data", pa.binary())]))
 
 
-SHARD = "bucket int, block long, marks binary, contents binary, docs binary, sizes binary, data binary"
+SHARD = "bucket int, block long, marks binary, contents binary, docs binary, sizes binary, offsets binary, data binary"
 
 
 def _shards(n: int):
@@ -277,7 +277,8 @@ def _shards(n: int):
             if len(p):
                 joined = b"".join(x.data[a:b].tobytes() for a, b in zip(x.low[p].tolist(), (x.high[p] + LENGTH).tolist(), strict=True))
                 out.append((k, left["block"].iloc[0], (x.mark[p] & np.uint64(0xFFFFFFFFFFFF)).tobytes(), x.content[p].tobytes(),
-                            x.doc[p].tobytes(), (x.high[p] - x.low[p] + LENGTH).astype(np.int64).tobytes(), zstandard.compress(joined, 1)))
+                            x.doc[p].tobytes(), (x.high[p] - x.low[p] + LENGTH).astype(np.int64).tobytes(),
+                            (x.place[p] - x.low[p]).astype(np.int64).tobytes(), zstandard.compress(joined, 1)))
         return pd.DataFrame(out, columns=columns)
     return run
 
@@ -305,23 +306,55 @@ def windows_to_go(strings: list[np.ndarray], docs: list[np.ndarray], depth: int
     return out
 
 
+def may_repeat(data: np.ndarray, sizes: np.ndarray, offset: np.ndarray, family: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of joined passages with their mark at ``offset``: may a window of theirs stand in another document's of the family?
+
+    A window that starts 20 or more bytes before the mark holds the 20 bytes before and the mark, one that starts 10 to
+    19 before holds 10 before and 10 after it, and one that starts later holds the 20 after it: 40 bytes at a known
+    distance from the mark. A passage none of whose three such strings another document's shares has no repeat."""
+    start = np.cumsum(sizes) - sizes
+    h1 = _BYTE[data]
+    h2 = _join(h1[:-1], h1[1:])
+    h4 = _join(h2[:-2], h2[2:])
+    h8 = _join(h4[:-4], h4[4:])
+    h16 = _join(h8[:-8], h8[8:])
+    out = np.zeros(len(sizes), bool)
+    for back in (20, 10, 0):
+        low = offset - back
+        rows = np.flatnonzero((low >= 0) & (low + 40 <= sizes))
+        at = (start + low)[rows]
+        h = _join(_join(h16[at], h16[at + 16]), h8[at + 32])
+        order = np.lexsort((doc[rows], h, family[rows]))
+        f, h, d = family[rows][order], h[order], doc[rows][order]
+        first = np.flatnonzero(np.concatenate(([True], (f[1:] != f[:-1]) | (h[1:] != h[:-1])))) if len(rows) else rows
+        if len(first):
+            several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+            out[rows[order]] |= np.repeat(several, np.diff(np.append(first, len(rows))))
+    return out
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards of a bucket of marks -> per block: contents and the windows of them that go, as bits."""
-    block, mark, content, doc, text = [], [], [], [], []
+    block, mark, content, doc, size, offset, joined = [], [], [], [], [], [], []
     for b in batches:
         for r in b.to_pylist():
             sizes = np.frombuffer(r["sizes"], np.int64)
-            data = np.frombuffer(zstandard.decompress(r["data"]), np.uint8)
-            text += np.split(data, np.cumsum(sizes)[:-1])
+            joined.append(np.frombuffer(zstandard.decompress(r["data"]), np.uint8))
+            size.append(sizes)
+            offset.append(np.frombuffer(r["offsets"], np.int64))
             mark.append(np.frombuffer(r["marks"], np.uint64))
             content.append(np.frombuffer(r["contents"], np.uint64))
             doc.append(np.frombuffer(r["docs"], np.int64))
             block.append(np.full(len(sizes), r["block"], np.int64))
     if not block:
         return
-    block, mark, content, doc = (np.concatenate(x) for x in (block, mark, content, doc))
-    size = np.array([len(t) for t in text])
-    order = np.lexsort((block, mark))
+    block, mark, content, doc, size, offset, joined = (np.concatenate(x) for x in (block, mark, content, doc, size, offset, joined))
+    begin_of = np.cumsum(size) - size
+    chosen = np.flatnonzero(may_repeat(joined, size, offset, mark, doc))
+    if not len(chosen):
+        return
+    order = chosen[np.lexsort((block[chosen], mark[chosen]))]
+    text = {i: joined[a:b] for i, a, b in zip(chosen.tolist(), begin_of[chosen].tolist(), (begin_of + size)[chosen].tolist(), strict=True)}
     families = np.flatnonzero(np.concatenate(([True], mark[order][1:] != mark[order][:-1])))
     ends = np.append(families[1:], len(order))
     total = np.cumsum(size[order])
@@ -334,7 +367,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows[np.argsort(block[rows], kind="stable")]
         cuts = np.flatnonzero(np.concatenate(([True], block[rows][1:] != block[rows][:-1], [True])))
         parts = [rows[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        gone = windows_to_go([[text[i] for i in p] for p in parts], [doc[p] for p in parts])
+        gone = windows_to_go([[text[i] for i in p.tolist()] for p in parts], [doc[p] for p in parts])
         out: dict[str, list] = {"block": [], "what": [], "data": []}
         for p, marks in zip(parts, gone, strict=True):
             hit = [(i, g) for i, g in zip(p.tolist(), marks, strict=True) if g.any()]
