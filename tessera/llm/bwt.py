@@ -63,32 +63,34 @@ def shard(strings: np.ndarray, lengths: np.ndarray) -> Shard:
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): the merged order of all suffixes, numbered shard by shard in their own order, and the common
-    prefix of each with the one before it, cut off at ``depth``."""
+    prefix of each with the one before it, cut off at ``depth`` (255 at most)."""
     sizes = np.array([len(s.before) for s in shards])
     offset = np.cumsum(sizes) - sizes
     n = int(sizes.sum())
     symbol = np.concatenate([s.before for s in shards]) if shards else np.empty(0, np.uint16)
-    longer = np.zeros(n, np.int64)  # the suffix that is one symbol longer
+    longer = np.zeros(n, np.int32)  # the suffix that is one symbol longer
     for s, o in zip(shards, offset, strict=True):
         by_symbol = np.argsort(s.before, kind="stable")
         longer[o + by_symbol] = o + np.arange(len(by_symbol))
-    fixed = np.concatenate([o + np.arange(s.n_strings) for s, o in zip(shards, offset, strict=True)]) if shards else np.empty(0, np.int64)
-    order = np.arange(n)
-    lcp = np.full(n, depth, np.int64)
-    lcp[:1] = 0
-    block = np.zeros(n, np.int64)
-    for h in range(1, depth + 1):
+    fixed = np.concatenate([o + np.arange(s.n_strings) for s, o in zip(shards, offset, strict=True)]).astype(np.int32) \
+        if shards else np.empty(0, np.int32)
+    m = len(fixed)
+    order = np.arange(n, dtype=np.int32)
+    lcp = np.zeros(n, np.uint8)  # rounds without a boundary
+    block = np.zeros(n, np.int32)
+    new = np.zeros(n, bool)
+    new[:m + 1] = True  # every terminator is a block of its own
+    for _ in range(depth):
         s = symbol[order]
-        real = np.flatnonzero(s)
-        by_symbol = real[np.argsort(s[real], kind="stable")]
-        order_next = np.concatenate((fixed, longer[order[by_symbol]]))
-        source = np.concatenate((np.arange(-len(fixed), 0), block[by_symbol]))  # every terminator is a block of its own
-        first = np.concatenate((np.zeros(len(fixed), np.uint16), s[by_symbol]))
-        new = np.zeros(n, bool)
-        new[1:] = (source[1:] != source[:-1]) | (first[1:] != first[:-1])
-        lcp[new & (lcp == depth)] = h - 1
-        order, block = order_next, np.cumsum(new)
-        if n and block[-1] == n - 1 and h > 1:
+        turn = np.argsort(s, kind="stable")[m:]  # without the m suffixes that are whole strings
+        s, source = s[turn], block[turn]
+        order[m:] = longer[order[turn]]
+        order[:m] = fixed
+        np.not_equal(source[1:], source[:-1], out=new[m + 1:])
+        new[m + 1:] |= s[1:] != s[:-1]
+        lcp += ~new
+        np.cumsum(new, out=block)
+        if n and block[-1] == n:
             break
     return order, lcp
 

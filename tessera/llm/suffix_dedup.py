@@ -59,7 +59,8 @@ MARKS = LENGTH - MARK + 1  # marks to choose from in a window
 BLOCK_BYTES = 1 << 21
 BLOCK_DOCS = 60_000  # document numbers in a block fit 16 bits
 SEGMENT = 1 << 16
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 18  # merged at once, unless one family is larger; the arrays then stay in a processor's cache
+SHARDS = 8
 
 _BYTE = np.random.default_rng(50).integers(0, 1 << 64, 256, np.uint64)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -283,27 +284,27 @@ def _shards(n: int):
     return run
 
 
-def windows_to_go(strings: list[np.ndarray], docs: list[np.ndarray], depth: int = LENGTH) -> list[list[np.ndarray]]:
-    """Of shards of strings (as lists of byte arrays) and their documents: per string, which of its ``depth``-byte
-    windows also stand in a string of a smaller document."""
+def windows_to_go(strings: list[list[np.ndarray]], docs: list[np.ndarray], depth: int = LENGTH) -> list[np.ndarray]:
+    """Of shards of strings (of up to depth + 63 bytes) and their documents: per string, as bits, which of its
+    ``depth``-byte windows also stand in a string of a smaller document."""
     shards = [shard(np.concatenate(s), np.array([len(x) for x in s])) for s in strings]
     order, lcp = merge(shards, depth)
     starts = repeated(lcp, depth)
     # of every suffix, in the shards' own orders: its string and its offset in it
-    number, offset, doc = [], [], []
-    for s, t, d in zip(shards, strings, docs, strict=True):
+    string, offset, base = [], [], 0
+    for s, t in zip(shards, strings, strict=True):
         sizes = np.array([len(x) + 1 for x in t])
-        owner = np.repeat(np.arange(len(t)), sizes)
-        number.append(owner[s.place])
-        offset.append((np.arange(int(sizes.sum())) - (np.cumsum(sizes) - sizes)[owner])[s.place])
-        doc.append(d[owner[s.place]])
-    which = np.concatenate([np.full(len(x), k) for k, x in enumerate(number)])[order]
-    number, offset, doc = (np.concatenate(x)[order] for x in (number, offset, doc))
+        owner = np.repeat(np.arange(len(t)), sizes)[s.place]
+        string.append(owner + base)
+        offset.append(s.place - (np.cumsum(sizes) - sizes)[owner])
+        base += len(t)
+    string, offset = np.concatenate(string)[order], np.concatenate(offset)[order]
+    doc = np.concatenate(docs)[string]
     least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(doc))))
-    out = [[np.zeros(max(0, len(x) - depth + 1), bool) for x in s] for s in strings]
-    for k in np.flatnonzero(least < doc).tolist():
-        out[which[k]][number[k]][offset[k]] = True
-    return out
+    hit = np.flatnonzero(least < doc)
+    bits = np.zeros(base, np.uint64)
+    np.bitwise_or.at(bits, string[hit], np.uint64(1) << offset[hit].astype(np.uint64))
+    return np.split(bits, np.cumsum([len(t) for t in strings])[:-1])
 
 
 def may_repeat(data: np.ndarray, sizes: np.ndarray, offset: np.ndarray, family: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -365,17 +366,14 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upto = max(at + 1, int(np.searchsorted(total[ends - 1], base + BATCH_BYTES, "right")))
         rows = order[begin:ends[upto - 1]]
         rows = rows[np.argsort(block[rows], kind="stable")]
-        cuts = np.flatnonzero(np.concatenate(([True], block[rows][1:] != block[rows][:-1], [True])))
-        parts = [rows[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        parts = np.array_split(rows, min(SHARDS, len(rows)))  # neighbouring blocks' passages
         gone = windows_to_go([[text[i] for i in p.tolist()] for p in parts], [doc[p] for p in parts])
-        out: dict[str, list] = {"block": [], "what": [], "data": []}
-        for p, marks in zip(parts, gone, strict=True):
-            hit = [(i, g) for i, g in zip(p.tolist(), marks, strict=True) if g.any()]
-            if hit:
-                bits = np.array([sum(1 << j for j in np.flatnonzero(g).tolist()) for _, g in hit], np.uint64)
-                out["block"].append(int(block[p[0]]))
-                out["what"].append("part")
-                out["data"].append(content[[i for i, _ in hit]].tobytes() + bits.tobytes())
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for p, bits in zip(parts, gone, strict=True):
+            for k in np.flatnonzero(bits).tolist():
+                hits.setdefault(int(block[p[k]]), []).append((p[k], bits[k]))
+        out = {"block": list(hits), "what": ["part"] * len(hits),
+               "data": [content[[i for i, _ in h]].tobytes() + np.array([x for _, x in h], np.uint64).tobytes() for h in hits.values()]}
         yield pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.int64()), ("what", pa.string()), ("data", pa.binary())]))
         at = upto
 
