@@ -48,7 +48,7 @@ from .common import partitions, stored
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, FAN = 1 << 15, 64
 SPACE = "▁"
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 State = tuple[int, int]  # characters past the cut, id of the piece (or -1 - code point for bytes)
 Matrix = dict[State, dict[State, int]]
@@ -73,7 +73,12 @@ class Pieces:
         self.splits = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.edge = re.compile(f"[^{SPACE}](?={SPACE})")
         self.apart = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.neighbours = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.reach: dict[str, int] = {}  # the longest piece with these first three characters
+        for t in self.ids:
+            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 2))
         self.words: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.made: dict[str, tuple[str, str] | None] = {}
         self.sound: dict[str, bool] = {}
@@ -169,12 +174,31 @@ class Pieces:
         return best
 
     def word(self, word: str) -> list[int]:
-        """Ids of a whole word: the only compatible path through it, longest pieces first, back from dead ends."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        n, ids, longest, follows = len(word), self.ids, self.longest, self.follows
-        at, last, limit = 0, START[1], min(len(word), self.longest)
+        """Ids of a whole word, remembered; two characters that stand side by side in no piece part it."""
+        out = self.words.get(word) or self.older.get(word)
+        if out is None:
+            at, out, pairs = 0, [], self.neighbours
+            for i in range(1, len(word)):
+                if word[i - 1:i + 1] not in pairs:
+                    out += self.remembered(word[at:i])
+                    at = i
+            out = out + self.remembered(word[at:]) if at else self.fragment(word)
+        if len(word) <= 64:
+            self.words[word] = out
+            if len(self.words) > REMEMBERED:  # words not seen since the last time go
+                self.older, self.words = self.words, {}
+        return out
+
+    def remembered(self, part: str) -> list[int]:
+        found = self.words.get(part) or self.older.get(part) or self.fragment(part)
+        if len(part) <= 64:
+            self.words[part] = found
+        return found
+
+    def fragment(self, word: str) -> list[int]:
+        """Ids of a part of a word: the only compatible path through it, longest pieces first, back from dead ends."""
+        n, ids, reach, follows = len(word), self.ids, self.reach, self.follows
+        at, last, limit = 0, START[1], min(len(word), reach.get(word[:3], 2))
         done: list[tuple[int, int, int]] = []  # start, piece before it, end
         took: list[int] = []
         dead: set[int] = set()
@@ -189,19 +213,14 @@ class Pieces:
                     done.append((at, last, end))
                     took.append(piece)
                     at, last = end, piece
-                    limit = min(n, at + longest)
+                    limit = min(n, at + reach.get(word[at:at + 3], 2))
                     break
             else:  # only one piece can end here, so this place leads nowhere
                 dead.add(at)
                 at, last, end = done.pop()
                 took.pop()
                 limit = end - 1
-        found = self.bytes_of(took)
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if n <= 64:
-            self.words[word] = found
-        return found
+        return self.bytes_of(took) if min(took) < 0 else took
 
     def bytes_of(self, pieces: list[int]) -> list[int]:
         out = []
@@ -265,8 +284,9 @@ class Pieces:
         ids = self._trace(text, entry[1], at, head, None)
         words = self.split(text[head:right])
         last = words if leave is None else words[:-1]
+        known = self.words.get
         for w in last:
-            ids += self.word(w)
+            ids += known(w) or self.word(w)
         return ids if leave is None else ids + self._trace(text, START[1], right - len(words[-1]), right, leave)
 
     def _trace(self, text: str, first: int, at: int, stop: int, leave: State | None) -> list[int]:
