@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
+from .ordering import join_small
 
 
 def base_learners(n_features: int, scale: float = 1.0, seed: int = C.RANDOM_STATE) -> dict:
@@ -35,8 +36,8 @@ def base_learners(n_features: int, scale: float = 1.0, seed: int = C.RANDOM_STAT
                                           maxDepth=p["max_depth"], subsamplingRate=p["subsample"],
                                           featureSubsetStrategy=str(p["colsample_bytree"]), **common),
         # secondary boosted trees
-        "XGBoost_Secondary": GBTClassifier(maxIter=it(300), stepSize=0.02, maxDepth=6, subsamplingRate=0.9,
-                                           featureSubsetStrategy="0.9", **common),
+        "XGBoost_Secondary": GBTClassifier(maxIter=it(p["n_estimators"]), stepSize=0.02, maxDepth=6, subsamplingRate=0.9,
+                                           featureSubsetStrategy=str(p["colsample_bytree"]), **common),
         # leaf-wise boosted trees (num_leaves has no Spark equivalent)
         "LightGBM": GBTClassifier(maxIter=it(400), stepSize=0.02, maxDepth=7, subsamplingRate=0.8,
                                   featureSubsetStrategy="0.8", **common),
@@ -55,18 +56,18 @@ def base_learners(n_features: int, scale: float = 1.0, seed: int = C.RANDOM_STAT
 
 
 def meta_learner(scale: float = 1.0, seed: int = C.RANDOM_STATE) -> GBTClassifier:
-    """the stacking model (200 trees, rate 0.05, depth 4)."""
+    """the stacking model (200 trees, rate 0.05, depth 4), without class weights."""
     return GBTClassifier(maxIter=max(int(200 * scale), 2), stepSize=0.05, maxDepth=4,
-                         featuresCol="features", labelCol="label", weightCol="weight", seed=seed)
+                         featuresCol="features", labelCol="label", seed=seed)
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """F8: balanced weights n / (2 * n_class). The class-count table has one
-    row per label value (two), joined back by broadcast."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    total = df.count()
-    w = counts.select(label, (F.lit(float(total)) / (F.lit(2.0) * F.col("__nc"))).alias(out))
-    return df.join(F.broadcast(w), label)
+    """F8: balanced weights n / (k * n_class) over the k classes of the labelled rows. Rows with a
+    NULL label stay, with a NULL weight. The class counts are broadcast only if they are few."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
+    total, k = counts.agg(F.sum("__nc"), F.count(F.lit(1))).first()
+    w = counts.select(label, (F.lit(float(total or 0)) / (F.lit(float(k)) * F.col("__nc"))).alias(out))
+    return join_small(df, w, label, how="left")
 
 
 def positive_probability(model_df: DataFrame, out: str = "p") -> DataFrame:

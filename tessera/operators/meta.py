@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from .ordering import ordinal_rank, quantiles_by, unpivot
+from .ordering import ordinal_rank, quantiles_by, unpivot, prefix_sums
 
 STAT_COLS = ["ensemble_mean", "ensemble_std", "ensemble_min", "ensemble_max",
              "ensemble_range", "ensemble_median"]
@@ -163,3 +163,21 @@ def mutual_information(df: DataFrame, features: list, label: str = "y", bins: in
                    F.sum("nxy").over(Window.partitionBy("feature", "y")).alias("ny"))
     term = (F.col("nxy") / F.col("n")) * F.log((F.col("nxy") * F.col("n")) / (F.col("nx") * F.col("ny")))
     return t.groupBy("feature").agg(F.sum(term).alias("mi"))
+
+
+def score_counts(long: DataFrame) -> DataFrame:
+    """Training distribution of scores: ``(model, p, n)``, one row per distinct score (ties are one row)."""
+    return long.groupBy("model", "p").agg(F.count(F.lit(1)).alias("n"))
+
+
+def training_shares(counts: DataFrame, scores: DataFrame) -> DataFrame:
+    """``(model, p, share)`` for every distinct score in ``scores(model, p)``: the share of
+    training rows with a smaller score. Both sides are merged in score order and summed by
+    quantile buckets (``prefix_sums``), so no model is one task's."""
+    asked = scores.select("model", "p").distinct()
+    both = counts.select("model", "p", "n").unionByName(asked.select("model", "p", F.lit(0).cast("long").alias("n"))) \
+        .groupBy("model", "p").agg(F.sum("n").alias("n"))
+    totals = counts.groupBy("model").agg(F.sum("n").alias("rows"))
+    below = prefix_sums(both, ["model"], "p", ["n"], descending=False)
+    return below.join(asked, ["model", "p"]).join(totals, "model") \
+        .select("model", "p", ((F.col("n_cum") - F.col("n")) / F.col("rows")).alias("share"))

@@ -225,14 +225,25 @@ def correlation_pairs(df: DataFrame, cols: list, lower_only: bool = True) -> Dat
 
 
 def correlation_matrix(df: DataFrame, cols: list) -> DataFrame:
-    """Full Pearson matrix of many columns with Spark ML's distributed
-    Gramian (one pass; the result is len(cols)^2 numbers), long (a, b, r)."""
+    """Full Pearson matrix of many columns, long (a, b, r), over the rows in which both columns
+    of a pair are given. Without NULLs that is Spark ML's distributed Gramian (one pass); a matrix
+    with NULLs takes one ``corr`` aggregate per pair, some hundred to a pass. The result is
+    len(cols)^2 numbers."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
-    va = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="skip")
-    m = Correlation.corr(va.transform(df.select(*cols)), "__v").head()[0].toArray()
-    rows = [(a, b, float(m[i][j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    schema = "a string, b string, r double"
+    if d.where(F.greatest(*[F.col(c).isNull().cast("int") for c in cols], F.lit(0)) > 0).isEmpty() and not d.isEmpty():
+        va = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="keep")
+        m = Correlation.corr(va.transform(d), "__v").head()[0].toArray()
+        rows = [(a, b, float(m[i][j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+        return df.sparkSession.createDataFrame(rows, schema)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    found = {}
+    for k in range(0, len(pairs), 200):
+        some = pairs[k:k + 200]
+        found.update(zip(some, d.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(some)]).first(), strict=True))
+    return df.sparkSession.createDataFrame([(a, b, found.get((a, b), found.get((b, a)))) for a in cols for b in cols], schema)
 
 
 def top_importances(imp: DataFrame, n: int = 20) -> DataFrame:

@@ -91,7 +91,7 @@ def batch_rows(df: DataFrame, idx: str, id_col: str | None, prob: str) -> DataFr
     pid = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("patient_"), F.col(idx).cast("string"))) \
         if id_col else F.concat(F.lit("patient_"), F.col(idx).cast("string"))
     return df.select(F.col(idx).alias("row_index"), pid.alias("patient_id"),
-                     F.col(prob).alias("sepsis_probability"), X.risk_level(prob).alias("risk_level"))
+                     F.col(prob).alias("probability"), X.risk_level(prob).alias("risk_level"))
 
 
 def route_errors(df: DataFrame, valid: str, idx: str, show: int = 10):

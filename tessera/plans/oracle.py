@@ -130,6 +130,13 @@ def SQL() -> dict:
     q.update(meta_metric_sqls())
     q.update(report_sqls())
     q.update(ops_sqls())
+    long = " UNION ALL ".join(f"SELECT row_id, 'm{i}' AS model, m{i} AS p FROM preds" for i in range(6))
+    q["scoring_ranks"] = with_views(
+        "SELECT s.row_id, s.model, CAST(c.below AS DOUBLE) / c.n AS share FROM pl s JOIN ("
+        " SELECT a.model, a.p, sum(CASE WHEN b.p < a.p THEN b.k ELSE 0 END) AS below, sum(b.k) AS n FROM"
+        " (SELECT DISTINCT model, p FROM pl WHERE row_id % 2 = 1) a JOIN"
+        " (SELECT model, p, count(*) AS k FROM pl WHERE row_id % 2 = 0 GROUP BY ALL) b ON a.model = b.model"
+        " GROUP BY a.model, a.p) c ON s.model = c.model AND s.p = c.p WHERE s.row_id % 2 = 1", "preds", extra=[f"pl AS ({long})"])
     q["class_weights"] = (
         "SELECT vec_id AS row_id, CAST(label <> 0 AS INT) AS label, "
         "round(count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY label <> 0)), 9) AS weight FROM embeddings")
@@ -315,10 +322,10 @@ def meta_metric_sqls() -> dict:
         "row_number() OVER (ORDER BY abs(round(c, 6)) DESC NULLS LAST, feature) AS rank "
         f"FROM ({corr_rows})", "preds", extra=meta_cte)
     desc_rows = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, count({c}) AS count, round(avg({c}), 6) AS mean, "
-        f"round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, round(max({c}), 6) AS max, "
-        f"round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, "
-        f"round(quantile_cont({c}, 0.75), 6) AS q75 FROM meta" for c in names)
+        f"SELECT '{c}' AS feature, count({c}) AS count, avg({c}) AS mean, "
+        f"stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max, "
+        f"quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, "
+        f"quantile_cont({c}, 0.75) AS q75 FROM meta" for c in names)
     q["meta_describe"] = with_views(desc_rows, "preds", extra=meta_cte)
     mi_long = " UNION ALL ".join(f"SELECT '{c}' AS feature, y, CAST({c} AS DOUBLE) AS v FROM meta" for c in names)
     q["meta_mutual_information"] = with_views(
@@ -596,7 +603,7 @@ def ops_sqls() -> dict:
                               " unnest([" + ", ".join(MEASURES) + "]) AS value, unnest(range(1, 6)) AS i FROM filled))"])
     q["batch_results"] = with_views(
         "SELECT row_id AS row_index, concat('patient_', CAST(row_id AS VARCHAR)) AS patient_id, "
-        "ensemble AS sepsis_probability, CASE WHEN ensemble >= 0.8e0 THEN 'HIGH' WHEN ensemble >= 0.5e0 THEN 'MEDIUM' "
+        "ensemble AS probability, CASE WHEN ensemble >= 0.8e0 THEN 'HIGH' WHEN ensemble >= 0.5e0 THEN 'MEDIUM' "
         "ELSE 'LOW' END AS risk_level FROM pw WHERE " + " AND ".join(
             f"{m} IS NOT NULL AND {m} >= 0 AND {m} <= 1" for m in ms), "preds", extra=[WIDE])
     q["performance_summary"] = with_views(

@@ -2,13 +2,13 @@
 the comprehensive report (I25).
 
 The driver only sequences Spark jobs here: every fit is a Spark ML job, every
-table a DataFrame. Small results that steer later jobs (fold count, quantile
-split points) are the only values read back.
+table a DataFrame. Small results that steer later jobs (fold count, class
+counts) are the only values read back.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +18,6 @@ from ..operators import meta as M
 from ..operators import metrics as H
 from ..operators import reports as R
 from ..operators import splits as S
-from ..operators.ordering import quantile_splits
 
 
 def train_stacked(df: DataFrame, features: str = "features", label: str = "label", row_id: str = "row_id",
@@ -47,7 +46,7 @@ def train_stacked(df: DataFrame, features: str = "features", label: str = "label
     meta = M.meta_features(wide, names, row_id, "y", pred_suffix="_pred")
     meta_cols = M.meta_column_names(names)
     va = VectorAssembler(inputCols=meta_cols, outputCol="features")
-    meta_in = L.class_weights(va.transform(meta).withColumn("label", F.col("y").cast("double")), "label")
+    meta_in = va.transform(meta).withColumn("label", F.col("y").cast("double"))
     meta_model = L.meta_learner(scale).fit(meta_in)
     train_scored = L.positive_probability(meta_model.transform(meta_in))
     train_auc = H.auc_table(train_scored.select(row_id, F.lit("Ensemble").alias("model"),
@@ -56,8 +55,8 @@ def train_stacked(df: DataFrame, features: str = "features", label: str = "label
     for name, est in ests.items():
         model, _ = L.fit_predict(est, folded, folded.limit(0))
         fitted[name] = model
-    # stored training distribution of each base model, for scoring-time ranks
-    ecdf = {name: quantile_splits(oof.filter(F.col("model") == name), "p", 1000) for name in names}
+    # stored training distribution of each base model, for scoring-time ranks: rows per distinct score
+    ecdf = M.score_counts(oof)
     return {"models": fitted, "meta_model": meta_model, "names": names, "oof": oof, "fold_auc": fold_auc,
             "cv": cv, "meta": meta, "train_auc": train_auc, "ecdf": ecdf, "n_features": n_features}
 
@@ -74,11 +73,11 @@ def score_stacked(fitted: dict, df: DataFrame, features: str = "features", row_i
     preds = [f"{n}_pred" for n in names]
     stats = M.row_stats(preds)
     cols = {k: v for k, v in stats.items()}
-    for name in names:
-        splits = fitted["ecdf"][name]
-        b = Bucketizer(splits=splits, inputCol=f"{name}_pred", outputCol=f"{name}_rank_b")
-        out = b.transform(out)
-        cols[f"{name}_rank"] = F.col(f"{name}_rank_b") / F.lit(float(len(splits) - 1))
+    scores = out.select(row_id, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("model"), F.col(f"{n}_pred").alias("p")) for n in names])).alias("s")).select(row_id, "s.model", "s.p")
+    shares = M.training_shares(fitted["ecdf"], scores)
+    ranks = scores.join(shares, ["model", "p"]).groupBy(row_id).pivot("model", names).agg(F.first("share"))
+    out = out.join(ranks.select(row_id, *[F.col(n).alias(f"{n}_rank") for n in names]), row_id)
     for i in range(len(names)):
         for j in range(i + 1, len(names)):
             a, c = names[i], names[j]

@@ -121,7 +121,7 @@ def q_meta_target_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_meta_describe(spark: SparkSession, sf: str) -> DataFrame:
     d = meta.describe(_meta(spark, sf), meta.meta_column_names(MODELS))
-    return _r6(d, ["mean", "std", "min", "max", "q25", "q50", "q75"])
+    return d
 
 
 def q_meta_mutual_information(spark: SparkSession, sf: str) -> DataFrame:
@@ -446,6 +446,14 @@ def _embedded(spark, sf):
                     (F.col("label") != 0).cast("double").alias("label"))
 
 
+def q_scoring_ranks(spark, sf):
+    """Share of training scores (even rows) below each score of the other rows, six models."""
+    long = fx.preds(spark, sf).unpivot(["row_id"], [f"m{i}" for i in range(6)], "model", "p")
+    scores = long.where("row_id % 2 = 1")
+    shares = meta.training_shares(meta.score_counts(long.where("row_id % 2 = 0")), scores)
+    return scores.join(shares, ["model", "p"]).select("row_id", "model", "share")
+
+
 def q_class_weights(spark, sf):
     """F8: balanced class weights n / (2 n_class) per row."""
     from ..operators import learners
@@ -474,6 +482,7 @@ def q_top_importances(spark, sf):
 def QUERIES() -> dict:
     return {
         "class_weights": q_class_weights,
+        "scoring_ranks": q_scoring_ranks,
         "oof_predictions": q_oof_predictions,
         "top_importances": q_top_importances,
         "null_profile": q_null_profile,

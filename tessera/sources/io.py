@@ -95,28 +95,35 @@ def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_models(fitted: dict, path: str) -> None:
-    """Spark ML persistence for every fitted model (replaces pickle)."""
+    """All that scoring needs: every fitted model (as a one-stage ML pipeline, which knows its
+    own class), the training distribution of scores, the model names in order and the feature count."""
+    from pyspark.ml import PipelineModel
     for name, m in fitted["models"].items():
-        m.write().overwrite().save(f"{path}/base/{name}")
-    fitted["meta_model"].write().overwrite().save(f"{path}/meta")
-
-
-def load_models(path: str, names: list) -> dict:
-    """Load what ``save_models`` wrote."""
-    from pyspark.ml.classification import (GBTClassificationModel, LogisticRegressionModel,
-                                           MultilayerPerceptronClassificationModel,
-                                           RandomForestClassificationModel)
-    kinds = [GBTClassificationModel, RandomForestClassificationModel, LogisticRegressionModel,
-             MultilayerPerceptronClassificationModel]
-    models = {}
-    for n in names:
-        for k in kinds:
-            try:
-                models[n] = k.load(f"{path}/base/{n}")
-                break
-            except Exception:  # noqa: BLE001 - try the next model type
-                continue
-    return {"models": models, "meta_model": GBTClassificationModel.load(f"{path}/meta"), "names": names}
+        PipelineModel([m]).write().overwrite().save(f"{path}/base/{name}")
+    PipelineModel([fitted["meta_model"]]).write().overwrite().save(f"{path}/meta")
+    counts = fitted["ecdf"]
+    counts.write.mode("overwrite").parquet(f"{path}/score_counts")
+    counts.sparkSession.createDataFrame([(fitted["names"], fitted["n_features"])], "names array<string>, n_features int") \
+        .write.mode("overwrite").parquet(f"{path}/info")
+
+
+def load_models(spark: SparkSession, path: str) -> dict:
+    """Load what ``save_models`` wrote; a part that cannot be read raises."""
+    from pyspark.ml import PipelineModel
+    info = spark.read.parquet(f"{path}/info").first()
+    names = list(info["names"])
+    return {"models": {n: PipelineModel.load(f"{path}/base/{n}").stages[0] for n in names},
+            "meta_model": PipelineModel.load(f"{path}/meta").stages[0], "names": names, "n_features": info["n_features"],
+            "ecdf": spark.read.parquet(f"{path}/score_counts")}
+
+
+def model_info(spark: SparkSession, path: str) -> DataFrame:
+    """One row per saved model: position, name, kind, feature count and the ensemble's models."""
+    saved = load_models(spark, path)
+    rows = [(i, n, type(saved["models"][n]).__name__.removesuffix("Model"), saved["n_features"], len(saved["names"]))
+            for i, n in enumerate(saved["names"])]
+    rows.append((len(rows), "ensemble", type(saved["meta_model"]).__name__.removesuffix("Model"), saved["n_features"], len(saved["names"])))
+    return spark.createDataFrame(rows, "position int, name string, kind string, n_features int, n_base_models int")
 
 
 REGISTRY_SCHEMA = "model_name string, version string, path string, metrics map<string,double>, registered_at timestamp"
