@@ -60,7 +60,13 @@ class Pieces:
 
     def __init__(self, model: str) -> None:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(self.sp.serialized_model_proto())
+        spec = proto.normalizer_spec
+        self.marks_only = not spec.precompiled_charsmap and spec.add_dummy_prefix and spec.escape_whitespaces \
+            and not spec.remove_extra_whitespaces and not proto.trainer_spec.treat_whitespace_as_suffix
         n = self.sp.get_piece_size()
         self.text = [self.sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (self.sp.is_byte(i) or self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i))]
@@ -74,9 +80,11 @@ class Pieces:
         self.edge = re.compile(f"[^{SPACE}](?={SPACE})")
         self.apart = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.neighbours = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.reach: dict[str, int] = {}  # the longest piece with these first three characters
+        found: dict[str, set[int]] = {}
         for t in self.ids:
-            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 2))
+            if len(t) > 2:
+                found.setdefault(t[:3], {1, 2}).add(len(t))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}  # of pieces with these first characters
         self.words: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -84,6 +92,9 @@ class Pieces:
         self.sound: dict[str, bool] = {}
 
     def normal(self, text: str) -> str:
+        """The model's own normaliser; where it only marks spaces, that is done here."""
+        if self.marks_only:
+            return SPACE + text.replace(" ", SPACE) if text else ""
         return self.sp.normalize(text)
 
     def string(self, piece: int) -> str:
@@ -197,23 +208,28 @@ class Pieces:
 
     def fragment(self, word: str) -> list[int]:
         """Ids of a part of a word: the only compatible path through it, longest pieces first, back from dead ends."""
-        n, ids, reach, follows = len(word), self.ids, self.reach, self.follows
-        at, last, limit = 0, START[1], min(len(word), reach.get(word[:3], 2))
+        n, get, lengths, pairs = len(word), self.ids.get, self.lengths, self.pairs
+        at, last, limit = 0, START[1], n
         done: list[tuple[int, int, int]] = []  # start, piece before it, end
         took: list[int] = []
         dead: set[int] = set()
         while at < n:
-            for end in range(limit, at, -1):
-                piece = ids.get(word[at:end])
+            for size in lengths.get(word[at:at + 3], (2, 1)):
+                end = at + size
+                if end > limit:
+                    continue
+                piece = get(word[at:end])
                 if piece is None:
-                    if end > at + 1 or limit == at or word[at] in ids:
+                    if size > 1:
                         continue
                     piece = -1 - ord(word[at])
-                if end not in dead and follows(last, piece):
+                good = pairs.get((last, piece))
+                if good is None:
+                    good = self.follows(last, piece)
+                if good and end not in dead:
                     done.append((at, last, end))
                     took.append(piece)
-                    at, last = end, piece
-                    limit = min(n, at + reach.get(word[at:at + 3], 2))
+                    at, last, limit = end, piece, n
                     break
             else:  # only one piece can end here, so this place leads nowhere
                 dead.add(at)
