@@ -14,7 +14,7 @@ from .. import config as C
 from ..config import PanelSpec, lookup_ci, present
 from ..functions import exprs as X
 from .ordering import exact_quantiles
-from .scan import DEFAULT_SPAN, entity_scan
+from .scan import PLACED, entity_scan
 
 INDEX_COLUMNS = ["Unnamed: 0", "_c0"]
 
@@ -41,7 +41,7 @@ def downcast(df: DataFrame, small_ints=("Gender", "SepsisLabel", "label")) -> Da
 
 def feature_columns(df: DataFrame, spec: PanelSpec = PanelSpec()) -> list:
     """Every column not in the exclude set and not a key/label column."""
-    drop = set(spec.exclude) | {x.lower() for x in [spec.entity, spec.time, spec.tie, spec.label] if x}
+    drop = set(spec.exclude) | {x.lower() for x in [spec.entity, spec.time, spec.tie, spec.label, *PLACED] if x}
     return [c for c in df.columns if c.lower() not in drop]
 
 
@@ -105,14 +105,14 @@ def suffix_columns(df: DataFrame, suffix: str = "_pred", strip: bool = True) ->
 # ------------------------------------------------------------ C: imputation
 
 def locf_fill(df: DataFrame, spec: PanelSpec = PanelSpec(), cols: list | None = None,
-              span=DEFAULT_SPAN) -> DataFrame:
+              parts: int | None = None) -> DataFrame:
     """C1 + C2: per entity, forward fill then backward fill in time order
     (pandas ``ffill().bfill()``: a value is the last earlier non-NULL one,
     else the first later one)."""
     cols = present(df.columns, spec.measures) if cols is None else cols
     if not cols:
         return df
-    s = entity_scan(df, spec.entity, spec.order_cols(), cols, ops=("ffill", "bfill"), span=span)
+    s = entity_scan(df, spec.entity, spec.order_cols(), cols, ops=("ffill", "bfill"), parts=parts)
     return (s.withColumns({c: F.coalesce(F.col(f"{c}__ffill"), F.col(f"{c}__bfill")) for c in cols})
             .drop(*[f"{c}__{o}" for c in cols for o in ("ffill", "bfill")], "__idx"))
 
@@ -155,11 +155,11 @@ def median_fill(df: DataFrame, cols: list, zero_when_all_null: bool = True) -> D
     return df.withColumns(fills)
 
 
-def load_imputation(df: DataFrame, spec: PanelSpec = PanelSpec(), span=DEFAULT_SPAN) -> DataFrame:
+def load_imputation(df: DataFrame, spec: PanelSpec = PanelSpec(), parts: int | None = None) -> DataFrame:
     """C1-C4 as the loader does it: per-entity ffill/bfill of every measure,
     then global medians, all-NULL columns -> 0."""
     cols = present(df.columns, spec.measures)
-    return median_fill(locf_fill(df, spec, cols, span), cols)
+    return median_fill(locf_fill(df, spec, cols, parts), cols)
 
 
 def lab_default_fill(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
@@ -173,7 +173,7 @@ def lab_default_fill(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     return median_fill(out, rest, zero_when_all_null=False)
 
 
-def advanced_imputation(df: DataFrame, spec: PanelSpec = PanelSpec(), span=DEFAULT_SPAN) -> DataFrame:
+def advanced_imputation(df: DataFrame, spec: PanelSpec = PanelSpec(), parts: int | None = None) -> DataFrame:
     """C8 (with C6, C7): delta/trend NULL -> 0; vitals per-entity ffill, bfill,
     then median; labs -> defaults (C5); rolling max/min NULL -> the (imputed)
     base column; anything still NULL among the features -> 0."""
@@ -187,7 +187,7 @@ def advanced_imputation(df: DataFrame, spec: PanelSpec = PanelSpec(), span=DEFAU
         nulls = null_counts(out, vitals)
         need = [c for c in vitals if nulls[c] > 0]
         if need:
-            out = locf_fill(out, spec, need, span)
+            out = locf_fill(out, spec, need, parts)
             out = median_fill(out, need, zero_when_all_null=False)
     out = lab_default_fill(out, spec)
     fills = {}

@@ -137,7 +137,7 @@ def describe(df: DataFrame, features: list) -> DataFrame:
     basic = long.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantiles_by(long, ["feature"], "value", [0.25, 0.5, 0.75], ngroups=len(features)).select(
+    q = quantiles_by(long, ["feature"], "value", [0.25, 0.5, 0.75]).select(
         "feature", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
     return basic.join(q, "feature")
 

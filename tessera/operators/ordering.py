@@ -21,8 +21,9 @@ helpers here give the same answers with work spread over all tasks:
   computed per (group, bucket) with a normal window, and bucket totals give
   each bucket its offset.
 
-* ``exact_quantiles``: exact ``quantile_cont`` for many columns at once via
-  ``ordinal_rank`` on the unpivoted values (no value histogram in one task).
+* ``quantiles_by``, ``exact_quantiles``: exact ``quantile_cont`` from running
+  counts of distinct values, per group or for many columns at once (no value
+  histogram in one task).
 """
 
 from __future__ import annotations
@@ -95,12 +96,12 @@ def ordinal_rank(df: DataFrame, group_cols: list, order_cols: list,
             .drop("__mid", "__pid", "__loc", "__off", "__first"))
 
 
-def quantile_splits(df: DataFrame, col: str, nbuckets: int, rel_err: float = 1e-3) -> list:
+def quantile_splits(df: DataFrame, col: str, nbuckets: int) -> list:
     """Strictly increasing split points (with -inf/+inf ends) cutting ``col``
     into about ``nbuckets`` equal-count buckets. Only ``nbuckets`` numbers
     reach the driver."""
     probs = [i / nbuckets for i in range(1, nbuckets)]
-    qs = df.approxQuantile(col, probs, rel_err) if probs else []
+    qs = df.approxQuantile(col, probs, 0.25 / nbuckets) if probs else []  # finer than the buckets, however many
     inner = sorted({float(q) for q in qs if q is not None and not math.isnan(q)})
     return [-math.inf] + inner + [math.inf]
 
@@ -142,44 +143,47 @@ def unpivot(df: DataFrame, id_cols: list, value_cols: list, name: str = "feature
         df.select(F.lit(0).alias("__id"), *value_cols).unpivot(["__id"], value_cols, name, value).drop("__id")
 
 
-# Largest group whose exact quantile state (a value -> count map) may sit in
-# one task; bigger groups use the distributed rank method.
-LOCAL_QUANTILE_ROWS = 10_000_000
-
-
 def quantiles_by(long: DataFrame, group_cols: list, value: str, probs: list,
-                 ngroups: int | None = None, nparts: int | None = None,
-                 local_rows: int = LOCAL_QUANTILE_ROWS) -> DataFrame:
+                 nparts: int | None = None) -> DataFrame:
     """One row per group: ``q{i}`` = linear-interpolated quantile
     ``probs[i]`` of the non-NULL ``value``s (DuckDB ``quantile_cont``,
-    numpy's default). The group sizes are measured first: when every group
-    has at most ``local_rows`` values, Spark's exact ``percentile`` aggregate
-    is used (its state is bounded by the group size); otherwise the
-    distributed method ranks values inside each group, picks the two
-    neighbouring ranks of every quantile and interpolates."""
-    vals = long.select(*group_cols, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
-    biggest = counts.agg(F.max("__n")).first()[0] or 0
-    if biggest <= local_rows:
-        agg = vals.groupBy(*group_cols).agg(F.percentile("__v", [float(p) for p in probs]).alias("__q"))
-        return agg.select(*group_cols, *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))])
-    ranked = ordinal_rank(vals, group_cols, ["__v"], out="__r", nparts=nparts, ngroups=ngroups)
-    pairs = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    pos = F.col("__nm1") * F.col("__q.p")
-    targets = (counts.select(*group_cols, (F.col("__n") - 1).cast("double").alias("__nm1"),
-                             F.explode(pairs).alias("__q"))
-               .select(*group_cols, F.col("__q.qi").alias("qi"),
-                       F.floor(pos).cast("long").alias("lo"), F.ceil(pos).cast("long").alias("hi"),
-                       (pos - F.floor(pos)).alias("frac")))
-    need = targets.select(*group_cols, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("__r")).distinct()
-    bound = 2 * len(probs) * ngroups if ngroups is not None else None
-    picked = join_small(ranked, need, [*group_cols, "__r"], how="left_semi", bound=bound)
-    lo = picked.select(*group_cols, F.col("__r").alias("lo"), F.col("__v").alias("vlo"))
-    hi = picked.select(*group_cols, F.col("__r").alias("hi"), F.col("__v").alias("vhi"))
-    q = (targets.join(lo, [*group_cols, "lo"]).join(hi, [*group_cols, "hi"])
-         .select(*group_cols, "qi", (F.col("vlo") + F.col("frac") * (F.col("vhi") - F.col("vlo"))).alias("q")))
-    wide = q.groupBy(*group_cols).pivot("qi", list(range(len(probs)))).agg(F.first("q"))
-    return wide.select(*group_cols, *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))])
+    numpy's default).
+
+    Equal values of a group are counted first (map-side), so a value that most
+    rows share is one row. The distinct values are range-partitioned by
+    (group, value) and written once; the counts per (partition, group), of
+    which there are at most partitions + groups, tell which partitions hold
+    the two neighbouring ranks of each quantile. Only those partitions' values
+    get running counts."""
+    from ..session import ensure_checkpoint_dir
+    spark = long.sparkSession
+    ensure_checkpoint_dir(spark)
+    counted = (long.select(*group_cols, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+               .groupBy(*group_cols, "__v").agg(F.count(F.lit(1)).alias("__c")))
+    ranged = counted.repartitionByRange(_nparts(long, nparts), *group_cols, "__v") \
+        .withColumn("__pid", F.spark_partition_id()).checkpoint()
+    w = Window.partitionBy(*group_cols)
+    pos = [(F.col("__n") - 1).cast("double") * F.lit(float(p)) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in pos for f in (F.floor, F.ceil)]))
+    held = (ranged.groupBy("__pid", *group_cols).agg(F.sum("__c").alias("__cnt"))
+            .select("__pid", *group_cols, "__cnt", F.sum("__cnt").over(w).alias("__n"),
+                    (F.sum("__cnt").over(w.orderBy("__pid")) - F.col("__cnt")).alias("__off"))
+            .select("__pid", *group_cols, "__n", "__off",
+                    F.filter(ranks, lambda r: (r >= F.col("__off")) & (r < F.col("__off") + F.col("__cnt"))).alias("__ranks"))
+            .filter(F.size("__ranks") > 0))
+    local = join_small(ranged, held, ["__pid", *group_cols])
+    upto = F.col("__off") + F.sum("__c").over(Window.partitionBy("__pid", *group_cols).orderBy("__v"))
+    found = local.withColumn("__to", upto).withColumn("__ranks", F.filter(
+        "__ranks", lambda r: (r < F.col("__to")) & (r >= F.col("__to") - F.col("__c")))).filter(F.size("__ranks") > 0)
+    picks = found.groupBy(*group_cols).agg(
+        F.first("__n").alias("__n"),
+        F.map_from_entries(F.flatten(F.collect_list(F.transform("__ranks", lambda r: F.struct(r, F.col("__v")))))).alias("__at"))
+    out = []
+    for i, x in enumerate(pos):
+        low, high = (F.col("__at")[f(x).cast("long")] for f in (F.floor, F.ceil))
+        share = x - F.floor(x)
+        out.append((low * (F.lit(1.0) - share) + high * share).alias(f"q{i}"))
+    return picks.select(*group_cols, *out)
 
 
 def exact_quantiles(df: DataFrame, cols: list, probs: list, nparts: int | None = None) -> DataFrame:
@@ -188,6 +192,6 @@ def exact_quantiles(df: DataFrame, cols: list, probs: list, nparts: int | None =
     values get NULL."""
     spark = df.sparkSession
     long = unpivot(df.select(*cols), [], cols)
-    wide = quantiles_by(long, ["feature"], "value", probs, ngroups=len(cols), nparts=nparts)
+    wide = quantiles_by(long, ["feature"], "value", probs, nparts=nparts)
     names = spark.createDataFrame([(c,) for c in cols], "feature string")
     return names.join(wide, "feature", "left")

@@ -107,7 +107,7 @@ def error_box_stats(long_one: DataFrame) -> DataFrame:
     >0.7): count, exact quartiles, whiskers (extreme values within 1.5 IQR
     of the box) and outlier count."""
     e = with_error(long_one).withColumn("band", X.confidence_band("p"))
-    q = quantiles_by(e, ["band"], "error", [0.25, 0.5, 0.75], ngroups=3).select(
+    q = quantiles_by(e, ["band"], "error", [0.25, 0.5, 0.75]).select(
         "band", F.col("q0").alias("lower_q"), F.col("q1").alias("median"), F.col("q2").alias("upper_q"))
     q = q.withColumnsRenamed({"lower_q": "q1", "upper_q": "q3"})
     j = e.join(F.broadcast(q), "band")
@@ -147,7 +147,7 @@ def high_error_histogram(long_one: DataFrame, pct: float = 0.9, bins: int = 20)
     """Rows with error >= the 90th percentile (linear); histogram of
     their probabilities."""
     e = with_error(long_one)
-    cut = quantiles_by(e.withColumn("__g", F.lit(0)), ["__g"], "error", [pct], ngroups=1)
+    cut = quantiles_by(e.withColumn("__g", F.lit(0)), ["__g"], "error", [pct])
     hi = e.withColumn("__g", F.lit(0)).join(F.broadcast(cut), "__g").filter(F.col("error") >= F.col("q0"))
     return histogram(hi, "p", [], bins)
 
@@ -185,7 +185,7 @@ def uncertainty_histograms(unc: DataFrame, bins: int = 30) -> DataFrame:
 def high_uncertainty_cases(unc: DataFrame, pct: float = 0.75) -> DataFrame:
     """Rows whose std is strictly above its 75th percentile."""
     g = unc.withColumn("__g", F.lit(0))
-    cut = quantiles_by(g, ["__g"], "std", [pct], ngroups=1)
+    cut = quantiles_by(g, ["__g"], "std", [pct])
     return (g.join(F.broadcast(cut), "__g").filter(F.col("std") > F.col("q0"))
             .select("row_id", "y", "mean", "std"))
 

@@ -5,62 +5,50 @@ the rows of one entity in time order. A plain ``Window.partitionBy(entity)``
 sends a whole entity to one task; if one entity holds a third of the data,
 that task holds a third of the data.
 
-``entity_scan`` cuts each entity's time line into segments of ``span`` time
-units (``floor(time / span)``; with unique (entity, time) a segment has at
-most ``span`` rows) and runs the window per (entity, segment). Each segment
-is then summarised (row count, max, min, last and first non-NULL value, last
-two values), the summaries are scanned per entity to get what flows in from
-earlier (or, for the backward fill, later) segments, and that carry is joined
-back on (entity, segment). The scanned rows are already hash-partitioned and
-sorted on (entity, segment) by the window, so the join moves only the small
-summary side. ``span=None`` gives the plain one-window form (tests compare
-the two); the default ``"auto"`` measures the largest entity first and
-segments only when one entity is too big for a task.
+There is one plan for every size. ``place`` range-partitions the rows by
+(entity, order): sampled bounds cut by row position, whatever the time unit,
+so a hot entity lies in many partitions and small entities share one. The
+partition number is the row's segment. ``entity_scan`` runs the window per
+(entity, segment), summarises each segment (row count, max, min, last and
+first non-NULL value, last two values), scans the summaries per entity to get
+what flows in from earlier (or, for the backward fill, later) segments, and
+joins that carry back on (entity, segment). An entity has at most as many
+summaries as there are range partitions. The scanned rows are already
+hash-partitioned and sorted on (entity, segment) by the window, so the join
+moves only the summaries.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
-from .ordering import join_small  # noqa: F401  (re-export for callers)
+from ..session import ensure_checkpoint_dir
 
-DEFAULT_SPAN = "auto"
-SEGMENT_SPAN = 1024
-# Largest entity (rows) that one task scans as a whole; above it the scan is
-# segmented.
-HOT_ENTITY_ROWS = 2_000_000
+# What ``place`` adds: the entity without NULL, whether it was NULL, the segment.
+KEY, SEGMENT = ["__entity", "__no_entity"], "__seg"
+PLACED = [*KEY, SEGMENT]
 
 
-def choose_span(df: DataFrame, entity: str, span=DEFAULT_SPAN, hot_rows: int = HOT_ENTITY_ROWS):
-    """Resolve ``span="auto"``: one aggregate (partial counts per entity,
-    then their max) finds the largest entity; if it fits one task the plain
-    per-entity window is used (``None``), otherwise ``SEGMENT_SPAN``-unit
-    segments split it. Explicit spans pass through."""
-    if span != "auto":
-        return span
-    biggest = df.groupBy(entity).count().agg(F.max("count")).first()[0] or 0
-    return None if biggest <= hot_rows else SEGMENT_SPAN
-
-OPS = ("ffill", "bfill", "lag1", "lag2", "cummax", "cummin")
+def place(df: DataFrame, entity: str, order: list, parts: int | None = None) -> DataFrame:
+    """``df`` with each row's entity key and segment, written once to the shared checkpoint
+    folder: range bounds are sampled anew on every execution, and summaries
+    and rows must see the same segments. Several scans may share one placed
+    table. ``parts`` is the number of range partitions (default: the session's
+    shuffle partitions)."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return df.repartitionByRange(n, entity, *order).withColumns({
+        KEY[0]: F.coalesce(F.col(entity), F.lit("0").cast(df.schema[entity].dataType)),
+        KEY[1]: F.col(entity).isNull(), SEGMENT: F.spark_partition_id()}).checkpoint()
 
 
-def _segment(df: DataFrame, time: str, span):
-    if span is None:
-        return F.lit(0).cast("long")
-    dt = df.schema[time].dataType
-    if isinstance(dt, (TimestampType, TimestampNTZType)):
-        t = F.unix_micros(F.col(time).cast("timestamp")) / F.lit(1_000_000.0)
-    elif isinstance(dt, DateType):
-        t = F.unix_date(F.col(time)).cast("double") * F.lit(86400.0)
-    else:
-        t = F.col(time).cast("double")
-    return F.floor(t / F.lit(float(span))).cast("long")
+OPS = ("ffill", "bfill", "lag1", "lag2", "cummax", "cummin")
 
 
 def entity_scan(df: DataFrame, entity: str, order: list, cols: list,
-                ops=OPS, span=DEFAULT_SPAN, with_count: bool = False) -> DataFrame:
+                ops=OPS, parts: int | None = None, with_count: bool = False) -> DataFrame:
     """Return ``df`` plus, for every ``c`` in ``cols`` and op in ``ops``,
     a column ``{c}__{op}``:
 
@@ -70,20 +58,19 @@ def entity_scan(df: DataFrame, entity: str, order: list, cols: list,
     * ``cummax``/``cummin``: running max/min of the non-NULL values so far,
 
     and ``__idx`` (0-based position of the row in its entity) and, with
-    ``with_count``, ``__n`` (row count of the entity). ``order[0]`` is the
-    time column used for segmenting; the rest break ties (the full ``order``
-    must be unique per entity for a deterministic result).
+    ``with_count``, ``__n`` (row count of the entity). The full ``order`` must
+    be unique per entity for a deterministic result. A ``df`` that ``place``
+    has given segments for this order is scanned as it is; any other is placed
+    first.
     """
     ops = tuple(ops)
-    span = choose_span(df, entity, span)
-    time = order[0]
-    seg = "__seg"
-    d = df.withColumn(seg, _segment(df, time, span))
+    seg = SEGMENT
+    d = df if seg in df.columns else place(df, entity, order, parts)
     asc = [F.col(c).asc() for c in order]
     desc = [F.col(c).desc() for c in order]
-    wl = Window.partitionBy(entity, seg).orderBy(*asc)
+    wl = Window.partitionBy(*KEY, seg).orderBy(*asc)
     run = wl.rowsBetween(Window.unboundedPreceding, 0)
-    run_desc = Window.partitionBy(entity, seg).orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
+    run_desc = Window.partitionBy(*KEY, seg).orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
 
     loc_cols = [F.row_number().over(wl).alias("__rn")]
     for c in cols:
@@ -101,26 +88,6 @@ def entity_scan(df: DataFrame, entity: str, order: list, cols: list,
             loc_cols.append(F.last(c, ignorenulls=True).over(run_desc).alias(f"{c}__bf"))
     loc = d.select("*", *loc_cols)
 
-    if span is None:
-        out = loc.withColumn("__idx", (F.col("__rn") - 1).cast("long"))
-        if with_count:
-            out = out.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(entity)))
-        finals = {}
-        for c in cols:
-            if "ffill" in ops:
-                finals[f"{c}__ffill"] = F.col(f"{c}__ff")
-            if "bfill" in ops:
-                finals[f"{c}__bfill"] = F.col(f"{c}__bf")
-            if "lag1" in ops:
-                finals[f"{c}__lag1"] = F.col(f"{c}__l1")
-            if "lag2" in ops:
-                finals[f"{c}__lag2"] = F.col(f"{c}__l2")
-            if "cummax" in ops:
-                finals[f"{c}__cummax"] = F.col(f"{c}__mx")
-            if "cummin" in ops:
-                finals[f"{c}__cummin"] = F.col(f"{c}__mn")
-        return _finish(out, finals, df.columns)
-
     # --- segment summaries (same partitioning as `loc`: no new exchange) ---
     ordstruct = F.struct(*[F.col(c) for c in order])
     aggs = [F.count(F.lit(1)).alias("__cnt")]
@@ -137,14 +104,14 @@ def entity_scan(df: DataFrame, entity: str, order: list, cols: list,
         if "lag1" in ops or "lag2" in ops:
             aggs.append(F.max_by(F.struct(F.col(c).alias("v1"), F.col(f"{c}__l1").alias("v2")),
                                  ordstruct).alias(f"{c}__slast"))
-    summ = loc.groupBy(entity, seg).agg(*aggs)
+    summ = loc.groupBy(*KEY, seg).agg(*aggs)
 
-    ws = Window.partitionBy(entity).orderBy(seg)
+    ws = Window.partitionBy(*KEY).orderBy(seg)
     prev = ws.rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(entity).orderBy(F.col(seg).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*KEY).orderBy(F.col(seg).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = [F.coalesce(F.sum("__cnt").over(prev), F.lit(0)).alias("__off")]
     if with_count:
-        carry_cols.append(F.sum("__cnt").over(Window.partitionBy(entity)).alias("__n"))
+        carry_cols.append(F.sum("__cnt").over(Window.partitionBy(*KEY)).alias("__n"))
     for c in cols:
         if "cummax" in ops:
             carry_cols.append(F.max(f"{c}__smx").over(prev).alias(f"{c}__kmx"))
@@ -160,9 +127,9 @@ def entity_scan(df: DataFrame, entity: str, order: list, cols: list,
             carry_cols.append(
                 F.when(F.lag("__cnt", 1).over(ws) >= 2, F.lag(F.col(f"{c}__slast.v2"), 1).over(ws))
                 .otherwise(F.lag(F.col(f"{c}__slast.v1"), 2).over(ws)).alias(f"{c}__kl2"))
-    carry = summ.select(entity, seg, *carry_cols)
+    carry = summ.select(*KEY, seg, *carry_cols)
 
-    out = loc.join(carry, [entity, seg], "left")
+    out = loc.join(carry, PLACED, "left")
     out = out.withColumn("__idx", (F.col("__off") + F.col("__rn") - 1).cast("long"))
     rn = F.col("__rn")
     finals = {}

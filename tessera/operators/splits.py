@@ -62,7 +62,7 @@ def stratified_folds(df: DataFrame, label: str, order: str, k: int = C.CV_FOLDS)
     """Within each class, rows in ``order`` are dealt to folds 0..k-1 in
     turn, so every fold holds the class ratio. The per-class position is a
     distributed rank (the two classes do not each go to one task)."""
-    r = ordinal_rank(df, [label], [order], out="__r", ngroups=2)
+    r = ordinal_rank(df, [label], [order], out="__r")
     return r.withColumn("fold", F.pmod(F.col("__r"), F.lit(k)).cast("int")).drop("__r")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import PanelSpec, present
 from .clean import deterioration_score
-from .scan import DEFAULT_SPAN, entity_scan
+from .scan import entity_scan
 
 FEATURE_SUFFIXES = ("delta", "rolling_max", "rolling_min", "trend")
 
@@ -24,7 +24,7 @@ def created_columns(measures: list, score: str | None = "vital_deterioration_sco
 
 
 def temporal_features(df: DataFrame, spec: PanelSpec = PanelSpec(), measures: list | None = None,
-                      span=DEFAULT_SPAN, score: bool = True) -> DataFrame:
+                      parts: int | None = None, score: bool = True) -> DataFrame:
     """For each measure m present:
 
     * ``m_delta``       = m - previous m (NULL on an entity's first row)      D2
@@ -40,7 +40,7 @@ def temporal_features(df: DataFrame, spec: PanelSpec = PanelSpec(), measures: li
     out = df
     if ms:
         s = entity_scan(df, spec.entity, spec.order_cols(), ms,
-                        ops=("lag1", "lag2", "cummax", "cummin"), span=span)
+                        ops=("lag1", "lag2", "cummax", "cummin"), parts=parts)
         idx = F.col("__idx")
         feats = {}
         for m in ms:

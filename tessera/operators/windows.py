@@ -13,9 +13,9 @@ from .. import config as C
 from ..config import PanelSpec, present
 from ..functions import exprs as X
 from .clean import (add_missing_columns, advanced_imputation, clip_outliers, deterioration_score,
-                    feature_columns, load_imputation)
+                    feature_columns, locf_fill, median_fill)
 from .ordering import exact_quantiles
-from .scan import DEFAULT_SPAN
+from .scan import place
 from .temporal import created_columns, temporal_features
 
 
@@ -112,7 +112,7 @@ def window_features(df: DataFrame, spec: PanelSpec = PanelSpec(), features: str
 def prepare_windows(df: DataFrame, spec: PanelSpec = PanelSpec(), n: int = C.TIME_WINDOW,
                     stats: DataFrame | None = None, features: str = "all",
                     impute_on_load: bool = True, score_after_clip: bool = False,
-                    include_padding: bool = False, span=DEFAULT_SPAN):
+                    include_padding: bool = False, parts: int | None = None):
     """Load imputation -> clip -> temporal features -> advanced
     imputation -> missing features as 0 -> last n rows per entity with zero
     padding -> label of the last row -> robust scaling (fitted here when
@@ -120,27 +120,25 @@ def prepare_windows(df: DataFrame, spec: PanelSpec = PanelSpec(), n: int = C.TIM
 
     Returns (long window table, labels table, stats table, feature list).
     """
-    from pyspark import StorageLevel
-
-    from .scan import choose_span
-    keep = StorageLevel.MEMORY_AND_DISK
-    # the entity sizes are the same for every scan below: decide once
-    span = choose_span(df, spec.entity, span)
-    # fitted statistics (medians, scaler) read their input once more: keep
-    # the intermediate tables instead of re-running the ordered scans
-    base = load_imputation(df, spec, span).persist(keep) if impute_on_load else df
+    # one placed table serves every ordered scan; fitted statistics (medians,
+    # scaler) read their input once more, so that input is written once to the
+    # shared checkpoint folder instead of running the scans again
+    base = place(df, spec.entity, spec.order_cols(), parts)
+    if impute_on_load:
+        ms = present(df.columns, spec.measures)
+        base = median_fill(locf_fill(base, spec, ms).checkpoint(), ms)
     if score_after_clip:
-        feats_df = temporal_features(clip_outliers(base, spec.ranges), spec, span=span)
+        feats_df = temporal_features(clip_outliers(base, spec.ranges), spec)
     else:
         # the score is a row-wise projection: take it on unclipped values
         # (see SURVEY Q4), then clip and derive the ordered features
         feats_df = temporal_features(clip_outliers(deterioration_score(base), spec.ranges),
-                                     spec, span=span, score=False)
-    imputed = advanced_imputation(feats_df, spec, span)
+                                     spec, score=False)
+    imputed = advanced_imputation(feats_df, spec)
     flist = window_features(df, spec, features)
     imputed = add_missing_columns(imputed, flist)
     last = last_rows(imputed, spec, n)
-    long = pad_front(last, spec, flist, n).persist(keep)
+    long = pad_front(last, spec, flist, n).checkpoint()
     labels = last_label(df, spec)
     if stats is None:
         stats = robust_scaler_fit(long, flist, include_padding)

@@ -21,6 +21,17 @@ SELECT user_id AS patient_id,
        CASE WHEN event_type = 'signup'   THEN 3e0    + value * 0.05e0 END AS wbc,
        CASE WHEN event_type = 'purchase' THEN 0.5e0  + value * 0.01e0 END AS lactate,
        CASE WHEN value > 100e0 THEN 1 ELSE 0 END AS label
+FROM events""",
+    "panel_hot": """
+SELECT CASE WHEN user_id % 3 <> 0 THEN -1 ELSE CAST(user_id AS BIGINT) END AS patient_id,
+       event_id AS hour,
+       event_id,
+       CASE WHEN event_type = 'view'     THEN 50e0   + value * 0.3e0  END AS hr,
+       CASE WHEN event_type = 'click'    THEN 35.5e0 + value * 0.02e0 END AS temp,
+       CASE WHEN event_type = 'error'    THEN 10e0   + value * 0.1e0  END AS resp,
+       CAST(NULL AS DOUBLE) AS wbc,
+       CASE WHEN event_type = 'purchase' AND user_id % 3 <> 0 THEN 0.5e0 + value * 0.01e0 END AS lactate,
+       CASE WHEN value > 100e0 THEN 1 ELSE 0 END AS label
 FROM events""",
     "panel_short": "SELECT * FROM panel WHERE panel.hour < patient_id % 9 + 1",
     "preds": """
@@ -126,6 +137,11 @@ def SQL() -> dict:
         extra=[f"filled AS ({locf_select()})"])
     q["temporal_features"] = with_views(temporal_select(), "panel")
     q["temporal_features_segmented"] = q["temporal_features"]
+    q["temporal_features_hot"] = with_views(temporal_select("panel_hot"), "panel_hot")
+    med0 = ", ".join(f"coalesce({m}, (SELECT median({m}) FROM filled), 0e0) AS {m}" for m in MEASURES)
+    q["load_imputation_hot"] = with_views(
+        f"SELECT patient_id, hour, event_id, label, {med0} FROM filled", "panel_hot",
+        extra=[f"filled AS ({locf_select('panel_hot')})"])
     q.update(window_sqls())
     q.update(meta_metric_sqls())
     q.update(report_sqls())

@@ -45,9 +45,20 @@ def q_temporal_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_temporal_features_segmented(spark: SparkSession, sf: str) -> DataFrame:
-    """Same result with 8-hour segments: every patient spans several
-    segments, so the cross-segment carries are what the check exercises."""
-    return temporal.temporal_features(fx.panel(spark, sf), PANEL, span=8)
+    """Same result from 64 range partitions instead of the session's number."""
+    return temporal.temporal_features(fx.panel(spark, sf), PANEL, parts=64)
+
+
+def q_temporal_features_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """D2-D6 where one patient holds two thirds of the rows."""
+    return temporal.temporal_features(fx.panel_hot(spark, sf), PANEL)
+
+
+def q_load_imputation_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """C1-C4 where one patient holds two thirds of the rows, the others lack a
+    measure (global median) and one measure has no value (0)."""
+    return clean.load_imputation(fx.panel_hot(spark, sf), PANEL).select(
+        "patient_id", "hour", "event_id", "label", "hr", "temp", "resp", "wbc", "lactate")
 
 
 def q_last_window(spark: SparkSession, sf: str) -> DataFrame:
@@ -552,4 +563,6 @@ def QUERIES() -> dict:
         "load_imputation": q_load_imputation,
         "temporal_features": q_temporal_features,
         "temporal_features_segmented": q_temporal_features_segmented,
+        "temporal_features_hot": q_temporal_features_hot,
+        "load_imputation_hot": q_load_imputation_hot,
     }

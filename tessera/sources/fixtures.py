@@ -49,6 +49,24 @@ def panel_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filter(F.col("hour") < F.pmod(F.col("patient_id"), F.lit(9)) + 1)
 
 
+def panel_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel in which one patient (-1) holds two thirds of the events; the
+    others have no lactate at all, and nobody has a wbc."""
+    ev = table(spark, sf_dir, "events")
+    v, rest = F.col("value"), F.pmod(F.col("user_id"), F.lit(3)) != 0
+    return ev.select(
+        F.when(rest, F.lit(-1).cast("long")).otherwise(F.col("user_id").cast("long")).alias("patient_id"),
+        F.col("event_id").alias("hour"),
+        F.col("event_id"),
+        F.when(_is("event_type", "view"), F.lit(50.0) + v * F.lit(0.3)).alias("hr"),
+        F.when(_is("event_type", "click"), F.lit(35.5) + v * F.lit(0.02)).alias("temp"),
+        F.when(_is("event_type", "error"), F.lit(10.0) + v * F.lit(0.1)).alias("resp"),
+        F.lit(None).cast("double").alias("wbc"),
+        F.when(_is("event_type", "purchase") & rest, F.lit(0.5) + v * F.lit(0.01)).alias("lactate"),
+        F.when(v > F.lit(100.0), 1).otherwise(0).alias("label"),
+    )
+
+
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six base-model probabilities and a label per event row."""
     ev = table(spark, sf_dir, "events")

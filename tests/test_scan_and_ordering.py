@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.config import PanelSpec
 from tessera.operators import clean, temporal
 from tessera.operators.ordering import ordinal_rank, prefix_sums, quantiles_by
-from tessera.operators.scan import entity_scan
+from tessera.operators.scan import OPS, SEGMENT, entity_scan, place
 from tessera.sources import fixtures as fx
 
 from conftest import SF01
@@ -13,34 +13,55 @@ from conftest import SF01
 SPEC = PanelSpec()
 
 
-def _rows(df, key):
-    return sorted(tuple(r) for r in df.select(*key).collect())
+def _plain(df, entity, order, c):
+    """The scan's columns by one window per entity."""
+    w = Window.partitionBy(entity).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    rest = w.rowsBetween(0, Window.unboundedFollowing)
+    return df.select("*", F.last(c, ignorenulls=True).over(run).alias(f"{c}__ffill"),
+                     F.first(c, ignorenulls=True).over(rest).alias(f"{c}__bfill"),
+                     F.lag(c, 1).over(w).alias(f"{c}__lag1"), F.lag(c, 2).over(w).alias(f"{c}__lag2"),
+                     F.max(c).over(run).alias(f"{c}__cummax"), F.min(c).over(run).alias(f"{c}__cummin"),
+                     (F.row_number().over(w) - 1).cast("long").alias("__idx"),
+                     F.count(F.lit(1)).over(Window.partitionBy(entity)).alias("__n"))
+
+
+SCANNED = [f"v__{o}" for o in OPS] + ["__idx", "__n"]
+
+
+def _null_first(rows):
+    return sorted(rows, key=lambda r: [(x is not None, x) for x in r])
 
 
 def test_segmented_scan_equals_plain_window_on_panel(spark):
-    p = fx.panel(spark, SF01)
-    cols = ["hr", "temp"]
-    ops = ("ffill", "bfill", "lag1", "lag2", "cummax", "cummin")
-    out = [f"{c}__{o}" for c in cols for o in ops] + ["__idx"]
-    a = entity_scan(p, "patient_id", ["hour", "event_id"], cols, ops, span=None)
-    for span in (3, 8, 64):
-        b = entity_scan(p, "patient_id", ["hour", "event_id"], cols, ops, span=span)
-        assert _rows(a, ["patient_id", "hour", *out]) == _rows(b, ["patient_id", "hour", *out])
+    p = fx.panel(spark, SF01).withColumnRenamed("hr", "v")
+    a = _plain(p, "patient_id", ["hour", "event_id"], "v")
+    key = ["patient_id", "hour", *SCANNED]
+    want = _null_first(tuple(r) for r in a.select(*key).collect())
+    for parts in (1, 8, 64):
+        b = entity_scan(p, "patient_id", ["hour", "event_id"], ["v"], parts=parts, with_count=True)
+        assert _null_first(tuple(r) for r in b.select(*key).collect()) == want
 
 
 def test_hot_entity_is_split_into_segments(spark):
-    # one entity holds most rows; segments of 10 hours must give the same
-    # answer as one window and spread the entity over many groups
+    # one entity holds most rows, another is NULL; the hot one lies in many segments
     n = 5000
     rows = [(1, h, h, float(h % 17) if h % 5 else None) for h in range(n)] + \
-           [(2, h, n + h, float(h)) for h in range(20)]
+           [(e, h, n + 30 * (e or 0) + h, float(h)) for h in range(20) for e in (0, 2, None)]
     df = spark.createDataFrame(rows, "e long, t int, tie long, v double")
-    a = entity_scan(df, "e", ["t", "tie"], ["v"], span=None)
-    b = entity_scan(df, "e", ["t", "tie"], ["v"], span=10)
-    cols = ["e", "t", "v__ffill", "v__bfill", "v__lag1", "v__lag2", "v__cummax", "v__cummin", "__idx"]
-    assert _rows(a, cols) == _rows(b, cols)
-    segs = df.select(F.floor(F.col("t") / 10).alias("s")).filter("s >= 0").distinct().count()
-    assert segs >= n // 10
+    key = ["e", "t", *SCANNED]
+    want = _null_first(tuple(r) for r in _plain(df, "e", ["t", "tie"], "v").select(*key).collect())
+    placed = place(df, "e", ["t", "tie"], parts=40)
+    sizes = [r["count"] for r in placed.groupBy(SEGMENT).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < n / 10
+    for d in (placed, df):
+        got = entity_scan(d, "e", ["t", "tie"], ["v"], with_count=True).select(*key).collect()
+        assert _null_first(tuple(r) for r in got) == want
+
+
+def test_scan_of_an_empty_table_is_empty(spark):
+    df = spark.createDataFrame([], "e long, t int, v double")
+    assert entity_scan(df, "e", ["t"], ["v"]).count() == 0
 
 
 def test_null_edges_fill(spark):
@@ -48,7 +69,7 @@ def test_null_edges_fill(spark):
     rows = [(1, 0, None, None), (1, 1, 2.0, None), (1, 2, None, None), (1, 3, 4.0, None), (1, 4, None, None)]
     df = spark.createDataFrame(rows, "patient_id long, hour int, hr double, temp double")
     spec = PanelSpec(tie=None)
-    out = clean.locf_fill(df, spec, ["hr", "temp"], span=2).orderBy("hour").collect()
+    out = clean.locf_fill(df, spec, ["hr", "temp"], parts=3).orderBy("hour").collect()
     assert [r.hr for r in out] == [2.0, 2.0, 2.0, 4.0, 4.0]
     assert all(r.temp is None for r in out)
     filled = clean.median_fill(clean.locf_fill(df, spec, ["hr", "temp"]), ["hr", "temp"])
@@ -66,7 +87,7 @@ def test_trend_closed_form_matches_polyfit(spark):
     vals = [3.0, 5.0, 4.0, 10.0, 7.5]
     df = spark.createDataFrame([(1, i, i, v) for i, v in enumerate(vals)],
                                "patient_id long, hour int, event_id long, hr double")
-    out = temporal.temporal_features(df, SPEC, measures=["hr"], span=2).orderBy("hour").collect()
+    out = temporal.temporal_features(df, SPEC, measures=["hr"], parts=3).orderBy("hour").collect()
     for i, r in enumerate(out):
         if i == 0:
             assert r.hr_trend is None
@@ -95,10 +116,11 @@ def test_prefix_sums_match_window(spark):
 
 def test_distributed_quantiles_equal_builtin(spark):
     rng = np.random.default_rng(2)
-    rows = [(g, float(x)) for g in range(3) for x in rng.normal(size=301)]
+    rows = [(g, float(x)) for g in range(3) for x in rng.normal(size=301)] + [(1, 0.25)] * 400 + [(3, 7.0), (4, None)]
     df = spark.createDataFrame(rows, "g int, v double")
-    a = quantiles_by(df, ["g"], "v", [0.25, 0.5, 0.9], ngroups=3, local_rows=0).orderBy("g").collect()
+    a = quantiles_by(df, ["g"], "v", [0.25, 0.5, 0.9], nparts=13).orderBy("g").collect()
+    assert [r.g for r in a] == [0, 1, 2, 3]  # a group without values has no row
     for r in a:
-        xs = np.array([v for g, v in rows if g == r.g])
+        xs = np.array([v for g, v in rows if g == r.g and v is not None])
         for i, q in enumerate([0.25, 0.5, 0.9]):
             assert abs(r[f"q{i}"] - np.quantile(xs, q)) < 1e-12
