@@ -44,7 +44,7 @@ def latest_time(log: DataFrame):
     return log.agg(F.max("ts")).first()[0]
 
 
-def recent_entries(log: DataFrame, cap: int = C.PREDICTION_LOG_CAP) -> DataFrame:
+def recent_entries(log: DataFrame, cap: int) -> DataFrame:
     """L3: the most recent ``cap`` entries (by ts, then id) - the log's
     retention rule; a top-k, so Spark keeps k rows per task (TakeOrdered)."""
     return log.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(cap)

@@ -31,15 +31,15 @@ def key_types(df: DataFrame, keys=("patient_id", "hour")) -> list:
     return out
 
 
+def _missing(df: DataFrame, c: str) -> F.Column:
+    """NULL, or NaN in a floating column."""
+    m = F.col(c).isNull()
+    return m | F.isnan(F.col(c)) if df.schema[c].dataType.typeName() in ("double", "float") else m
+
+
 def null_percent(df: DataFrame, threshold: float = 50.0) -> DataFrame:
     """Percent NULL (or NaN) per column and whether it exceeds 50 %."""
-    def miss(c):
-        dt = df.schema[c].dataType.typeName()
-        m = F.col(c).isNull()
-        if dt in ("double", "float"):
-            m = m | F.isnan(F.col(c))
-        return F.avg(m.cast("double")) * F.lit(100.0)
-    one = df.agg(*[miss(c).alias(c) for c in df.columns])
+    one = df.agg(*[(F.avg(_missing(df, c).cast("double")) * F.lit(100.0)).alias(c) for c in df.columns])
     lg = unpivot(one, [], df.columns, "column_name", "null_percent")
     return lg.withColumn("high_missing", F.col("null_percent") > F.lit(threshold))
 
@@ -53,11 +53,12 @@ def profile(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     aggs.append(F.countDistinct(ent[0]).alias("unique_entities") if ent else F.lit(0).alias("unique_entities"))
     aggs.append(F.min(tim[0]).cast("double").alias("min_time") if tim else F.lit(None).cast("double").alias("min_time"))
     aggs.append(F.max(tim[0]).cast("double").alias("max_time") if tim else F.lit(None).cast("double").alias("max_time"))
-    base = df.agg(*aggs).withColumn("total_columns", F.lit(len(df.columns)))
-    nulls = null_percent(df).agg(F.avg("null_percent").alias("null_pct_mean"),
-                                 F.min("null_percent").alias("null_pct_min"),
-                                 F.max("null_percent").alias("null_pct_max"))
-    return base.withColumn("__k", F.lit(1)).join(nulls.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    one = df.agg(*aggs, *[(F.avg(_missing(df, c).cast("double")) * F.lit(100.0)).alias(f"__np{i}") for i, c in enumerate(df.columns)])
+    percents = F.array(*[F.col(f"__np{i}") for i in range(len(df.columns))])
+    total = F.aggregate(percents, F.lit(0.0), lambda acc, x: acc + x)
+    return one.select("total_rows", "unique_entities", "min_time", "max_time", F.lit(len(df.columns)).alias("total_columns"),
+                      (total / F.lit(float(len(df.columns)))).alias("null_pct_mean"),
+                      F.array_min(percents).alias("null_pct_min"), F.array_max(percents).alias("null_pct_max"))
 
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:

@@ -21,8 +21,9 @@ def distinct_entities(df: DataFrame, entity: str) -> DataFrame:
 
 def split_expr(entity: str, test_size: float = C.TEST_SIZE, seed: int = C.RANDOM_STATE) -> F.Column:
     """E1: 'test' for about ``test_size`` of the entities, else 'train';
-    whole entities, deterministic (xxhash64 of id and seed)."""
-    bucket = F.pmod(F.xxhash64(F.col(entity), F.lit(seed)), F.lit(10_000))
+    whole entities, deterministic (the first 8 hex digits of the md5 of "seed_id")."""
+    digest = F.md5(F.concat(F.lit(f"{seed}_"), F.coalesce(F.col(entity).cast("string"), F.lit(""))))
+    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(10_000))
     return F.when(bucket < F.lit(int(round(test_size * 10_000))), "test").otherwise("train")
 
 

@@ -142,6 +142,38 @@ def SQL() -> dict:
     q["load_imputation_hot"] = with_views(
         f"SELECT patient_id, hour, event_id, label, {med0} FROM filled", "panel_hot",
         extra=[f"filled AS ({locf_select('panel_hot')})"])
+    q["holdout_split"] = with_views(
+        "SELECT patient_id, hour, CASE WHEN CAST('0x' || substr(md5('42_' || patient_id), 1, 8) AS BIGINT) % 10000 < 2000"
+        " THEN 'test' ELSE 'train' END AS split FROM panel", "panel")
+    null_rows = " UNION ALL ".join(
+        f"SELECT 'null_percent', '{c}', avg(CAST({c} IS NULL AS INT)) * 100e0, 'warning', avg(CAST({c} IS NULL AS INT)) <= 0.5e0 FROM panel"
+        for c in PANEL_COLS)
+    q["validation_report"] = with_views(
+        "SELECT 'required_column' AS \"check\", 'patient_id' AS column_name, CAST(NULL AS DOUBLE) AS value, 'error' AS severity,"
+        " count(patient_id) >= 0 AS passed FROM panel UNION ALL "
+        "SELECT 'required_column', 'hour', NULL, 'error', count(hour) >= 0 FROM panel UNION ALL "
+        "SELECT 'numeric_key', 'patient_id', NULL, 'warning', bool_and(typeof(patient_id) IN ('INTEGER', 'BIGINT')) FROM panel UNION ALL "
+        "SELECT 'numeric_key', 'hour', NULL, 'warning', bool_and(typeof(hour) IN ('INTEGER', 'BIGINT')) FROM panel UNION ALL "
+        f"{null_rows} UNION ALL "
+        "SELECT 'class_imbalance', 'label', CASE WHEN count(*) = 2 THEN min(c) / max(c) END, 'warning',"
+        " NOT (count(*) = 2 AND min(c) / max(c) < 0.1e0)"
+        " FROM (SELECT label, CAST(count(*) AS DOUBLE) AS c FROM panel GROUP BY label)", "panel")
+    q["batch_errors"] = with_views(
+        "SELECT CASE WHEN ok THEN 'good' ELSE 'bad' END AS part, row_id, CAST(NULL AS BIGINT) AS total FROM dirty UNION ALL "
+        "SELECT 'first', row_id, NULL FROM (SELECT row_id FROM dirty WHERE NOT ok ORDER BY row_id LIMIT 10) UNION ALL "
+        "SELECT 'total_processed', NULL, count(*) FROM dirty WHERE ok UNION ALL "
+        "SELECT 'total_errors', NULL, count(*) FROM dirty WHERE NOT ok", "preds",
+        extra=["dirty AS (SELECT row_id, row_id % 17 <> 0 AND row_id % 19 <> 0 AND row_id % 23 <> 0 AND "
+               + " AND ".join(f"m{i} BETWEEN 0 AND 1" for i in range(6)) + " AS ok FROM preds)"])
+    q["request_checks"] = (
+        "WITH cells AS (SELECT vec_id, i, CASE WHEN i <> 0 THEN CAST(embedding[i + 1] AS DOUBLE) WHEN vec_id % 13 = 0 THEN 'nan'::DOUBLE"
+        " WHEN vec_id % 17 = 0 THEN 'inf'::DOUBLE WHEN vec_id % 19 = 0 THEN NULL ELSE CAST(embedding[1] AS DOUBLE) END AS v"
+        " FROM embeddings, range(60) AS t(i) WHERE NOT (vec_id % 11 = 0 AND i = 59) AND NOT (vec_id % 7 = 0 AND i >= 50)),"
+        " steps AS (SELECT vec_id, i // 10 AS step, count(*) AS width, bool_or(v IS NULL) AS miss, coalesce(bool_or(isnan(v)), false) AS nan,"
+        " coalesce(bool_or(isinf(v)), false) AS inf FROM cells GROUP BY ALL),"
+        " r AS (SELECT vec_id AS request_id, CAST(count(*) AS INT) AS n_steps, CAST(max(CASE WHEN step = 0 THEN width END) AS INT) AS n_features,"
+        " count(*) = 6 AND bool_and(width = 10) AS shape_ok, bool_or(miss) AS has_null, bool_or(nan) AS has_nan, bool_or(inf) AS has_inf"
+        " FROM steps GROUP BY vec_id) SELECT *, shape_ok AND NOT has_null AND NOT has_nan AND NOT has_inf AS is_valid FROM r")
     q.update(window_sqls())
     q.update(meta_metric_sqls())
     q.update(report_sqls())
@@ -153,6 +185,7 @@ def SQL() -> dict:
         " (SELECT DISTINCT model, p FROM pl WHERE row_id % 2 = 1) a JOIN"
         " (SELECT model, p, count(*) AS k FROM pl WHERE row_id % 2 = 0 GROUP BY ALL) b ON a.model = b.model"
         " GROUP BY a.model, a.p) c ON s.model = c.model AND s.p = c.p WHERE s.row_id % 2 = 1", "preds", extra=[f"pl AS ({long})"])
+    q["recent_log_short"] = f"SELECT * FROM ({q['recent_log']}) ORDER BY ts DESC, id DESC LIMIT 250"
     q["class_weights"] = (
         "SELECT vec_id AS row_id, CAST(label <> 0 AS INT) AS label, "
         "round(count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY label <> 0)), 9) AS weight FROM embeddings")
@@ -586,8 +619,8 @@ def ops_sqls() -> dict:
     q["input_checks"] = with_views(
         "SELECT patient_id, 6 AS n_steps, 5 AS n_features, true AS shape_ok, count(v) < count(*) AS has_null, "
         "false AS has_nan, false AS has_inf, "
-        "min(v) AS value_min, max(v) AS value_max, round(avg(v), 6) AS value_mean, "
-        "round(stddev_pop(v), 6) AS value_std, count(v) = count(*) AS is_valid FROM wl GROUP BY patient_id",
+        "min(v) AS value_min, max(v) AS value_max, avg(v) AS value_mean, "
+        "stddev_pop(v) AS value_std, count(v) = count(*) AS is_valid FROM wl GROUP BY patient_id",
         "panel_short", extra=ctes)
     q["risk_levels"] = with_views(
         "SELECT row_id, p, CASE WHEN p >= 0.8e0 THEN 'HIGH' WHEN p >= 0.5e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level "

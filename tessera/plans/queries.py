@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import PanelSpec
+from ..config import PREDICTION_LOG_CAP, PanelSpec
 from pyspark.sql import Window
 
 from ..functions import exprs as X
@@ -327,12 +327,18 @@ def _request_windows(spark, sf):
 
 def q_input_checks(spark, sf):
     """Shape, NaN/inf and value-range checks per request."""
-    c = quality.input_checks(_request_windows(spark, sf), "features", steps=6)
-    return _r6(c.drop("features"), ["value_mean", "value_std"])
+    return quality.input_checks(_request_windows(spark, sf), "features", steps=6).drop("features")
+
+
+def q_request_checks(spark, sf):
+    """J7 + J8 on requests of which some are ragged, too short, NaN, infinite
+    or incomplete."""
+    c = quality.input_checks(fx.requests(spark, sf), "features", steps=6, width=10)
+    return c.select("request_id", "n_steps", "n_features", "shape_ok", "has_null", "has_nan", "has_inf", "is_valid")
 
 
 def q_validation_report(spark, sf):
-    """All panel checks as one findings table (rows-only check)."""
+    """All panel checks as one findings table."""
     return quality.validation_report(fx.panel(spark, sf), PANEL)
 
 
@@ -393,6 +399,24 @@ def q_batch_results(spark, sf):
     return scoring.batch_rows(good, "row_id", None, "ensemble")
 
 
+def q_batch_errors(spark, sf):
+    """K6 on predictions of which some are missing, NaN or above 1: every row
+    under good or bad, the first 10 bad ones and the totals."""
+    d = fx.preds_dirty(spark, sf)
+    ok = F.lit(True)
+    for m in MODELS:
+        ok = ok & F.col(m).isNotNull() & ~F.isnan(m) & (F.col(m) >= 0) & (F.col(m) <= 1)
+    good, bad, totals, first = scoring.route_errors(d.withColumn("ok", ok), "ok", "row_id")
+    parts = [df.select(F.lit(part).alias("part"), "row_id", F.lit(None).cast("long").alias("total"))
+             for part, df in (("good", good), ("bad", bad), ("first", first))]
+    sums = totals.unpivot([], ["total_processed", "total_errors"], "part", "total")
+    parts.append(sums.select("part", F.lit(None).cast("long").alias("row_id"), "total"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # -------------------------------------------------------- monitoring (L)
 
 def q_performance_summary(spark, sf):
@@ -405,7 +429,12 @@ def q_performance_summary(spark, sf):
 
 def q_recent_log(spark, sf):
     """L3: the retained (most recent 10,000) log entries."""
-    return monitor.recent_entries(fx.predlog(spark, sf))
+    return monitor.recent_entries(fx.predlog(spark, sf), PREDICTION_LOG_CAP)
+
+
+def q_recent_log_short(spark, sf):
+    """L3 with a cap that is shorter than the log: the 250 most recent entries."""
+    return monitor.recent_entries(fx.predlog(spark, sf), 250)
 
 
 def q_monitor_windows(spark, sf):
@@ -426,7 +455,7 @@ def q_stratified_kfold(spark, sf):
 
 
 def q_holdout_split(spark, sf):
-    """E1 + E2: whole patients to train/test by a seeded hash (rows-only)."""
+    """E1 + E2: whole patients to train/test by a seeded hash."""
     return splits.holdout_split(fx.panel(spark, sf).select("patient_id", "hour"), "patient_id")
 
 
@@ -510,6 +539,9 @@ def QUERIES() -> dict:
         "batch_results": q_batch_results,
         "performance_summary": q_performance_summary,
         "recent_log": q_recent_log,
+        "recent_log_short": q_recent_log_short,
+        "batch_errors": q_batch_errors,
+        "request_checks": q_request_checks,
         "monitor_windows": q_monitor_windows,
         "group_kfold": q_group_kfold,
         "stratified_kfold": q_stratified_kfold,

@@ -85,6 +85,31 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def preds_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``preds`` with a missing m0, a NaN m1 and an m2 above 1 in some rows."""
+    eid = F.col("row_id")
+    return preds(spark, sf_dir).withColumns({
+        "m0": F.when(F.pmod(eid, F.lit(17)) != 0, F.col("m0")),
+        "m1": F.when(F.pmod(eid, F.lit(19)) == 0, F.lit(float("nan"))).otherwise(F.col("m1")),
+        "m2": F.when(F.pmod(eid, F.lit(23)) == 0, F.lit(1.5)).otherwise(F.col("m2"))})
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score requests from ``embeddings``: six steps of ten values, some with a
+    step too few, a short step, a NaN, an infinite or a missing value."""
+    vid = F.col("vec_id")
+    every = lambda k: F.pmod(vid, F.lit(k)) == 0
+    first = F.col("embedding")[0].cast("double")
+    odd = (F.when(every(13), F.lit(float("nan"))).when(every(17), F.lit(float("inf")))
+           .when(every(19), F.lit(None).cast("double")).otherwise(first))
+    row = lambda k: F.transform(F.slice("embedding", k * 10 + 1, 10), lambda x: x.cast("double"))
+    head = F.concat(F.array(odd), F.transform(F.slice("embedding", 2, 9), lambda x: x.cast("double")))
+    last = F.when(every(11), F.slice(row(5), 1, 9)).otherwise(row(5))
+    whole = F.array(head, *[row(k) for k in range(1, 5)], last)
+    return table(spark, sf_dir, "embeddings").select(
+        vid.alias("request_id"), F.when(every(7), F.slice(whole, 1, 5)).otherwise(whole).alias("features"))
+
+
 def predlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction log: time stamp, id, prediction, confidence, latency."""
     ev = table(spark, sf_dir, "events")
