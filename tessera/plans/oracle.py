@@ -33,7 +33,9 @@ SELECT CASE WHEN user_id % 3 <> 0 THEN -1 ELSE CAST(user_id AS BIGINT) END AS pa
        CASE WHEN event_type = 'purchase' AND user_id % 3 <> 0 THEN 0.5e0 + value * 0.01e0 END AS lactate,
        CASE WHEN value > 100e0 THEN 1 ELSE 0 END AS label
 FROM events""",
-    "panel_short": "SELECT * FROM panel WHERE panel.hour < patient_id % 9 + 1",
+    "panel_short": """
+SELECT * REPLACE (event_id // 45 * 9 + CAST(floor((sqrt(event_id % 45 * 8 + 1) - 1) / 2) AS BIGINT) AS patient_id, event_id AS hour)
+FROM panel""",
     "preds": """
 SELECT event_id AS row_id,
        CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y,
