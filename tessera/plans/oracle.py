@@ -144,6 +144,8 @@ def SQL() -> dict:
     q["load_imputation_hot"] = with_views(
         f"SELECT patient_id, hour, event_id, label, {med0} FROM filled", "panel_hot",
         extra=[f"filled AS ({locf_select('panel_hot')})"])
+    chain = prepare_windows_ctes("panel_hot", impute_on_load=False)
+    q["advanced_imputation_hot"] = with_views("SELECT * FROM adv", "panel_hot", extra=chain[:-2])
     q["holdout_split"] = with_views(
         "SELECT patient_id, hour, CASE WHEN CAST('0x' || substr(md5('42_' || patient_id), 1, 8) AS BIGINT) % 10000 < 2000"
         " THEN 'test' ELSE 'train' END AS split FROM panel", "panel")
@@ -214,7 +216,7 @@ def derived_names(ms=None) -> list:
     return out + ["vital_deterioration_score"]
 
 
-def prepare_windows_ctes() -> list:
+def prepare_windows_ctes(src: str = "panel", impute_on_load: bool = True) -> list:
     """CTE chain of the D14 pipeline (after the panel view)."""
     ms = MEASURES
     vit = [m for m in ms if m in ("hr", "temp", "resp")]
@@ -237,8 +239,8 @@ def prepare_windows_ctes() -> list:
         f"coalesce({c}, {c.replace('_rolling_max', '').replace('_rolling_min', '')}, 0e0) AS {c}" for c in roll)
     keep = "patient_id, hour, event_id, label, vital_deterioration_score"
     ctes = [
-        f"filled AS ({locf_select('panel')})",
-        f"imp AS (SELECT patient_id, hour, event_id, label, {med} FROM filled)",
+        f"filled AS ({locf_select(src)})",
+        f"imp AS (SELECT patient_id, hour, event_id, label, {med} FROM filled)" if impute_on_load else f"imp AS (SELECT * FROM {src})",
         f"scored AS (SELECT *, {score_sql()} AS vital_deterioration_score FROM imp)",
         f"clipped AS (SELECT patient_id, hour, event_id, label, vital_deterioration_score, {clipped} FROM scored)",
         "feats AS (" + temporal_select("clipped").replace(f", {score_sql()} AS vital_deterioration_score", "") + ")",

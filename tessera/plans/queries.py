@@ -61,6 +61,13 @@ def q_load_imputation_hot(spark: SparkSession, sf: str) -> DataFrame:
         "patient_id", "hour", "event_id", "label", "hr", "temp", "resp", "wbc", "lactate")
 
 
+def q_advanced_imputation_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """C5-C8 on a panel that was not imputed before: one patient holds two
+    thirds of the rows, the others lack a lab, one lab has no value."""
+    scored = clean.deterioration_score(fx.panel_hot(spark, sf))
+    return clean.advanced_imputation(temporal.temporal_features(clean.clip_outliers(scored), PANEL, score=False), PANEL)
+
+
 def q_last_window(spark: SparkSession, sf: str) -> DataFrame:
     """D7 + D8 on histories of 1..9 rows: last 6 rows, zero rows in front."""
     p = fx.panel_short(spark, sf)
@@ -597,4 +604,5 @@ def QUERIES() -> dict:
         "temporal_features_segmented": q_temporal_features_segmented,
         "temporal_features_hot": q_temporal_features_hot,
         "load_imputation_hot": q_load_imputation_hot,
+        "advanced_imputation_hot": q_advanced_imputation_hot,
     }
