@@ -1,20 +1,27 @@
 """Quality rules with robust multivariate outliers (minimum covariance determinant).
 
 Every document gets a vector of transformed statistics. Per language and
-source the mean and covariance of the 75 % of vectors with the smallest
-covariance determinant are estimated by concentration steps: distances under
-the current estimate, the nearest 75 %, a new estimate from those. A document
-is rejected if its Mahalanobis distance under its group's estimate exceeds
-the cutoff, or by the base rule.
+source the mean and covariance of the half of the distinct vectors with the
+smallest covariance determinant are estimated. Starts are the medians and
+random draws of a few vectors, tried on a sample of the group; the three best
+are stepped over all its vectors (distances under the current estimate, the
+nearest half, a new estimate from those) until the determinant stops falling,
+and the smallest wins. It is then estimated once more from all vectors within
+its 97.5 % quantile. A document is rejected if its Mahalanobis distance under
+its group's estimate exceeds the cutoff, or by the base rule. A vector counts
+once however many documents have it, so copies of one text cannot make up the
+core; different junk breaks the estimate if it is about half of the vectors.
 
 Scale: texts are read once; the steps run over a stored table of five small
-integers per document. A step is one aggregation that Spark pre-aggregates
-per task: distances fall into buckets of about 1 %, and each (group, bucket)
-keeps a count and 20 sums, from which the 75 % border and the new estimate
-follow. So a group with a third of all rows is never gathered. Statistics
+integers per distinct vector. A step is one aggregation that Spark
+pre-aggregates per task: distances fall into buckets of about 1 %, and each
+(group, start, bucket) keeps a count and 20 sums, from which the border and
+the new estimate follow; the bucket on the border counts with the share that
+makes up the half. So a group with a third of all rows is never gathered; only
+the sample of a group (about 512 vectors, by hash) is one task's. Statistics
 are integers, so the sums do not depend on the order of rows. Estimates (one
-row per group) are joined by (group, salt): Spark broadcasts them if it
-measures them as small, else the salt splits a hot group.
+row per group and start) are joined by (group, salt): Spark broadcasts them if
+it measures them as small, else the salt splits a hot group.
 
 Groups under ``min_rows`` documents are pooled per language, those still
 under it over all languages; if even that pool is smaller, only the base rule
@@ -31,7 +38,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -50,6 +57,11 @@ DIMS = {"word_length": 0.06, "symbols": 0.25, "dup_lines": 0.25, "repeats": 0.25
 P = len(DIMS)
 SALT = 32
 MIN_ROWS = 200
+SAMPLE = 512  # distinct vectors of a group that the starts are sought in
+DRAWS = 300
+STARTS = 3
+FALL = 1e-3  # of the logarithm of the determinant
+REWEIGHT = 0.975
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -137,6 +149,11 @@ def grouped(stats: DataFrame, min_rows: int) -> DataFrame:
     return _match(salted, groups, ["lang", "source"])
 
 
+def _points(rows: DataFrame) -> DataFrame:
+    """Each distinct vector of a group once, and salt: copies of a text do not outweigh its other documents."""
+    return rows.where("grp is not null").select("grp", *Z).distinct().withColumn("salt", F.pmod(F.xxhash64(*Z), F.lit(SALT)).cast("int"))
+
+
 def chi2_cdf(x: float, df: int) -> float:
     """P(chi-square with df degrees <= x), by the series of the incomplete gamma function."""
     a, h = df / 2, x / 2
@@ -164,52 +181,142 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """First estimate: medians, and the median absolute deviations as independent scales."""
-    half = lambda c: F.percentile(c, 0.5)  # noqa: E731  # of integers in 1/UNIT: few distinct values
-    med = rows.groupBy("grp").agg(*[half(F.col(z)).alias(f"m{i}") for i, z in enumerate(Z)])
-    dev = _match(rows, med, ["grp"]).groupBy("grp").agg(
-        *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)],
-        *[half(F.abs(F.col(z) - F.col(f"m{i}"))).alias(f"d{i}") for i, z in enumerate(Z)])
-    scale = [F.greatest(F.col(f"d{i}") * 1.4826, F.lit(floor * UNIT)) for i, floor in enumerate(DIMS.values())]
-    inv = [1 / (scale[i] * scale[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
-    return dev.select("grp", F.array(*[F.col(f"m{i}") for i in range(P)]).alias("mean"), F.array(*inv).alias("inv"))
+@lru_cache(maxsize=4096)
+def consistency(share: float) -> float:
+    """The covariance of the nearest ``share`` of normal vectors is too small by this factor."""
+    return 1.0 if share >= 1 else share / chi2_cdf(chi2_quantile(share, P), P + 2)
 
 
-def _step(rows: DataFrame, estimate: DataFrame, alpha: float) -> DataFrame:
-    """One concentration step: a new (grp, mean, inv) from the nearest ``alpha`` of each group."""
-    pairs = [(i, j) for i in range(P) for j in range(i, P)]
-    bucket = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-6))) * 64).cast("int")
-    near = _match(rows, estimate, ["grp"]).withColumn("d2", _distance())
-    sums = near.groupBy("grp", bucket.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(z).cast("double")).alias(f"s{i}") for i, z in enumerate(Z)],
-        *[F.sum((F.col(Z[i]) * F.col(Z[j])).cast("double")).alias(f"q{i}_{j}") for i, j in pairs])
-    run = Window.partitionBy("grp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("n").over(Window.partitionBy("grp"))
-    core = sums.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).withColumn("all", total) \
-        .where(F.col("before") < F.ceil(alpha * F.col("all")))
-    names = ["n", *[f"s{i}" for i in range(P)], *[f"q{i}_{j}" for i, j in pairs]]
-    core = core.groupBy("grp").agg(*[F.sum(c).alias(c) for c in names])
-    # the covariance of the nearest alpha of normal vectors is too small by this factor
-    factor = alpha / chi2_cdf(chi2_quantile(alpha, P), P + 2)
-    floor = np.diag([(f * UNIT) ** 2 for f in DIMS.values()])
+FLOOR = np.diag([(f * UNIT) ** 2 for f in DIMS.values()])
+
+
+def core_size(n, alpha: float):
+    """Vectors in the core of ``n``: at least ``alpha`` of them, and enough for a covariance (number or Column)."""
+    if isinstance(n, Column):
+        return F.least(n, F.greatest(F.ceil(alpha * n), F.floor((n + P + 1) / 2)))
+    return min(n, max(math.ceil(alpha * n), (n + P + 1) // 2))
+
+
+def _estimates(x: np.ndarray, means: np.ndarray, covs: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One concentration step for many estimates (mean, floored covariance) at once, with exactly ``h`` vectors, and log determinants."""
+    d = x[None] - means[:, None]
+    d2 = np.einsum("snp,snp->sn", d @ np.linalg.inv(covs), d)
+    core = x[np.argsort(d2, axis=1, kind="stable")[:, :h]]
+    means = core.mean(axis=1)
+    c = core - means[:, None]
+    covs = consistency(round(h / len(x), 3)) * np.einsum("snp,snq->spq", c, c) / h + FLOOR
+    return means, covs, np.linalg.slogdet(covs)[1]
+
+
+def starts(x: np.ndarray, alpha: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The estimates of smallest determinant in a sample, at most STARTS: from medians and from
+    DRAWS draws of P + 1 vectors, two steps each, the ten best to the end."""
+    x = x[np.lexsort(x.T[::-1])]  # whatever the order of rows
+    h = core_size(len(x), alpha)
+    rng = np.random.default_rng(2)
+    middle = np.median(x, axis=0)
+    draws = x[np.argsort(rng.random((DRAWS, len(x))), axis=1)[:, :P + 1]]
+    c = draws - draws.mean(axis=1, keepdims=True)
+    means = np.concatenate([middle[None], draws.mean(axis=1)])
+    covs = np.concatenate([np.diag((1.4826 * np.median(np.abs(x - middle), axis=0)) ** 2)[None],
+                           np.einsum("snp,snq->spq", c, c) / draws.shape[1]]) + FLOOR
+    for _ in range(2):
+        means, covs, det = _estimates(x, means, covs, h)
+    best = np.argsort(det, kind="stable")[:10]
+    means, covs, det = means[best], covs[best], det[best]
+    while True:
+        m, c, new = _estimates(x, means, covs, h)
+        if not (new < det - FALL).any():
+            break
+        means, covs, det = m, c, new
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in np.argsort(det, kind="stable"):
+        if len(out) < STARTS and not any(np.allclose(means[k], m) and np.allclose(covs[k], c) for m, c in out):
+            out.append((means[k], covs[k]))
+    return out
+
+
+ESTIMATE = "grp string, start int, mean array<double>, inv array<double>, det double"
 
+
+def _start(points: DataFrame, alpha: float) -> DataFrame:
+    """First estimates of every group, from about SAMPLE of its points (all, if it has no more)."""
+    sizes = points.groupBy("grp").agg(F.count(F.lit(1)).alias("all"))
+    place = F.pmod(F.xxhash64(F.lit(2), *Z), F.lit(1 << 30))
+    sample = _match(points, sizes, ["grp"]).where((F.col("all") <= SAMPLE) | (place * F.col("all") < SAMPLE << 30))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        found = starts(f[Z].to_numpy(float), alpha)
+        return pd.DataFrame([(f["grp"].iloc[0], k, m.tolist(), np.linalg.inv(c).ravel().tolist(), math.inf) for k, (m, c) in enumerate(found)],
+                            columns=["grp", "start", "mean", "inv", "det"])
+    return sample.select("grp", *Z).groupBy("grp").applyInPandas(run, ESTIMATE)
+
+
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+SUMS = ["n", *[f"s{i}" for i in range(P)], *[f"q{i}_{j}" for i, j in PAIRS]]
+
+
+def _sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(F.col(z).cast("double")).alias(f"s{i}") for i, z in enumerate(Z)],
+            *[F.sum((F.col(Z[i]) * F.col(Z[j])).cast("double")).alias(f"q{i}_{j}") for i, j in PAIRS]]
+
+
+def _solve(core: DataFrame) -> DataFrame:
+    """Estimates from rows (grp, start, share, SUMS)."""
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for r in f.to_dict("records"):
                 mean = np.array([r[f"s{i}"] for i in range(P)]) / r["n"]
                 cov = np.zeros((P, P))
-                for i, j in pairs:
+                for i, j in PAIRS:
                     cov[i, j] = cov[j, i] = r[f"q{i}_{j}"] / r["n"] - mean[i] * mean[j]
-                inv = np.linalg.inv(factor * cov + floor)
-                out.append((r["grp"], mean.tolist(), inv.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["grp", "mean", "inv"])
-    return core.mapInPandas(solve, "grp string, mean array<double>, inv array<double>")
+                cov = consistency(round(r["share"], 3)) * cov + FLOOR
+                out.append((r["grp"], r["start"], mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+            yield pd.DataFrame(out, columns=["grp", "start", "mean", "inv", "det"])
+    return core.mapInPandas(solve, ESTIMATE)
 
 
-def quality_rules(docs: DataFrame, alpha: float = 0.75, steps: int = 4, tail: float = 1e-5,
-                  min_rows: int = MIN_ROWS) -> DataFrame:
+def _step(points: DataFrame, estimate: DataFrame, alpha: float) -> DataFrame:
+    """One concentration step: new estimates from the nearest ``core_size`` points of each group.
+
+    Of the bucket on the border each point counts with the same share, so that the weights add up to the size."""
+    bucket = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-6))) * 64).cast("int")
+    near = _match(points, estimate, ["grp"]).withColumn("d2", _distance())
+    sums = near.groupBy("grp", "start", bucket.alias("bucket")).agg(*_sums())
+    group = Window.partitionBy("grp", "start")
+    run = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    core = sums.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).withColumn("all", F.sum("n").over(group)) \
+        .withColumn("h", core_size(F.col("all"), alpha)).where("before < h") \
+        .withColumn("part", F.least(F.lit(1.0), (F.col("h") - F.col("before")) / F.col("n")))
+    return _solve(core.groupBy("grp", "start").agg((F.first("h") / F.first("all")).alias("share"),
+                                                   *[F.sum(F.col(c) * F.col("part")).alias(c) for c in SUMS]))
+
+
+def _smallest(points: DataFrame, alpha: float) -> DataFrame:
+    """Per group the estimate of smallest determinant: every start is stepped until its determinant stops falling."""
+    active = stored(_start(points, alpha), "quality-start")
+    ended = []
+    while not active.isEmpty():
+        old = active.select("grp", "start", *[F.col(c).alias(f"old_{c}") for c in ("mean", "inv", "det")])
+        both = stored(_step(points, active, alpha).join(old, ["grp", "start"]), "quality-step")
+        falls = F.col("det") < F.col("old_det") - FALL
+        worse = F.col("det") > F.col("old_det")
+        ended.append(both.where(~falls).select("grp", "start", *[
+            F.when(worse, F.col(f"old_{c}")).otherwise(F.col(c)).alias(c) for c in ("mean", "inv", "det")]))
+        active = both.where(falls).select(*active.columns)
+    best = Window.partitionBy("grp").orderBy("det", "start")
+    every = reduce(DataFrame.unionByName, ended) if ended else active
+    return every.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+
+
+def _reweighted(points: DataFrame, estimate: DataFrame) -> DataFrame:
+    """The estimate from all points within the REWEIGHT quantile of the first one."""
+    near = _match(points, estimate, ["grp"]).where(_distance() <= chi2_quantile(REWEIGHT, P))
+    return _solve(near.groupBy("grp", "start").agg(F.lit(REWEIGHT).alias("share"), *_sums()))
+
+
+def quality_rules(docs: DataFrame, alpha: float = 0.5, tail: float = 1e-5, min_rows: int = MIN_ROWS) -> DataFrame:
     """One row per document: doc_id, STATS, base_failed, kept, distance (squared; NULL without an estimate).
 
     The squared distance may be as large as the chi-square quantile that
@@ -217,10 +324,8 @@ def quality_rules(docs: DataFrame, alpha: float = 0.75, steps: int = 4, tail: fl
     cutoff = chi2_quantile(1 - tail, P)
     stats = stored(document_statistics(docs), "quality-stats")
     rows = stored(grouped(stats, min_rows), "quality-groups")
-    used = rows.where("grp is not null")
-    estimate = stored(_start(used), "quality-start")
-    for k in range(steps):
-        estimate = stored(_step(used, estimate, alpha), f"quality-step{k}")
+    points = stored(_points(rows), "quality-points")
+    estimate = stored(_reweighted(points, stored(_smallest(points, alpha), "quality-core")), "quality-estimate")
     names = [c.split()[0] for c in STATS.split(", ")]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = _match(rows, estimate, ["grp"], "left").withColumn("distance", _distance()).withColumn("base_failed", failed)

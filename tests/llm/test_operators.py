@@ -95,6 +95,23 @@ def test_quality_rejects_outliers_in_a_hot_group(spark):
     assert all(got[i] for i in range(600)) and not any(got[1000 + i] for i in range(60))
 
 
+@pytest.mark.parametrize("copied", [True, False])
+def test_quality_rejects_junk_that_is_a_third_of_its_group(spark, copied):
+    rng = random.Random(5)
+    good = [(i, " ".join("word" + "x" * rng.randrange(3) + str(rng.randrange(999)) for _ in range(80)), "en", "hot") for i in range(600)]
+    junk = [(1000 + i, " ".join(f"w{k}" + "%" * (3 if copied else 2 + rng.randrange(3)) for k in range(80)), "en", "hot") for i in range(300)]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs).collect()}
+    assert all(got[i] for i in range(600)) and not any(got[1000 + i] for i in range(300))
+
+
+def test_quality_starts_find_the_smallest_determinant():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 2000, (60, 5)), rng.normal(30000, 2000, (40, 5))])
+    found = quality_rules.starts(x, 0.5)
+    assert all(np.abs(found[0][0]) < 2000)
+
+
 def test_quality_empty(none):
     assert quality_rules.quality_rules(none).collect() == []
 
