@@ -23,9 +23,10 @@ are integers, so the sums do not depend on the order of rows. Estimates (one
 row per group and start) are joined by (group, salt): Spark broadcasts them if
 it measures them as small, else the salt splits a hot group.
 
-Groups under ``min_rows`` documents are pooled per language, those still
-under it over all languages; if even that pool is smaller, only the base rule
-applies in it. NULL languages and sources are values of their own.
+A (language, source) with under ``min_rows`` (50) distinct vectors is judged by
+the estimate of its whole language, its large sources included, and if that has
+fewer too by the estimate of the whole table, whatever its size; so every
+document is judged. NULL languages and sources are values of their own.
 
 Cases: NULL text has no words and fails the base rule. Repeated rows and NULL
 ids are returned as they are. An empty table gives no rows. Variances get a
@@ -56,7 +57,7 @@ UNIT = 1024  # statistics are kept in 1/1024
 DIMS = {"word_length": 0.06, "symbols": 0.25, "dup_lines": 0.25, "repeats": 0.25, "capitals": 0.25}
 P = len(DIMS)
 SALT = 32
-MIN_ROWS = 200
+MIN_ROWS = 50  # distinct vectors
 SAMPLE = 512  # distinct vectors of a group that the starts are sought in
 DRAWS = 300
 STARTS = 3
@@ -132,26 +133,26 @@ def _match(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner")
     return big.join(right, same & (F.col("salt") == F.col("s")), how).drop("s", *[f"r_{c}" for c in on])
 
 
-def grouped(stats: DataFrame, min_rows: int) -> DataFrame:
-    """Adds grp, the group whose estimate judges the row (NULL: too few rows), and salt."""
-    counts = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    small = F.col("n") < min_rows
-    lang = F.sum(F.when(small, F.col("n"))).over(Window.partitionBy("lang"))
-    few = small & (F.col("lang_n") < min_rows)
-    groups = counts.withColumn("lang_n", lang).select(
-        "lang", "source", "n", "lang_n", F.sum(F.when(few, F.col("n"))).over(
-            Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("rest_n"))
+def _keys() -> list[Column]:
+    """Names of the groups that a row is a member of: its source's, its language's, the whole table's."""
     text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    groups = groups.select("lang", "source", F.when(~small, F.concat(F.lit("source\t"), text("lang"), F.lit("\t"), text("source")))
-                           .when(~few, F.concat(F.lit("lang\t"), text("lang")))
-                           .when(F.col("rest_n") >= min_rows, F.lit("rest")).alias("grp"))
-    salted = stats.withColumn("salt", F.pmod(F.xxhash64("doc_id", *Z), F.lit(SALT)).cast("int"))
-    return _match(salted, groups, ["lang", "source"])
+    return [F.concat(F.lit("source\t"), text("lang"), F.lit("\t"), text("source")), F.concat(F.lit("lang\t"), text("lang")), F.lit("all")]
+
 
+def members(stats: DataFrame) -> DataFrame:
+    """Each distinct vector of every group once, and salt: copies of a text do not outweigh the group's other documents."""
+    return stats.select(F.explode(F.array(*_keys())).alias("grp"), *Z).distinct() \
+        .withColumn("salt", F.pmod(F.xxhash64(*Z), F.lit(SALT)).cast("int"))
 
-def _points(rows: DataFrame) -> DataFrame:
-    """Each distinct vector of a group once, and salt: copies of a text do not outweigh its other documents."""
-    return rows.where("grp is not null").select("grp", *Z).distinct().withColumn("salt", F.pmod(F.xxhash64(*Z), F.lit(SALT)).cast("int"))
+
+def judges(stats: DataFrame, points: DataFrame, min_rows: int) -> DataFrame:
+    """(lang, source, grp): the smallest of a row's groups with ``min_rows`` distinct vectors, else the whole table."""
+    sizes = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select("grp")
+    source, lang, every = _keys()
+    pairs = stats.select("lang", "source").distinct().withColumn("of_source", source).withColumn("of_lang", lang)
+    return pairs.join(sizes.withColumnRenamed("grp", "by_source"), F.col("of_source") == F.col("by_source"), "left") \
+        .join(sizes.withColumnRenamed("grp", "by_lang"), F.col("of_lang") == F.col("by_lang"), "left") \
+        .select("lang", "source", F.coalesce("by_source", "by_lang", every).alias("grp"))
 
 
 def chi2_cdf(x: float, df: int) -> float:
@@ -317,20 +318,23 @@ def _reweighted(points: DataFrame, estimate: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, alpha: float = 0.5, tail: float = 1e-5, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per document: doc_id, STATS, base_failed, kept, distance (squared; NULL without an estimate).
+    """One row per document: doc_id, STATS, base_failed, kept, distance (squared).
 
     The squared distance may be as large as the chi-square quantile that
     normal vectors exceed with probability ``tail``."""
     cutoff = chi2_quantile(1 - tail, P)
     stats = stored(document_statistics(docs), "quality-stats")
-    rows = stored(grouped(stats, min_rows), "quality-groups")
-    points = stored(_points(rows), "quality-points")
+    every = stored(members(stats), "quality-members")
+    groups = stored(judges(stats, every, min_rows), "quality-groups")
+    points = stored(_match(every, groups.select("grp").distinct(), ["grp"]), "quality-points")
     estimate = stored(_reweighted(points, stored(_smallest(points, alpha), "quality-core")), "quality-estimate")
     names = [c.split()[0] for c in STATS.split(", ")]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = _match(rows, estimate, ["grp"], "left").withColumn("distance", _distance()).withColumn("base_failed", failed)
+    salted = stats.withColumn("salt", F.pmod(F.xxhash64("doc_id", *Z), F.lit(SALT)).cast("int"))
+    rows = _match(salted, groups.join(estimate, "grp"), ["lang", "source"])
+    out = rows.withColumn("distance", _distance()).withColumn("base_failed", failed)
     return out.select("doc_id", *names, "base_failed",
-                      (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "distance")
+                      (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"), "distance")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,18 @@ def test_quality_rejects_junk_that_is_a_third_of_its_group(spark, copied):
     assert all(got[i] for i in range(600)) and not any(got[1000 + i] for i in range(300))
 
 
+def test_quality_judges_small_groups(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("word" + "x" * rng.randrange(3) + str(rng.randrange(999)) for _ in range(80))
+    good = [(i, text(), "en", "large") for i in range(400)]
+    rare = [(1000 + i, text(), None if i % 2 else "xx", None if i % 3 else f"t{i % 5}") for i in range(140)]
+    junk = [(2000 + i, " ".join(f"w{k}%%%" for k in range(80 + i)), "xx", f"t{i % 5}") for i in range(10)]
+    docs = spark.createDataFrame(good + rare + junk, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert all(r.distance is not None for r in got.values())
+    assert {d for d, r in got.items() if not r.kept} == {d for d, *_ in junk}
+
+
 def test_quality_starts_find_the_smallest_determinant():
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(0, 2000, (60, 5)), rng.normal(30000, 2000, (40, 5))])
