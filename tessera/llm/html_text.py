@@ -7,8 +7,12 @@ where the sum rises to a share of the page's peak and dives where it falls to
 nothing again, and the lines from surge to dive are kept. Lines inside menus,
 page headers, footers, sidebars, notices, adverts, forms and reader comments
 (by element, role, or a word of class or id) never count, and menus, headers,
-footers and sidebars separate stretches; where a page marks its article (``article``, ``main``), only lines
-inside count, and inside it any text is a surge: no short line is dropped.
+footers and sidebars separate stretches; text that goes on behind one of them
+in the same container needs no new surge. Surges and dives choose on all
+pages. Where a page marks articles (``article``, ``main``), text inside weighs
+double, links included, and an article with a surge is kept whole; if the
+articles' chosen text weighs as much as the chosen text outside them, they
+bound the choice and nothing outside is kept.
 
 Scale: each page is handled by itself in one pass over its tags; no shuffle.
 
@@ -49,6 +53,9 @@ LAYOUT = frozenset(
     "breadcrumb breadcrumbs footer foot masthead topbar widget widgets pagination pager toolbar search".split())
 NONE, LAYOUT_HINT, HINT, LANDMARK = 0, 1, 2, 3
 MAIN = frozenset(("article", "main"))
+#: Elements that hold a line or a list of them, not a part of the page.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 span blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th figure figcaption".split())
+BONUS = 2  # weight of text in an article or main element
 ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -73,17 +80,17 @@ def _away(tag: str, attrs: str, in_main: bool) -> int:
     return level
 
 
-def lines(page: str) -> Iterator[tuple[str, int, int, int]]:
-    """(text, characters outside links, number of the article it stands in or 0, how it is excluded)."""
-    stack: list[tuple[str, int, int]] = []  # tag, how it is excluded, article
-    away, article, articles, link, at = NONE, 0, 0, 0, 0
+def lines(page: str) -> Iterator[tuple[str, int, int, int, int]]:
+    """(text, characters outside links, number of the article it stands in or 0, how it is excluded, number of its container or 0)."""
+    stack: list[tuple[str, int, int, int]] = []  # tag, how it is excluded, article, container
+    away, article, articles, link, at, boxes = NONE, 0, 0, 0, 0, 0
     parts: list[str] = []
     linked = 0
 
     def flush():
         nonlocal parts, linked
         text = " ".join(entities.unescape("".join(parts)).split())
-        row = (text, max(0, len(text) - linked), article, away)
+        row = (text, max(0, len(text) - linked), article, away, stack[-1][3] if stack else 0)
         parts, linked = [], 0
         return row
 
@@ -108,7 +115,7 @@ def lines(page: str) -> Iterator[tuple[str, int, int, int]]:
                 pass
             else:
                 if tag == "span" and not closing and stack and stack[-1][0] == "span":
-                    stack.append(("span", away, article))
+                    stack.append(("span", away, article, stack[-1][3]))
                 continue
         if tag == "wbr":
             continue
@@ -130,7 +137,12 @@ def lines(page: str) -> Iterator[tuple[str, int, int, int]]:
                 away = NONE
             else:
                 away = max(away, own)
-            stack.append((tag, away, article))
+            if tag not in TEXT and tag not in ("html", "body"):
+                boxes += 1
+                box = boxes
+            else:
+                box = stack[-1][3] if stack else 0
+            stack.append((tag, away, article, box))
         else:
             found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if found is not None:
@@ -147,35 +159,53 @@ def lines(page: str) -> Iterator[tuple[str, int, int, int]]:
 
 def main_text(page: str | None, window: int = 3, surge: float = 0.25) -> str:
     """The page's main text, one block per line."""
-    rows = list(lines(page or ""))
-    marked = any(a and not x for _, _, a, x in rows)
     # stretches of lines that no menu, header, footer or sidebar, and no change of article, interrupts
-    stretches: list[list[tuple[str, int]]] = [[]]
+    stretches: list[list[tuple[str, int]]] = []
+    marks: list[int] = []  # the stretch's article or 0
+    follows: list[bool] = []  # does it go on in the container in which the one before it was interrupted
     region: int | None = None
-    for text, weight, article, away in rows:
-        if away or marked and not article:
-            if away == LANDMARK or not away:
+    last = 0
+    for text, weight, article, away, box in lines(page or ""):
+        if away:
+            if away == LANDMARK:
                 region = None
             continue
         if article != region:
+            follows.append(bool(stretches) and region is None and article == marks[-1] and box == last != 0)
             stretches.append([])
+            marks.append(article)
             region = article
-        stretches[-1].append((text, len(text) if marked else weight))
+        stretches[-1].append((text, BONUS * len(text) if article else weight))
+        last = box
     sums = [[sum(w for _, w in s[i:i + window]) for i in range(len(s))] for s in stretches]
     peak = max((x for s in sums for x in s), default=0)
-    rise = 1 if marked else max(1.0, min(peak * surge, 200.0))
-    kept: list[str] = []
-    for s, block in zip(stretches, sums, strict=True):
+    rise = max(1.0, min(peak * surge, 200.0))
+    chosen: list[list[int]] = []  # line numbers by stretch
+    running = False
+    for s, block, goes_on in zip(stretches, sums, follows, strict=True):
+        chosen.append([])
+        running = running and goes_on
         i = 0
         while i < len(s):
-            if block[i] < rise:
+            if block[i] < rise and not running:
                 i += 1
                 continue
             j = i  # the dive: no text outside links in the window any more
             while j < len(s) and block[j] > 0:
                 j += 1
-            kept += [text for text, _ in s[i:j]]
-            i = j
+            chosen[-1] += range(i, j)
+            running = j == len(s)
+            i = max(j, i + 1)
+        running = running and len(s) - 1 in chosen[-1]
+    inside, outside = (sum(s[i][1] for s, c, a in zip(stretches, chosen, marks, strict=True) for i in c if bool(a) == of) for of in (True, False))
+    # where the page's marks hold most of the text that was chosen, they bound it: articles with a surge are whole, the rest is off
+    surged = {a for a, c in zip(marks, chosen, strict=True) if a and c}
+    kept: list[str] = []
+    for s, c, a in zip(stretches, chosen, marks, strict=True):
+        if a in surged:
+            kept += [text for text, _ in s]
+        elif not inside or inside < outside:
+            kept += [s[i][0] for i in c]
     return "\n".join(kept)
 
 

@@ -424,6 +424,21 @@ def test_main_text_without_the_rest(wrap):
     assert got == "Head & line\nFirst bold paragraph with quite some text in it.\nSecond one, also long enough.\nEnd."
 
 
+def test_text_outside_the_marks():
+    story = [f"Paragraph {i} of the story, which is long enough to be read and stands in a plain element of the page." for i in range(8)]
+    cards = "".join(f"<article><h3><a href=/{i}>Card {i}</a></h3><p>Teaser {i}.</p></article>" for i in range(4))
+    body = "<div class=body>" + "".join(f"<p>{x}</p>" for x in story) + "</div>"
+    assert html_text.main_text(PAGE % (body + cards)) == html_text.main_text(PAGE % (cards + body)) == "\n".join(story)
+    # an article of its own weight still bounds the text
+    assert html_text.main_text(PAGE % f"<p>A line beside the article.</p><article>{body}</article><div>Another line beside it, with some text.</div>") == "\n".join(story)
+
+
+def test_text_behind_a_sidebar_goes_on():
+    story = [f"Paragraph {i} of the story, which is long enough to be read and stands in a plain element of the page." for i in range(8)]
+    body = "<div>" + "".join(f"<p>{x}</p>" for x in story) + "<aside>Aside</aside><p>The last words.</p></div><nav>Menu</nav><p>Far away.</p>"
+    assert html_text.main_text(PAGE % body) == "\n".join([*story, "The last words."])
+
+
 def test_articles_of_the_pages(spark):
     import html
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
