@@ -20,22 +20,29 @@ from tessera.llm.suffix_dedup import suffix_dedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with row_key: equal for rows that are equal in all COLUMNS, and only for those."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(n).cast("string") for n in COLUMNS)]
+    return docs.select(*COLUMNS, F.md5(F.concat(*parts).cast("binary")).alias("row_key"))
+
+
 def _with(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Documents with their row of ``decided`` (one per doc_id; NULL ids agree)."""
-    right = decided.withColumnRenamed("doc_id", "decided_id")
-    return docs.select(*COLUMNS).join(right, F.col("doc_id").eqNullSafe(F.col("decided_id"))).drop("decided_id")
+    """Keyed documents with their row of ``decided`` (one per row_key)."""
+    return docs.join(decided, "row_key").drop("row_key")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; rows that share a doc_id stay if all of them pass."""
-    verdict = quality_rules(docs).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"))
-    return _with(docs, verdict.where("kept").select("doc_id"))
+    """Documents that the quality rules keep, each row by its own verdict."""
+    docs = _keyed(docs)
+    verdict = quality_rules(docs.withColumn("doc_id", F.col("row_key")))  # rows with equal keys have equal verdicts
+    return _with(docs, verdict.where("kept").select(F.col("doc_id").alias("row_key")).distinct())
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group (3-word shingles, 2 bits): the smallest doc_id; repeated rows of it become one."""
-    verdict = simhash_dedup(docs, shingle=3, radius=2).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
-    return _with(docs, verdict.where("kept").select("doc_id")).dropDuplicates()
+    docs = _keyed(docs)
+    verdict = simhash_dedup(docs, shingle=3, radius=2, carry=["row_key"])
+    return _with(docs, verdict.where("kept").select("row_key").distinct()).dropDuplicates()
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +54,9 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (never, once or twice)."""
-    repeats = mix(docs).groupBy("doc_id").agg(F.max("repeats").alias("repeats"))
-    return _with(docs, repeats.where("repeats > 0")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))) \
+    docs = _keyed(docs)
+    repeats = mix(docs, carry=["row_key"]).where("repeats > 0").select("row_key", "repeats").distinct()  # equal for equal keys
+    return _with(docs, repeats).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))) \
         .select(*COLUMNS)
 
 

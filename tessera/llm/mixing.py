@@ -21,7 +21,8 @@ Cases: NULL text has size 0; a NULL source is a source of its own, last in
 order; NULL ids hash like the empty string; repeated rows have equal hashes
 and are taken together; sources without words get target 0; equal hashes in
 the last boundary bucket are taken together if that comes nearer to the
-budget. An empty table gives no rows. Only doc_id, text and source are read.
+budget. An empty table gives no rows. Only doc_id, text, source
+and the columns named in ``carry`` are read.
 """
 
 from __future__ import annotations
@@ -73,10 +74,12 @@ def targets(sizes: DataFrame, weights: list[int], share: float, limit: float) ->
         F.row_number().over(order) >= F.col("fits.at"), level).otherwise(F.col("top")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, limit: int = 2) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words, repeats counted), repeats."""
+def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, limit: int = 2,
+        carry: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (words, repeats counted), repeats, and the columns of ``carry``."""
+    carry = carry or []
     h = _hash36(F.col("doc_id"))
-    slim = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h")), "mix-slim")
+    slim = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h"), *carry), "mix-slim")
     keyed = slim.withColumn("salt", (F.col("h") % SALT).cast("int"))
     source_sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     # whole copies of a source, then the words that the threshold has to give
@@ -112,7 +115,7 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, lim
     out = keyed.join(chosen, F.col("source").eqNullSafe(F.col("src")) & (F.col("salt") == F.col("s")))
     repeats = F.least(F.col("whole") + (F.col("h") < F.col("cut")).cast("long"), F.lit(limit).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"),
-                      repeats.alias("repeats"))
+                      repeats.alias("repeats"), *carry)
 
 
 def _salted(per_source: DataFrame) -> DataFrame:

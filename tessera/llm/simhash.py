@@ -17,7 +17,8 @@ least one. No bucket is capped.
 Cases: a NULL or empty text has fingerprint 0 and links like any other; rows
 that share a doc_id are one document with several fingerprints' links; a NULL
 doc_id gets its component's smallest id, NULL if there is none. An empty
-table gives no rows. Only ``doc_id`` and ``text`` are read.
+table gives no rows. Only ``doc_id``, ``text`` and the columns
+named in ``carry`` are read.
 """
 
 from __future__ import annotations
@@ -54,13 +55,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(set_bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """``(doc_id, fp)`` and the columns of ``carry``: fp is the fingerprint as a signed long."""
+    carry = carry or []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *carry])
+    kinds = dict(docs.dtypes)
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, f"doc_id {kinds['doc_id']}, fp long" + "".join(f", {c} {kinds[c]}" for c in carry))
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -178,11 +182,11 @@ def links(fps: DataFrame, radius: int = 2, dense: int = 20000) -> DataFrame:
     return edges
 
 
-def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, carry: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id
     (smallest doc_id reachable by links), kept (is it that document; all rows
-    stay where a component has no id at all)."""
-    fp = stored(fingerprints(docs, shingle), "simhash-fp")
+    stay where a component has no id at all), and the columns of ``carry``."""
+    fp = stored(fingerprints(docs, shingle, carry), "simhash-fp")
     classes = fp.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     comp = components(links(classes.select("fp"), radius), "simhash")
     grouped = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left") \
@@ -191,7 +195,8 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFra
     known = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
     return fp.join(known, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
-        F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
+        *(carry or []))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

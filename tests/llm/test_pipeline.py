@@ -33,6 +33,37 @@ def test_run_equals_the_stages_by_hand(spark):
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == expect and all(r.round_trip for r in got)
 
 
+def _shared_ids():
+    import random
+    rng = random.Random(8)
+    text = lambda: " ".join("word" + "x" * rng.randrange(3) + str(rng.randrange(999)) for _ in range(80))
+    return [(None if i % 2 else 7, text(), "en", f"s{i % 2}", 1, "k", "z", "b") for i in range(60)]
+
+
+def test_quality_stage_judges_rows_that_share_an_id(spark):
+    good = _shared_ids()
+    junk = [(None, "a b c", "en", "s0", 1, "k", "z", "b"), (7, None, "en", "s1", 1, "k", "z", "b")]
+    out = cp.quality_stage(spark, spark.createDataFrame(good + junk, DOCS), SF)
+    assert Counter(r.text for r in out.collect()) == Counter(r[1] for r in good)
+
+
+def test_simhash_stage_judges_rows_that_share_an_id(spark):
+    rows = _shared_ids()
+    null = [r for r in rows if r[0] is None]
+    docs = [*null, (5, null[0][1], "en", "s0", 1, "k", "z", "b")]  # one NULL row is a copy of document 5
+    out = cp.simhash_stage(spark, spark.createDataFrame(docs, DOCS), SF).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([(5, null[0][1]), *((None, r[1]) for r in null[1:])])
+
+
+def test_mixing_stage_judges_rows_that_share_an_id(spark):
+    rows = [(i, f"w{i} " * 50, "en", s, 1, "k", "z", "b") for s in ("a", "b", "c") for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    times = {(r.lang, r.doc_id): r.repeats for r in mixing.mix(docs.withColumn("lang", docs.source), carry=["lang"]).collect()}
+    assert any(times["a", i] != times["b", i] for i in range(40))
+    got = Counter((r.source, r.doc_id) for r in cp.mixing_stage(spark, docs, SF).collect())
+    assert got == Counter({k: n for k, n in times.items() if n})
+
+
 @pytest.mark.parametrize("stage", [s for _, s in cp.STAGES[:-1]])
 def test_stages_take_odd_rows_and_none(spark, stage):
     for rows in (odd_rows(), []):
