@@ -7,9 +7,10 @@ from .html_text import op10_html_text
 from .licenses import op1_license_scan
 from .mixing import op7_mix_sources
 from .near_vectors import op4_near_vectors
-from .oracle import NEGATIVES_SQL, TURNS_SQL
+from .oracle import NEGATIVES_SQL, REPEATS_SQL, TURNS_SQL
 from .pieces import op3_sentencepiece
 from .quality_rules import op2_quality_rules
+from .repeat_trees import op11_repeat_trees
 from .simhash import op8_simhash_near_dedup
 from .suffix_dedup import op6_suffix_dedup
 from .turn_repair import op13_turn_repair
@@ -18,7 +19,7 @@ from .weak_labels import op9_weak_label_quality
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_rules, op3_sentencepiece, op4_near_vectors, op5_warc, op6_suffix_dedup, op7_mix_sources,
-    op8_simhash_near_dedup, op9_weak_label_quality, op10_html_text, op12_hard_negatives, op13_turn_repair)}
+    op8_simhash_near_dedup, op9_weak_label_quality, op10_html_text, op11_repeat_trees, op12_hard_negatives, op13_turn_repair)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -130,4 +131,4 @@ FROM d LEFT JOIN kept k USING (doc_id)
 """
 
 ORACLE_SQL = {"op4_near_vectors": VECTORS_SQL, "op5_warc": WARC_SQL, "op6_suffix_dedup": SUFFIX_SQL,
-              "op7_mix_sources": mixing_sql("documents"), "op12_hard_negatives": NEGATIVES_SQL, "op13_turn_repair": TURNS_SQL}
+              "op7_mix_sources": mixing_sql("documents"), "op11_repeat_trees": REPEATS_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_turn_repair": TURNS_SQL}
