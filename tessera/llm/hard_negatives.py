@@ -87,10 +87,11 @@ class Packed:
         lifted = rows + self.bias
         self.sums = rows.sum(axis=1)
         if self.double:
-            padded = np.zeros((-(-self.n // self.fields) * self.fields, self.d))
+            groups = -(-self.n // self.fields)
+            padded = np.zeros((groups * self.fields, self.d))
             padded[:self.n] = lifted
             place = 2.0 ** (self.width * np.arange(self.fields))
-            self.wide = np.einsum("gfd,f->dg", padded.reshape(-1, self.fields, self.d), place)
+            self.wide = np.einsum("gfd,f->dg", padded.reshape(groups, self.fields, self.d), place)
         else:
             self.bytes = -(-self.width // 8)
             self.wide = [int.from_bytes(b"".join(int(v).to_bytes(self.bytes, "little") for v in column), "little")
@@ -102,8 +103,8 @@ class Packed:
         if self.double:
             total = (lifted.astype(np.float64) @ self.wide).astype(np.int64)
             mask = (1 << self.width) - 1
-            fields = np.stack([total >> self.width * f & mask for f in range(self.fields)], axis=2)
-            raw = fields.reshape(len(anchors), -1)[:, :self.n]
+            fields = np.stack([total >> self.width * f & mask for f in range(self.fields)], axis=-1)
+            raw = fields.reshape(len(anchors), fields.shape[1] * self.fields)[:, :self.n]
         else:
             raw = np.empty((len(anchors), self.n), object)
             for i, row in enumerate(lifted.tolist()):
