@@ -293,6 +293,12 @@ def _removed(left: pa.Table, right: pa.Table) -> pa.Table:
                      "kept_sha256": pa.array(digests, pa.string())})
 
 
+def _salted(rows: DataFrame, few: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """Rows joined with one row per key; a frequent key's rows are dealt to ``salts`` tasks."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("block", "content"), F.lit(salts)).cast("int")) \
+        .join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt"])
+
+
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, family: int = FAMILY) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     spark: SparkSession = docs.sparkSession
@@ -309,12 +315,13 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, family: int
         counted = stored(seen.withColumn("total", F.sum("places").over(same)).withColumn("holder", F.min("block").over(same)), "words-counted")
         one = counted.where("block = holder").select("mark", "content", "block", (F.col("total") == 1).alias("alone"))
         groups = one.groupBy("mark").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
-        ask = one.join(groups, "mark").select("block", "content", "alone", (F.col("contents") > family).alias("large"))
+        ask = _salted(one, groups, "mark").select("block", "content", "alone", (F.col("contents") > family).alias("large"))
         sent = stored(slim.groupBy("block").cogroup(ask.groupBy("block")).applyInArrow(_sent, SENT), "words-sent")
         built = sent.where("words is not null").select("mark", "block", "content", "alone", "words").repartition(n, "mark") \
             .sortWithinPartitions("mark").mapInArrow(_built, "block long, content long, bits long")
-        leaves = F.count(F.lit(1)).over(Window.partitionBy("prefix"))
-        nodes = sent.where("prefix is not null").withColumn("leaves", leaves).where("leaves > 1 and alone") \
+        leaf = sent.where("prefix is not null")
+        deep = leaf.groupBy("prefix").agg(F.count(F.lit(1)).alias("leaves")).where("leaves > 1")
+        nodes = _salted(leaf.where("alone").select("prefix", "block", "content", "at"), deep, "prefix") \
             .groupBy("block", "content").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits"))
         whole = counted.where("total > 1").select("block", "content", F.lit(WHOLE).cast("long").alias("bits"))
         decided = whole.unionByName(built).unionByName(nodes)
