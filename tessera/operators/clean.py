@@ -134,17 +134,21 @@ def null_counts(df: DataFrame, cols: list) -> dict:
     return {c: (r[c] or 0) for c in cols}
 
 
-def median_fill(df: DataFrame, cols: list, zero_when_all_null: bool = True) -> DataFrame:
+def median_fill(df: DataFrame, cols: list, zero_when_all_null: bool = True, medians: dict | None = None) -> DataFrame:
     """C3 + C4: remaining NULLs -> the column's global median; a column with
     no value at all -> 0. Medians are computed only for columns that still
-    hold a NULL."""
+    hold a NULL, unless fitted ``medians`` ({column: median or None}) are
+    given: then the frame is only projected."""
     if not cols:
         return df
-    nulls = null_counts(df, cols)
-    cols = [c for c in cols if nulls[c] > 0]
-    if not cols:
-        return df
-    med = column_medians(df, cols)
+    if medians is None:
+        nulls = null_counts(df, cols)
+        cols = [c for c in cols if nulls[c] > 0]
+        if not cols:
+            return df
+        med = column_medians(df, cols)
+    else:
+        med = {c: lookup_ci(medians, c) for c in cols}
     fills = {}
     for c in cols:
         m = med.get(c)
@@ -162,7 +166,7 @@ def load_imputation(df: DataFrame, spec: PanelSpec = PanelSpec(), parts: int | N
     return median_fill(locf_fill(df, spec, cols, parts), cols)
 
 
-def lab_default_fill(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+def lab_default_fill(df: DataFrame, spec: PanelSpec = PanelSpec(), medians: dict | None = None) -> DataFrame:
     """Each lab's NULLs -> its constant default; labs without a default
     (BaseExcess, PaCO2, Bilirubin_total) -> their median."""
     labs = present(df.columns, spec.labs)
@@ -170,13 +174,15 @@ def lab_default_fill(df: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     with_const = {c: F.coalesce(F.col(c), X.dlit(v)) for c, v in const.items() if v is not None}
     out = df.withColumns(with_const) if with_const else df
     rest = [c for c, v in const.items() if v is None]
-    return median_fill(out, rest, zero_when_all_null=False)
+    return median_fill(out, rest, zero_when_all_null=False, medians=medians)
 
 
-def advanced_imputation(df: DataFrame, spec: PanelSpec = PanelSpec(), parts: int | None = None) -> DataFrame:
+def advanced_imputation(df: DataFrame, spec: PanelSpec = PanelSpec(), parts: int | None = None,
+                        medians: dict | None = None) -> DataFrame:
     """C8 (with C6, C7): delta/trend NULL -> 0; vitals per-entity ffill, bfill,
     then median; labs -> defaults (C5); rolling max/min NULL -> the (imputed)
-    base column; anything still NULL among the features -> 0."""
+    base column; anything still NULL among the features -> 0. ``medians``:
+    fitted ones instead of those of ``df``."""
     feats = feature_columns(df, spec)
     dt = [c for c in feats if "_delta" in c or "_trend" in c]
     out = df.fillna(0.0, subset=dt) if dt else df
@@ -188,8 +194,8 @@ def advanced_imputation(df: DataFrame, spec: PanelSpec = PanelSpec(), parts: int
         need = [c for c in vitals if nulls[c] > 0]
         if need:
             out = locf_fill(out, spec, need, parts)
-            out = median_fill(out, need, zero_when_all_null=False)
-    out = lab_default_fill(out, spec)
+            out = median_fill(out, need, zero_when_all_null=False, medians=medians)
+    out = lab_default_fill(out, spec, medians)
     fills = {}
     for c in feats:
         if "_rolling_max" in c or "_rolling_min" in c:

@@ -109,24 +109,24 @@ def window_features(df: DataFrame, spec: PanelSpec = PanelSpec(), features: str
     return raw + created_columns(present(df.columns, spec.measures))
 
 
-def prepare_windows(df: DataFrame, spec: PanelSpec = PanelSpec(), n: int = C.TIME_WINDOW,
-                    stats: DataFrame | None = None, features: str = "all",
-                    impute_on_load: bool = True, score_after_clip: bool = False,
-                    include_padding: bool = False, parts: int | None = None):
-    """Load imputation -> clip -> temporal features -> advanced
-    imputation -> missing features as 0 -> last n rows per entity with zero
-    padding -> label of the last row -> robust scaling (fitted here when
-    ``stats`` is None, i.e. on training data).
-
-    Returns (long window table, labels table, stats table, feature list).
-    """
+def panel_features(df: DataFrame, spec: PanelSpec = PanelSpec(), impute_on_load: bool = True,
+                   score_after_clip: bool = False, parts: int | None = None, medians: dict | None = None) -> DataFrame:
+    """The row-level part of D14: load imputation -> clip -> temporal features
+    -> advanced imputation. ``medians``: fitted ones instead of those of ``df``."""
     # one placed table serves every ordered scan; fitted statistics (medians,
     # scaler) read their input once more, so that input is written once to the
     # shared checkpoint folder instead of running the scans again
     base = place(df, spec.entity, spec.order_cols(), parts)
     if impute_on_load:
         ms = present(df.columns, spec.measures)
-        base = median_fill(locf_fill(base, spec, ms).checkpoint(), ms)
+        filled = locf_fill(base, spec, ms)
+        base = median_fill(filled.checkpoint() if medians is None else filled, ms, medians=medians)
+    return derived_features(base, spec, score_after_clip, medians)
+
+
+def derived_features(base: DataFrame, spec: PanelSpec = PanelSpec(), score_after_clip: bool = False,
+                     medians: dict | None = None) -> DataFrame:
+    """Clip -> temporal features -> advanced imputation of a placed panel."""
     if score_after_clip:
         feats_df = temporal_features(clip_outliers(base, spec.ranges), spec)
     else:
@@ -134,11 +134,28 @@ def prepare_windows(df: DataFrame, spec: PanelSpec = PanelSpec(), n: int = C.TIM
         # (see SURVEY Q4), then clip and derive the ordered features
         feats_df = temporal_features(clip_outliers(deterioration_score(base), spec.ranges),
                                      spec, score=False)
-    imputed = advanced_imputation(feats_df, spec)
+    return advanced_imputation(feats_df, spec, medians=medians)
+
+
+def cut_windows(rows: DataFrame, spec: PanelSpec, features: list, n: int = C.TIME_WINDOW) -> DataFrame:
+    """Absent features as 0 (B6), the last ``n`` rows per entity, zero padding; unscaled."""
+    return pad_front(last_rows(add_missing_columns(rows, features), spec, n), spec, features, n)
+
+
+def prepare_windows(df: DataFrame, spec: PanelSpec = PanelSpec(), n: int = C.TIME_WINDOW,
+                    stats: DataFrame | None = None, features: str = "all",
+                    impute_on_load: bool = True, score_after_clip: bool = False,
+                    include_padding: bool = False, parts: int | None = None):
+    """Load imputation -> clip -> temporal features -> advanced
+    imputation -> missing features as 0 -> last n rows per entity with zero
+    padding -> label of the last row -> robust scaling (fitted here when
+    ``stats`` is None, i.e. on training data).
+
+    Returns (long window table, labels table, stats table, feature list).
+    """
+    imputed = panel_features(df, spec, impute_on_load, score_after_clip, parts)
     flist = window_features(df, spec, features)
-    imputed = add_missing_columns(imputed, flist)
-    last = last_rows(imputed, spec, n)
-    long = pad_front(last, spec, flist, n).checkpoint()
+    long = cut_windows(imputed, spec, flist, n).checkpoint()
     labels = last_label(df, spec)
     if stats is None:
         stats = robust_scaler_fit(long, flist, include_padding)

@@ -221,14 +221,14 @@ def derived_names(ms=None) -> list:
     return out + ["vital_deterioration_score"]
 
 
-def prepare_windows_ctes(src: str = "panel", impute_on_load: bool = True) -> list:
-    """CTE chain of the D14 pipeline (after the panel view)."""
+def prepare_windows_ctes(src: str = "panel", impute_on_load: bool = True, medians: str = "filled", absent: tuple = ()) -> list:
+    """CTE chain of the D14 pipeline (after the panel view); measures in ``absent`` stay NULL."""
     ms = MEASURES
     vit = [m for m in ms if m in ("hr", "temp", "resp")]
     labs = [m for m in ms if m not in vit]
     lab_def = {k.lower(): v for k, v in C.LAB_DEFAULTS.items()}
     feats = ms + derived_names()
-    med = ", ".join(f"coalesce({m}, (SELECT median({m}) FROM filled)) AS {m}" for m in ms)
+    med = ", ".join(f"coalesce({m}, (SELECT median({m}) FROM {medians})) AS {m}" if m not in absent else m for m in ms)
     clipped = ", ".join(f"{clip_sql(m)} AS {m}" if m in {k.lower() for k in C.NORMAL_RANGES} else m
                         for m in ms)
     # advanced imputation
@@ -285,6 +285,15 @@ def window_sqls() -> dict:
         f"round((win.{c} - stats.c_{c}) / stats.s_{c}, 6) AS value FROM win, stats"
         for i, c in enumerate(feats))
     q["window_vectors"] = with_views(unp, "panel", extra=prepare_windows_ctes())
+    part = "CAST('0x' || substr(md5('42_' || patient_id), 1, 8) AS BIGINT) % 10000"
+    q["fitted_panel"] = with_views(
+        "SELECT w.patient_id, w.step, w.is_pad, " + ", ".join(
+            f"round(({'0e0' if c.startswith('wbc') else 'w.' + c} - stats.c_{c}) / stats.s_{c}, 9) AS {c}" for c in feats)
+        + " FROM test_win w, stats", "panel_short",
+        extra=[f"train AS (SELECT * FROM panel_short WHERE {part} >= 2000)",
+               f"test AS (SELECT * REPLACE (CAST(NULL AS DOUBLE) AS wbc) FROM panel_short WHERE {part} < 2000)",
+               *prepare_windows_ctes("train"), "train_filled AS (SELECT * FROM filled)",
+               "test_win AS (WITH " + ",\n".join(prepare_windows_ctes("test", medians="train_filled", absent=("wbc",))[:-1]) + " SELECT * FROM win)"])
     return q
 
 

@@ -6,6 +6,8 @@ reshape them) and runs the library's operators over all rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from pyspark.sql import Window
 
 from ..functions import exprs as X
 from ..operators import clean, meta, metrics, monitor, quality, reports, scoring, splits, temporal, windows
+from ..operators.panel_model import PanelPreprocessor, PanelPreprocessorModel
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
 
 PANEL = PanelSpec()  # patient_id / hour / event_id / label
@@ -103,6 +107,16 @@ def q_window_vectors(spark: SparkSession, sf: str) -> DataFrame:
         "patient_id", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))
 
 
+def q_fitted_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """A8 + B6 + D13: the panel transformer fitted on the training patients, saved,
+    loaded, and applied to the test patients, whose panel lacks one measure."""
+    p = fx.panel_short(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark)}/panel-model-{uuid.uuid4().hex}"
+    PanelPreprocessor(PANEL, output="long").fit(splits.take_split(p, "patient_id", "train")).write().save(path)
+    out = PanelPreprocessorModel.load(path).transform(splits.take_split(p, "patient_id", "test").drop("wbc"))
+    return out.withColumns({c: F.round(c, 9) for c in out.columns[3:]})
+
+
 # ------------------------------------------------------------ meta (G)
 
 MODELS = fx.MODEL_COLS
@@ -614,6 +628,7 @@ def QUERIES() -> dict:
         "last_window": q_last_window,
         "last_label": q_last_label,
         "prepare_windows": q_prepare_windows,
+        "fitted_panel": q_fitted_panel,
         "robust_scaler_fit": q_robust_scaler_fit,
         "window_vectors": q_window_vectors,
         "panel_clip": q_panel_clip,
