@@ -4,8 +4,8 @@ The reference's six base models map onto Spark ML estimators (distributed
 training); its boosted-tree libraries, forest, elastic-net logistic
 regression and 1-D convolution net become GBTClassifier, RandomForest,
 LogisticRegression and a MultilayerPerceptron over the flattened window.
-Parameters that Spark ML lacks (leaf L1/L2 terms, leaf-count limits,
-early-stopping patience) are noted, not emulated.
+Early stopping with patience is ``fit_with_patience``. Parameters that Spark ML
+lacks (leaf L1/L2 terms, leaf-count limits) are noted, not emulated.
 """
 
 from __future__ import annotations
@@ -24,6 +24,18 @@ from ..session import ensure_checkpoint_dir
 from .ordering import join_small
 
 
+class InverseStrengthRegression(LogisticRegression):
+    """logistic regression with inverse strength C: regParam is 1 / (C * sum of the weights)."""
+
+    strength = 0.1
+
+    def fit(self, dataset: DataFrame, params=None):
+        w = self.getOrDefault("weightCol") if self.isDefined("weightCol") else None
+        total = dataset.select(F.sum(w) if w in dataset.columns else F.count(F.lit(1))).first()[0]
+        plain = self.copy({self.regParam: 1.0 / (self.strength * float(total or 1.0))})
+        return LogisticRegression.fit(plain, dataset, params)
+
+
 def base_learners(n_features: int, scale: float = 1.0, seed: int = C.RANDOM_STATE) -> dict:
     """Name -> unfitted estimator. ``scale`` shrinks iteration and
     tree counts (tests use small values; 1.0 is the reference's size)."""
@@ -45,9 +57,9 @@ def base_learners(n_features: int, scale: float = 1.0, seed: int = C.RANDOM_STAT
         # random forest
         "RandomForest": RandomForestClassifier(numTrees=it(300), maxDepth=15, minInstancesPerNode=5,
                                                featureSubsetStrategy="sqrt", **common),
-        # elastic-net logistic regression; sklearn's C = 0.1 is regParam = 1/(C*n), a
-        # data-dependent value, so a fixed regParam is used here
-        "LogisticRegression": LogisticRegression(maxIter=it(2000), elasticNetParam=0.5, regParam=0.01,
+        # elastic-net logistic regression; C = 0.1 is regParam = 1/(C*n), set from the
+        # training rows by ``fit_predict``
+        "LogisticRegression": InverseStrengthRegression(maxIter=it(2000), elasticNetParam=0.5,
                                                  standardization=False, featuresCol="features",
                                                  labelCol="label", weightCol="weight"),
         # neural model over the flattened window (re-aim of the 1-D conv net)
@@ -83,22 +95,101 @@ def fit_predict(est, train: DataFrame, test: DataFrame):
     return model, positive_probability(model.transform(test))
 
 
-def out_of_fold(df: DataFrame, estimators: dict, row_id: str = "row_id", fold: str = "fold",
-                k: int | None = None) -> DataFrame:
-    """E5: for every model and fold, fit on the other folds and score the
-    held-out one; returns long (row_id, fold, model, label, p). Class weights
-    come from the training folds alone. The input feeds models x folds fits,
-    so it is written once to the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
+def patience_stop(losses: list, patience: int) -> tuple:
+    """(best, stop) rounds, from 1, of a sequence of validation losses: the first smallest
+    loss, and the round at which ``patience`` rounds have passed without a smaller one
+    (None if the sequence ends before)."""
+    best = 0
+    for i, x in enumerate(losses):
+        if x < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, i + 1
+    return best + 1, None
+
+
+def fit_with_patience(est: GBTClassifier, train: DataFrame, valid: DataFrame, patience: int = C.XGBOOST_PARAMS["early_stopping_rounds"]) -> tuple:
+    """boosted trees cut at their best validation round, as (model, history), where history
+    has ``rounds`` (those looked at), ``best``, ``limit`` and the validation ``losses``.
+
+    Rounds are grown in doubling steps until ``patience`` rounds in a row bring no smaller loss
+    on ``valid`` or the learner's own limit is reached, so a learner that stops early never pays
+    for all its rounds. A boosted model's first trees do not depend on how many follow (each
+    round's seed is its number), so the cut model is a fit of ``best`` rounds."""
+    limit = est.getMaxIter()
+    rounds = min(limit, 2 * patience)
+    while True:
+        model = est.copy({est.maxIter: rounds}).fit(train)
+        losses = [float(x) for x in model.evaluateEachIteration(valid)]
+        best, stop = patience_stop(losses, patience)
+        if stop is not None or rounds == limit:
+            break
+        rounds = min(limit, 2 * rounds)
+    seen = stop or rounds
+    if best < rounds:
+        model = est.copy({est.maxIter: best}).fit(train)
+    return model, {"rounds": seen, "best": best, "limit": limit, "losses": losses[:seen]}
+
+
+def run_bounded(jobs: list, parallel: int) -> list:
+    """Results of ``jobs`` (functions without arguments) in order, at most ``parallel`` at once.
+    Every thread has the session's local properties, and a scheduler pool of its own where the
+    session shares its cores fairly (``spark.scheduler.mode`` FAIR)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    sc = spark.sparkContext
+
+    def named(k, job):
+        def run():
+            sc.setLocalProperty("spark.scheduler.pool", f"fit-{k % parallel}")
+            try:
+                return job()
+            finally:
+                sc.setLocalProperty("spark.scheduler.pool", None)
+        return inheritable_thread_target(spark)(run)
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        futures = [pool.submit(named(k, j)) for k, j in enumerate(jobs)]
+        return [f.result() for f in futures]
+
+
+def cross_fit(df: DataFrame, estimators: dict, row_id: str = "row_id", fold: str = "fold", k: int | None = None,
+              patience: int | None = None, parallel: int = 1) -> tuple:
+    """E5: for every model and fold, fit on the other folds and score the held-out one. Returns
+    the long table (row_id, fold, model, label, p) and the rounds table (model, fold, rounds,
+    best, max_rounds, best_loss) of the learners that stop early: with ``patience``, the boosted
+    trees named XGBoost, whose validation rows are the held-out fold.
+
+    Class weights come from the training folds alone. The input feeds models x folds fits, so it
+    is written once to the shared checkpoint folder; up to ``parallel`` fits run at once."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     df = df.drop("weight").checkpoint()
     folds = k if k is not None else df.select(F.max(fold)).first()[0] + 1
-    parts = []
-    for i in range(folds):
-        train = class_weights(df.filter(F.col(fold) != i))
-        for name, est in estimators.items():
-            _, scored = fit_predict(est, train, df.filter(F.col(fold) == i))
-            parts.append(scored.select(row_id, fold, F.lit(name).alias("model"), "label", "p"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+
+    def job(name: str, est, i: int):
+        def run():
+            train, test = class_weights(df.filter(F.col(fold) != i)), df.filter(F.col(fold) == i)
+            if patience and isinstance(est, GBTClassifier) and name.startswith("XGBoost"):
+                model, history = fit_with_patience(est, train, test.withColumn("weight", F.lit(1.0)), patience)
+                scored = positive_probability(model.transform(test))
+            else:
+                _, scored = fit_predict(est, train, test)
+                history = None
+            return scored.select(row_id, fold, F.lit(name).alias("model"), "label", "p"), (name, i, history)
+        return run
+    done = run_bounded([job(n, e, i) for i in range(folds) for n, e in estimators.items()], parallel)
+    rounds = [(n, i, h["rounds"], h["best"], h["limit"], h["losses"][h["best"] - 1]) for _, (n, i, h) in done if h]
+    table = spark.createDataFrame(rounds, "model string, fold int, rounds int, best int, max_rounds int, best_loss double")
+    return reduce(lambda a, b: a.unionByName(b), [part for part, _ in done]), table
+
+
+def out_of_fold(df: DataFrame, estimators: dict, row_id: str = "row_id", fold: str = "fold",
+                k: int | None = None, parallel: int = 1) -> DataFrame:
+    """E5: the predictions of ``cross_fit`` without early stopping."""
+    return cross_fit(df, estimators, row_id, fold, k, parallel=parallel)[0]
 
 
 def feature_importances(model, names: list | None = None) -> DataFrame:
@@ -111,9 +202,8 @@ def feature_importances(model, names: list | None = None) -> DataFrame:
 
 
 def with_early_stopping(est: GBTClassifier, indicator: str = "is_validation", tol: float = 0.01) -> GBTClassifier:
-    """boosted trees stop when the loss on rows flagged ``indicator``
-    stops improving by ``tol`` (Spark's validation-indicator form; the
-    reference's fixed 50-round patience has no equivalent)."""
+    """F9 in Spark's own form: boosted trees stop when the loss on rows flagged ``indicator``
+    stops improving by ``tol`` (``fit_with_patience`` has the reference's patience)."""
     return est.copy({est.validationIndicatorCol: indicator, est.validationTol: tol})
 
 

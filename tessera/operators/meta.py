@@ -9,12 +9,14 @@ window).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from .ordering import ordinal_rank, quantiles_by, unpivot, prefix_sums
+from .ordering import BROADCAST_ROWS, ordinal_rank, prefix_sums, quantile_splits, quantiles_by, unpivot
 
 STAT_COLS = ["ensemble_mean", "ensemble_std", "ensemble_min", "ensemble_max",
              "ensemble_range", "ensemble_median"]
@@ -181,3 +183,58 @@ def training_shares(counts: DataFrame, scores: DataFrame) -> DataFrame:
     below = prefix_sums(both, ["model"], "p", ["n"], descending=False)
     return below.join(asked, ["model", "p"]).join(totals, "model") \
         .select("model", "p", ((F.col("n_cum") - F.col("n")) / F.col("rows")).alias("share"))
+
+
+def rank_index(counts: DataFrame, models: list, per_bucket: int = 256) -> dict:
+    """G15 for rows that come one by one: the training distribution as a stored sorted table of
+    intervals. Returns ``splits`` ({model: bucket bounds}) and ``table`` (model, bucket, low, high,
+    share): a score in (low, high] of its bucket has ``share`` of the training rows below it.
+
+    Buckets hold about ``per_bucket`` distinct scores each, so a lookup compares a score with that
+    many rows, however large the training set; there are at most 10,000 bounds per model."""
+    spark = counts.sparkSession
+    total = {r["model"]: (r["d"], r["n"]) for r in counts.groupBy("model").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).collect()}
+    splits, parts = {}, []
+    for m in models:
+        one = counts.where(F.col("model") == m).select("p", "n")
+        distinct, rows = total.get(m, (0, 0))
+        splits[m] = quantile_splits(one, "p", max(1, min(10_000, distinct // per_bucket)))
+        cum = prefix_sums(one.withColumn("model", F.lit(m)), ["model"], "p", ["n"], descending=False)
+        known = in_bucket(cum, "p", splits[m]).select("bucket", "p", F.col("n_cum").cast("double").alias("upto"),
+                                                      (F.col("n_cum") - F.col("n")).cast("double").alias("below"))
+        w = Window.partitionBy("bucket").orderBy("p")
+        inner = known.select("bucket", F.coalesce(F.lag("p").over(w), F.lit(-math.inf)).alias("low"), F.col("p").alias("high"), F.col("below"))
+        ends = known.groupBy("bucket").agg(F.max("p").alias("p"), F.max("upto").alias("upto"))
+        every = spark.range(len(splits[m]) - 1).select(F.col("id").cast("int").alias("bucket"))
+        # behind a bucket's last score; a bucket without scores has what lies below it
+        tail = every.join(ends, "bucket", "left").select(
+            "bucket", F.coalesce("p", F.lit(-math.inf)).alias("low"), F.lit(math.inf).alias("high"),
+            F.coalesce(F.max("upto").over(Window.orderBy("bucket")), F.lit(0.0)).alias("below"))  # one row per bucket
+        parts.append(inner.unionByName(tail).select(F.lit(m).alias("model"), "bucket", "low", "high",
+                                                    (F.col("below") / F.lit(float(rows or 1))).alias("share")))
+    table = parts[0]
+    for x in parts[1:]:
+        table = table.unionByName(x)
+    return {"splits": splits, "table": table, "rows": sum(d for d, _ in total.values()) + sum(len(x) for x in splits.values())}
+
+
+def in_bucket(df: DataFrame, col: str, splits: list, out: str = "bucket") -> DataFrame:
+    """``out``: the number of the half-open interval of ``splits`` that holds ``col``."""
+    from pyspark.ml.feature import Bucketizer
+    b = Bucketizer(splits=splits, inputCol=col, outputCol=f"__{out}", handleInvalid="keep").transform(df)
+    return b.withColumn(out, F.col(f"__{out}").cast("int")).drop(f"__{out}")
+
+
+def lookup_ranks(df: DataFrame, index: dict, models: list) -> DataFrame:
+    """``{model}_rank`` for every ``{model}_pred``, from ``rank_index``. A row stays one row and
+    meets exactly one interval per model, so this runs on batches and on streams alike (no state,
+    no pivot). The index is broadcast only if it is small."""
+    few = index["rows"] <= BROADCAST_ROWS
+    for m in models:
+        one = index["table"].where(F.col("model") == m).select(
+            F.col("bucket").alias("__b"), F.col("low").alias("__low"), F.col("high").alias("__high"), F.col("share").alias(f"{m}_rank"))
+        p = F.col(f"{m}_pred")
+        df = in_bucket(df, f"{m}_pred", index["splits"][m], "__bucket").join(
+            F.broadcast(one) if few else one, (F.col("__bucket") == F.col("__b")) & (p > F.col("__low")) & (p <= F.col("__high"))) \
+            .drop("__bucket", "__b", "__low", "__high")
+    return df

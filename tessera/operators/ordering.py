@@ -103,7 +103,7 @@ def quantile_splits(df: DataFrame, col: str, nbuckets: int) -> list:
     probs = [i / nbuckets for i in range(1, nbuckets)]
     qs = df.approxQuantile(col, probs, 0.25 / nbuckets) if probs else []  # finer than the buckets, however many
     inner = sorted({float(q) for q in qs if q is not None and not math.isnan(q)})
-    return [-math.inf] + inner + [math.inf]
+    return [-math.inf] + (inner or [0.0]) + [math.inf]
 
 
 def prefix_sums(df: DataFrame, group_cols: list, score: str, sum_cols: list,

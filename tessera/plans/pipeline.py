@@ -56,15 +56,18 @@ def train_stacked(df: DataFrame, features: str = "features", label: str = "label
         model, _ = L.fit_predict(est, folded, folded.limit(0))
         fitted[name] = model
     # stored training distribution of each base model, for scoring-time ranks: rows per distinct score
-    ecdf = M.score_counts(oof)
+    ecdf = M.score_counts(oof).checkpoint()
+    ranks = M.rank_index(ecdf, names)
+    ranks["table"] = ranks["table"].checkpoint()
     return {"models": fitted, "meta_model": meta_model, "names": names, "oof": oof, "fold_auc": fold_auc,
-            "cv": cv, "meta": meta, "train_auc": train_auc, "ecdf": ecdf, "n_features": n_features}
+            "cv": cv, "meta": meta, "train_auc": train_auc, "ecdf": ecdf, "ranks": ranks, "n_features": n_features}
 
 
 def score_stacked(fitted: dict, df: DataFrame, features: str = "features", row_id: str = "row_id") -> DataFrame:
     """F12 + K1: base predictions as columns in one pass, meta-features with
     ranks taken from the training distribution (so a row's score does not
-    depend on its batch), meta-model probability, risk level, confidence."""
+    depend on its batch), meta-model probability, risk level, confidence. Every step is a row-wise
+    transform or a lookup, so ``df`` may be a stream."""
     names = fitted["names"]
     out = df
     for name in names:
@@ -73,11 +76,7 @@ def score_stacked(fitted: dict, df: DataFrame, features: str = "features", row_i
     preds = [f"{n}_pred" for n in names]
     stats = M.row_stats(preds)
     cols = {k: v for k, v in stats.items()}
-    scores = out.select(row_id, F.explode(F.array(*[
-        F.struct(F.lit(n).alias("model"), F.col(f"{n}_pred").alias("p")) for n in names])).alias("s")).select(row_id, "s.model", "s.p")
-    shares = M.training_shares(fitted["ecdf"], scores)
-    ranks = scores.join(shares, ["model", "p"]).groupBy(row_id).pivot("model", names).agg(F.first("share"))
-    out = out.join(ranks.select(row_id, *[F.col(n).alias(f"{n}_rank") for n in names]), row_id)
+    out = M.lookup_ranks(out, fitted["ranks"], names)
     for i in range(len(names)):
         for j in range(i + 1, len(names)):
             a, c = names[i], names[j]

@@ -7,6 +7,7 @@ parquet/CSV/JSON folders that Spark writes in parallel, one file per task.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,25 +97,37 @@ def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
 
 def save_models(fitted: dict, path: str) -> None:
     """All that scoring needs: every fitted model (as a one-stage ML pipeline, which knows its
-    own class), the training distribution of scores, the model names in order and the feature count."""
+    own class), the fitted panel transformer if there is one, the training distribution of scores
+    with its sorted lookup table, the model names in order and the feature count."""
     from pyspark.ml import PipelineModel
     for name, m in fitted["models"].items():
         PipelineModel([m]).write().overwrite().save(f"{path}/base/{name}")
     PipelineModel([fitted["meta_model"]]).write().overwrite().save(f"{path}/meta")
-    counts = fitted["ecdf"]
+    if fitted.get("panel") is not None:
+        fitted["panel"].write().overwrite().save(f"{path}/panel")
+    counts, ranks = fitted["ecdf"], fitted["ranks"]
     counts.write.mode("overwrite").parquet(f"{path}/score_counts")
-    counts.sparkSession.createDataFrame([(fitted["names"], fitted["n_features"])], "names array<string>, n_features int") \
+    ranks["table"].write.mode("overwrite").parquet(f"{path}/ranks")
+    counts.sparkSession.createDataFrame(
+        [(fitted["names"], fitted["n_features"], [[float(x) for x in ranks["splits"][n]] for n in fitted["names"]], ranks["rows"],
+          fitted.get("panel") is not None)],
+        "names array<string>, n_features int, splits array<array<double>>, rank_rows long, has_panel boolean") \
         .write.mode("overwrite").parquet(f"{path}/info")
 
 
 def load_models(spark: SparkSession, path: str) -> dict:
     """Load what ``save_models`` wrote; a part that cannot be read raises."""
     from pyspark.ml import PipelineModel
+
+    from ..operators.panel_model import PanelPreprocessorModel
     info = spark.read.parquet(f"{path}/info").first()
     names = list(info["names"])
     return {"models": {n: PipelineModel.load(f"{path}/base/{n}").stages[0] for n in names},
             "meta_model": PipelineModel.load(f"{path}/meta").stages[0], "names": names, "n_features": info["n_features"],
-            "ecdf": spark.read.parquet(f"{path}/score_counts")}
+            "panel": PanelPreprocessorModel.load(f"{path}/panel") if info["has_panel"] else None,
+            "ecdf": spark.read.parquet(f"{path}/score_counts"),
+            "ranks": {"splits": dict(zip(names, info["splits"], strict=True)), "table": spark.read.parquet(f"{path}/ranks"),
+                      "rows": info["rank_rows"]}}
 
 
 def model_info(spark: SparkSession, path: str) -> DataFrame:
@@ -126,6 +139,47 @@ def model_info(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "position int, name string, kind string, n_features int, n_base_models int")
 
 
+MANIFEST_SCHEMA = "name string, version long, path string, parts array<string>, published_at timestamp"
+
+
+def publish_models(fitted: dict, root: str, name: str = "ensemble") -> int:
+    """A8 + A9: save an ensemble as the next version below ``root`` and return its number.
+
+    Parts go to a folder of their own first; the manifest row, whose file appears at once when
+    its write commits, comes last. A reader therefore sees the version before or the whole new
+    one, never a part of it, and a publisher that dies in between leaves only an unnamed folder."""
+    spark = fitted["ecdf"].sparkSession
+    version = max((r["version"] for r in published_versions(spark, root, name).select("version").collect()), default=0) + 1
+    path = f"{root.rstrip('/')}/{name}-{version}-{uuid.uuid4().hex}"
+    save_models(fitted, path)
+    parts = [f"base/{n}" for n in fitted["names"]] + ["meta", "score_counts", "ranks", "info"] + ["panel"] * (fitted.get("panel") is not None)
+    row = [(name, version, path, parts, _dt.datetime.now())]
+    spark.createDataFrame(row, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/manifest")
+    return version
+
+
+def published_versions(spark: SparkSession, root: str, name: str = "ensemble") -> DataFrame:
+    """The manifest rows of ``name``; none before the first publication."""
+    from pyspark.errors import AnalysisException
+    try:
+        rows = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root.rstrip('/')}/manifest")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition()):
+            raise
+        rows = spark.createDataFrame([], MANIFEST_SCHEMA)
+    return rows.where(F.col("name") == name)
+
+
+def load_published(spark: SparkSession, root: str, name: str = "ensemble", version: int | None = None) -> dict:
+    """The given or the latest published version; of two publishers that took one number, the later."""
+    rows = published_versions(spark, root, name)
+    rows = rows if version is None else rows.where(F.col("version") == version)
+    last = rows.orderBy(F.desc("version"), F.desc("published_at")).first()
+    if last is None:
+        raise FileNotFoundError(f"no published version of {name} below {root}")
+    return {**load_models(spark, last["path"]), "version": last["version"]}
+
+
 REGISTRY_SCHEMA = "model_name string, version string, path string, metrics map<string,double>, registered_at timestamp"
 
 

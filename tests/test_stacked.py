@@ -41,3 +41,19 @@ def test_correlations_are_pairwise(spark):
     got = {(r.a, r.b): r.r for r in reports.correlation_matrix(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
     assert abs(got["a", "b"] - np.corrcoef([r[0] for r in rows], [r[1] for r in rows])[0, 1]) < 1e-12
     assert abs(got["c", "a"] - np.corrcoef([3.0, 1.0, 2.0], [2.0, 4.0, 5.0])[0, 1]) < 1e-12
+
+
+def test_lookup_equals_the_merged_shares(spark):
+    import random
+    rng = random.Random(2)
+    train = [(m, round(rng.random(), 2) if m == "a" else rng.random()) for m in "ab" for _ in range(900)] + [("a", 0.5)] * 700
+    index_of = meta.score_counts(spark.createDataFrame(train, "model string, p double"))
+    index = meta.rank_index(index_of, ["a", "b", "none"], per_bucket=20)
+    assert len(index["splits"]["b"]) > 20
+    asked = [(i, rng.choice([0.0, 1.0, 0.5, round(rng.random(), 2), rng.random(), train[rng.randrange(900)][1]]),
+              rng.choice([rng.random(), train[900 + rng.randrange(900)][1]]), 0.3) for i in range(400)]
+    got = meta.lookup_ranks(spark.createDataFrame(asked, "id int, a_pred double, b_pred double, none_pred double"), index, ["a", "b", "none"]).collect()
+    assert len(got) == 400
+    below = lambda m, q: sum(p < q for k, p in train if k == m) / sum(k == m for k, _ in train)
+    for r in got:
+        assert (r.a_rank, r.b_rank, r.none_rank) == (below("a", r.a_pred), below("b", r.b_pred), 0.0)
