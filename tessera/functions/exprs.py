@@ -132,3 +132,18 @@ def row_mad(cols, mean: Column | None = None) -> Column:
 
 def round6(c) -> Column:
     return F.round(col(c), 6)
+
+
+EULER_GAMMA = 0.5772156649015329
+
+
+def digamma(c) -> F.Column:
+    """Digamma of whole numbers from 1: harmonic numbers up to 8, an asymptotic series (error below 1e-11) beyond."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    out = F.log(x) - 1 / (2 * x)
+    for power, term in ((2, -1 / 12), (4, 1 / 120), (6, -1 / 252), (8, 1 / 240), (10, -1 / 132)):
+        out = out + dlit(term) / F.pow(x, F.lit(power))
+    small = F.lit(None).cast("double")
+    for n in range(8, 0, -1):
+        small = F.when(x == n, dlit(sum(1 / j for j in range(1, n)) - EULER_GAMMA)).otherwise(small)
+    return F.when(x <= 8, small).otherwise(out)

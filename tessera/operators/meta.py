@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from .ordering import BROADCAST_ROWS, ordinal_rank, prefix_sums, quantile_splits, quantiles_by, unpivot
+from .ordering import BROADCAST_ROWS, join_small, ordinal_rank, prefix_sums, quantile_splits, quantiles_by, unpivot, with_neighbours
 
 STAT_COLS = ["ensemble_mean", "ensemble_std", "ensemble_min", "ensemble_max",
              "ensemble_range", "ensemble_median"]
@@ -167,6 +167,45 @@ def mutual_information(df: DataFrame, features: list, label: str = "y", bins: in
     return t.groupBy("feature").agg(F.sum(term).alias("mi"))
 
 
+def mutual_information_knn(df: DataFrame, features: list, label: str = "y", k: int = 3) -> DataFrame:
+    """G18, neighbour estimator: mutual information in nats of each feature with a class label,
+    psi(N) + mean psi(k) - mean psi(class size) - mean psi(m), not below 0. ``m`` counts the rows
+    (of any class, itself included) nearer to a row than its k-th neighbour of the same class; with
+    k or more equal rows of its class, the rows equal to it. Classes of one row and NULLs are left out.
+
+    One-dimensional neighbours are neighbours in sorted order: equal values are counted first, the
+    distinct ones range-partitioned with halos (``with_neighbours``); counts within a radius are
+    differences of running sums at its two ends (``prefix_sums``). No group is one task's."""
+    long = unpivot(df.select(label, *[F.col(c).cast("double").alias(c) for c in features]), [label], features, "feature", "x") \
+        .where(F.col("x").isNotNull() & F.col(label).isNotNull()).withColumnRenamed(label, "y")
+    values = long.groupBy("feature", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+    sizes = values.groupBy("feature", "y").agg(F.sum("n").alias("size")).where("size > 1")
+    values = join_small(values, sizes, ["feature", "y"]).withColumn("k", F.least(F.lit(k).cast("long"), F.col("size") - 1))
+    near = with_neighbours(values, ["feature", "y"], "x", ["x", "n"], k)
+    gaps = F.array_sort(F.concat(
+        F.array(F.struct(F.lit(0.0).alias("d"), (F.col("n") - 1).alias("n"))),
+        F.transform("before", lambda r: F.struct((F.col("x") - r["x"]).alias("d"), r["n"].alias("n"))),
+        F.transform("after", lambda r: F.struct((r["x"] - F.col("x")).alias("d"), r["n"].alias("n")))))
+    # walk outwards until k rows have been passed: the last distance taken is the k-th neighbour's
+    walk = F.aggregate(gaps, F.struct(F.col("k").alias("need"), F.lit(0.0).alias("r")), lambda s, g: F.when(
+        s["need"] > 0, F.struct((s["need"] - g["n"]).alias("need"), g["d"].alias("r"))).otherwise(s), lambda s: s["r"])
+    rows = near.select("feature", "x", "n", "size", "k", walk.alias("r")).select(
+        "*", F.when(F.col("r") > 0, F.col("x") - F.col("r")).otherwise(F.col("x")).alias("low"),
+        F.when(F.col("r") > 0, F.col("x") + F.col("r")).otherwise(F.col("x")).alias("high")).checkpoint()
+    ends = rows.select("feature", F.explode(F.array("low", "high")).alias("x"), F.lit(0).cast("long").alias("n"))
+    sums = prefix_sums(rows.select("feature", "x", "n").unionByName(ends).groupBy("feature", "x").agg(F.sum("n").alias("n")),
+                       ["feature"], "x", ["n"], descending=False).checkpoint()
+    at = lambda end: sums.select("feature", F.col("x").alias(end), (F.col("n_cum") - F.col("n")).alias(f"{end}_below"),
+                                 F.col("n_cum").alias(f"{end}_upto"))
+    m = F.when(F.col("r") > 0, F.col("high_below") - F.col("low_upto")).otherwise(F.col("high_upto") - F.col("low_below"))
+    found = rows.join(at("low"), ["feature", "low"]).join(at("high"), ["feature", "high"])
+    n, mean = F.sum("n"), lambda c: F.sum(F.col("n") * X.digamma(c)) / F.sum("n")
+    out = found.withColumn("m", m).groupBy("feature").agg(
+        F.greatest(F.lit(0.0), X.digamma(n) + mean("k") - mean("size") - mean("m")).alias("mi"))
+    names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return names.join(out, "feature", "left").select("feature", F.coalesce("mi", F.lit(0.0)).alias("mi"))
+
+
 def score_counts(long: DataFrame) -> DataFrame:
     """Training distribution of scores: ``(model, p, n)``, one row per distinct score (ties are one row)."""
     return long.groupBy("model", "p").agg(F.count(F.lit(1)).alias("n"))

@@ -195,3 +195,31 @@ def exact_quantiles(df: DataFrame, cols: list, probs: list, nparts: int | None =
     wide = quantiles_by(long, ["feature"], "value", probs, nparts=nparts)
     names = spark.createDataFrame([(c,) for c in cols], "feature string")
     return names.join(wide, "feature", "left")
+
+
+def with_neighbours(df: DataFrame, group_cols: list, order: str, cols: list, k: int) -> DataFrame:
+    """Add ``before`` and ``after``: the up to ``k`` rows of the group before and after each row in
+    ``order`` (unique in a group), as arrays of structs of ``cols``, in ascending order.
+
+    Rows are range-partitioned by (group, order), so a large group lies in many partitions. The
+    first and last k rows of a group in every partition, at most 2k each, are ordered by
+    themselves; what precedes a partition's first and follows its last row there is its halo, and
+    windows run inside the partitions over rows and halo."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(_nparts(df, None), *group_cols, order).withColumn("__pid", F.spark_partition_id()).checkpoint()
+    here = Window.partitionBy("__pid", *group_cols)
+    row = F.struct(*ranged.columns)
+    edges = ranged.withColumns({"__up": F.row_number().over(here.orderBy(order)), "__down": F.row_number().over(here.orderBy(F.desc(order)))}) \
+        .where((F.col("__up") <= k) | (F.col("__down") <= k))
+    over = Window.partitionBy(*group_cols).orderBy(order)
+    edges = edges.select("__pid", "__up", "__down", F.collect_list(row).over(over.rowsBetween(-k, -1)).alias("__prev"),
+                         F.collect_list(row).over(over.rowsBetween(1, k)).alias("__next"))
+    halo = edges.where("__up = 1").select("__pid", F.explode("__prev").alias("r")) \
+        .unionByName(edges.where("__down = 1").select("__pid", F.explode("__next").alias("r")))
+    halo = halo.select("__pid", *[F.col("r")[c].alias(c) for c in df.columns], F.lit(True).alias("__halo"))
+    both = ranged.withColumn("__halo", F.lit(False)).unionByName(halo)
+    near = here.orderBy(order)
+    return both.withColumns({"before": F.collect_list(F.struct(*cols)).over(near.rowsBetween(-k, -1)),
+                             "after": F.collect_list(F.struct(*cols)).over(near.rowsBetween(1, k))}) \
+        .where("not __halo").drop("__halo", "__pid")

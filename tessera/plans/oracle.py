@@ -189,6 +189,33 @@ def SQL() -> dict:
         " (SELECT DISTINCT model, p FROM pl WHERE row_id % 2 = 1) a JOIN"
         " (SELECT model, p, count(*) AS k FROM pl WHERE row_id % 2 = 0 GROUP BY ALL) b ON a.model = b.model"
         " GROUP BY a.model, a.p) c ON s.model = c.model AND s.p = c.p WHERE s.row_id % 2 = 1", "preds", extra=[f"pl AS ({long})"])
+    q["stream_ranks"] = q["scoring_ranks"]
+    q["stream_closed_windows"] = with_views(
+        "SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, count(*) AS total_predictions, "
+        "round(avg(prediction), 6) AS prediction_mean, round(stddev_pop(prediction), 6) AS prediction_std, "
+        "min(prediction) AS prediction_min, max(prediction) AS prediction_max, round(avg(confidence), 6) AS confidence_mean, "
+        "max(processing_time_ms) AS max_processing_time_ms, "
+        "CAST(sum(CASE WHEN prediction >= 0.8e0 THEN 1 ELSE 0 END) AS BIGINT) AS risk_high FROM ("
+        " SELECT *, date_trunc('day', ts) - to_days(CAST(k AS INT)) AS window_start FROM predlog, range(0, 7) t(k)), "
+        " (SELECT max(ts) - INTERVAL 1 DAY AS last_mark, max(ts) FILTER (id % 10 <> 0) - INTERVAL 1 DAY AS first_mark FROM predlog) "
+        "WHERE (id % 10 <> 0 OR window_start + INTERVAL 7 DAY > first_mark) AND window_start + INTERVAL 7 DAY <= last_mark "
+        "GROUP BY window_start", "predlog")
+    q["stream_recent_log"] = f"SELECT * FROM ({q['recent_log']}) ORDER BY ts DESC, id DESC LIMIT 250"
+    gaps = ", ".join([f"p - lag(p, {j}) OVER w" for j in (1, 2, 3)] + [f"lead(p, {j}) OVER w - p" for j in (1, 2, 3)])
+    q["mutual_information_knn"] = with_views(
+        "SELECT feature, round(greatest(0e0, psi + rest), 9) AS mi FROM ("
+        "SELECT feature, count(*) AS n, avg(a.psi) - avg(b.psi) - avg(c.psi) AS rest FROM ("
+        " SELECT r.model AS feature, least(3, size - 1) AS k, size, m FROM r JOIN cnt ON r.model = cnt.model AND r.p = cnt.p AND r.r = cnt.r) q"
+        " JOIN psi a ON a.i = q.k JOIN psi b ON b.i = q.size JOIN psi c ON c.i = q.m GROUP BY feature) JOIN psi ON i = n", "preds",
+        extra=[f"pl AS ({long.replace('SELECT row_id', 'SELECT row_id, y')})",
+               f"d AS (SELECT model, y, p, count(*) OVER (PARTITION BY model, y) AS size, [{gaps}] AS gaps FROM pl"
+               " WINDOW w AS (PARTITION BY model, y ORDER BY p, row_id))",
+               "r AS (SELECT model, y, p, size, list_sort(list_filter(gaps, lambda g: g IS NOT NULL))[least(3, size - 1)] AS r FROM d WHERE size > 1)",
+               "v AS (SELECT model, p, count(*) AS n FROM r GROUP BY ALL)",
+               "cnt AS (SELECT u.model, u.p, u.r, sum(v.n) AS m FROM (SELECT DISTINCT model, p, r FROM r) u JOIN v ON u.model = v.model"
+               " AND v.p >= u.p - u.r AND v.p <= u.p + u.r AND ((u.r > 0 AND v.p > u.p - u.r AND v.p < u.p + u.r) OR v.p = u.p) GROUP BY ALL)",
+               "psi AS (SELECT i, sum(CASE WHEN i > 1 THEN 1e0 / (i - 1) ELSE 0e0 END) OVER (ORDER BY i) - 0.5772156649015329e0 AS psi"
+               " FROM range(1, (SELECT count(*) + 1 FROM preds)) t(i))"])
     q["recent_log_short"] = f"SELECT * FROM ({q['recent_log']}) ORDER BY ts DESC, id DESC LIMIT 250"
     q["oof_coverage"] = (
         "SELECT vec_id AS row_id, model, CAST(1 AS BIGINT) AS n, CAST((row_number() OVER (PARTITION BY model, label <> 0 ORDER BY vec_id) - 1) % 3"

@@ -19,6 +19,7 @@ from ..operators import clean, meta, metrics, monitor, quality, reports, scoring
 from ..operators.panel_model import PanelPreprocessor, PanelPreprocessorModel
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
+from ..streaming import monitor_stream
 
 PANEL = PanelSpec()  # patient_id / hour / event_id / label
 
@@ -558,8 +559,65 @@ def q_top_importances(spark, sf):
     return reports.top_importances(learners.feature_importances(m), 20)
 
 
+def q_mutual_information_knn(spark, sf):
+    """Neighbour estimate (k = 3) of each base prediction's mutual information with the label."""
+    return meta.mutual_information_knn(fx.preds(spark, sf), MODELS).select("feature", F.round("mi", 9).alias("mi"))
+
+
+# ------------------------------------------------------------ streams (L)
+
+def _arrivals(spark, name):
+    """A new folder for a stream's files, and one for what is written from it."""
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    return f"{root}/in", f"{root}/out", f"{root}/checkpoint"
+
+
+def q_stream_ranks(spark, sf):
+    """L4 + G15: the rows of ``scoring_ranks`` arrive as a stream of files; each is looked up in the
+    stored sorted table and written by the idempotent sink."""
+    src, out, ck = _arrivals(spark, "ranks")
+    wide = fx.preds(spark, sf).select("row_id", *[F.col(m).alias(f"{m}_pred") for m in MODELS])
+    wide.where("row_id % 2 = 1").repartition(3, "row_id").write.parquet(src)
+    train = wide.where("row_id % 2 = 0").toDF("row_id", *MODELS).unpivot(["row_id"], MODELS, "model", "p")
+    index = meta.rank_index(meta.score_counts(train), MODELS)
+    index["table"] = index["table"].checkpoint()
+    ranked = lambda d: meta.lookup_ranks(d, index, MODELS).select("row_id", *[F.col(f"{m}_rank").alias(m) for m in MODELS])
+    stream = spark.readStream.schema(wide.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    monitor_stream.start_scoring(stream, ranked, out, ck).awaitTermination()
+    done = monitor_stream.read_batches(spark, out, "row_id long, " + ", ".join(f"{m} double" for m in MODELS))
+    return done.unpivot(["row_id"], MODELS, "model", "share")
+
+
+def q_stream_closed_windows(spark, sf):
+    """Nine tenths of the log arrive, then the rest, part of which is late: closed windows, each written once."""
+    src, out, ck = _arrivals(spark, "windows")
+    log = fx.predlog(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in ("id % 10 <> 0", "id % 10 = 0"):
+        log.where(part).write.mode("append").parquet(src)
+        summary = monitor_stream.summary_stream(spark.readStream.schema(log.schema).parquet(src))
+        monitor_stream.start_closed_windows(summary, out, ck).awaitTermination()
+    w = monitor_stream.read_batches(spark, out, monitor.window_summary(log).schema)
+    w = w.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+    return _r6(w, ["prediction_mean", "prediction_std", "confidence_mean"])
+
+
+def q_stream_recent_log(spark, sf):
+    """L3 + A7: the log arrives in three batches; state keeps the newest 250 of every shard."""
+    src, out, ck = _arrivals(spark, "log")
+    log = fx.predlog(spark, sf)
+    for k in range(3):
+        log.where(F.pmod("id", F.lit(3)) == k).write.mode("append").parquet(src)
+        entries = monitor_stream.running_log(spark.readStream.schema(log.schema).parquet(src), cap=250)
+        monitor_stream.start_running_log(entries, out, ck).awaitTermination()
+    return monitor_stream.read_running_log(spark, out, 250).withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(*log.columns)
+
+
 def QUERIES() -> dict:
     return {
+        "mutual_information_knn": q_mutual_information_knn,
+        "stream_ranks": q_stream_ranks,
+        "stream_closed_windows": q_stream_closed_windows,
+        "stream_recent_log": q_stream_recent_log,
         "class_weights": q_class_weights,
         "scoring_ranks": q_scoring_ranks,
         "oof_predictions": q_oof_predictions,
