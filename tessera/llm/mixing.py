@@ -1,7 +1,7 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 Each source's budget of words is met without sorting: a document's hash (md5
-of its id) gives a fixed place in [0, 2^36). Words are summed per source and
+of its id and text) gives a fixed place in [0, 2^36). Words are summed per source and
 hash bucket; the bucket in which the running sum crosses the budget is the
 boundary; only its rows are summed again by finer buckets (three rounds of
 4,096). A document is then taken if its hash lies below its source's
@@ -18,8 +18,8 @@ read one stored slim table (source, hash, size), not the texts. No Python
 touches the rows.
 
 Cases: NULL text has size 0; a NULL source is a source of its own, last in
-order; NULL ids hash like the empty string; repeated rows have equal hashes
-and are taken together; sources without words get target 0; equal hashes in
+order; rows that share an id, or have none, are told apart by their text;
+repeated rows have equal hashes and are taken together; sources without words get target 0; equal hashes in
 the last boundary bucket are taken together if that comes nearer to the
 budget. An empty table gives no rows. Only doc_id, text, source
 and the columns named in ``carry`` are read.
@@ -37,9 +37,10 @@ LEVELS = 3
 SALT = 32
 
 
-def _hash36(doc_id: Column) -> Column:
-    """First nine hex digits of md5(doc_id) as a number."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 9)
+def _hash36(doc_id: Column, text: Column) -> Column:
+    """First nine hex digits of md5("doc_id:text") as a number: rows that share an id, or have none, are told apart by their text."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    digits = F.substring(F.md5(both.cast("binary")), 1, 9)
     return F.conv(digits, 16, 10).cast("long")
 
 
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, lim
         carry: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words, repeats counted), repeats, and the columns of ``carry``."""
     carry = carry or []
-    h = _hash36(F.col("doc_id"))
+    h = _hash36(F.col("doc_id"), F.col("text"))
     slim = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h"), *carry), "mix-slim")
     keyed = slim.withColumn("salt", (F.col("h") % SALT).cast("int"))
     source_sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))

@@ -50,7 +50,7 @@ goal{level + 1} AS (
     return rf"""
 WITH slim AS (
   SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 9) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 9) AS BIGINT) AS h
   FROM {docs}),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM slim GROUP BY source),
 named AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM sizes),

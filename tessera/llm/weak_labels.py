@@ -10,13 +10,14 @@ Scale: texts are read twice, once for votes and training features, once for
 scores. Vote patterns are counted with pre-aggregation; their number is
 bounded by 3^labellers whatever the input, in practice some hundreds, and
 only they reach the driver. The scorer is fitted by Spark ML on a bounded
-sample of ``train_rows`` documents (those with the smallest hash of their id,
-so reruns agree); votes, accuracies, posteriors and scores cover all.
+sample of about ``train_rows`` rows (those with the smallest hashes of id and
+text, so reruns agree; equal rows are one with their number as weight); votes,
+accuracies, posteriors and scores cover all.
 
 Cases: NULL or empty text: the length labeller votes bad, the scorer sees its
-intercept. Repeated rows and NULL ids are scored each. If posteriors leave
-only one class, every document gets the class's posterior as its score. An
-empty table gives no rows. Only doc_id and text are read.
+intercept. Repeated rows and NULL ids are scored each. If the sample is empty
+or its posteriors leave only one class, there is nothing to fit and every
+document's score is its posterior. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
@@ -126,7 +128,7 @@ class Features:
         for w in words:
             k = known.get(w)
             if k is None:
-                shape = _RUN.sub(r"\1", w[:64].translate(_TO_SHAPE))
+                shape = _RUN.sub(r"\1", w.translate(_TO_SHAPE))
                 k = known[w] = zlib.crc32(shape.encode()) % BUCKETS
             count[k] = count.get(k, 0) + 1
             if w == last:
@@ -155,12 +157,10 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = 0
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = [votes(t.as_py()) for t in b.column(1)]
-            crc = [zlib.crc32(str(i).encode()) for i in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.list_(pa.int32())), pa.array(crc, pa.int64())],
-                                             ["doc_id", "votes", "h"])
+            v = [votes(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.list_(pa.int32()))], ["votes"])
 
-    voted = stored(docs.select("doc_id", "text").mapInArrow(vote, f"doc_id {id_type}, votes array<int>, h long"), "weak-votes")
+    voted = docs.select("text").mapInArrow(vote, "votes array<int>")
     patterns = {tuple(r["votes"]): r["n"] for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not patterns:
         return spark.createDataFrame([], f"doc_id {id_type}, n_votes int, posterior double, score double, kept boolean")
@@ -168,17 +168,19 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = 0
     post = posterior(np.array(list(patterns), int), prob, good)[0]
     of_pattern = {p: float(x) for p, x in zip(patterns, post, strict=True)}
 
-    # the training sample: the smallest hashes of ids, found from hash counts, not by sorting
-    n_docs = sum(patterns.values())
-    below = min(1.0, train_rows / n_docs) * 2 ** 32
-    weights, bias = _fit(docs, below, train_rows, of_pattern)
+    # the training sample: hashes below the share that leaves about train_rows
+    fitted = _fit(docs, min(1.0, train_rows / sum(patterns.values())), of_pattern)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for b in batches:
             v = [votes(t.as_py()) for t in b.column(1)]
-            x = [bias + sum(weights[k] * c for k, c in features(t.as_py()).items()) for t in b.column(1)]
-            s = 1 / (1 + np.exp(-np.clip(np.array(x, float), -500, 500)))
+            if fitted is None:
+                s = np.array([of_pattern[r] for r in v], float)
+            else:
+                weights, bias = fitted
+                x = [bias + sum(weights[k] * c for k, c in features(t.as_py()).items()) for t in b.column(1)]
+                s = 1 / (1 + np.exp(-np.clip(np.array(x, float), -500, 500)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([sum(y != 0 for y in r) for r in v], pa.int32()),
                  pa.array([of_pattern[r] for r in v], pa.float64()), pa.array(s), pa.array(s >= threshold)],
@@ -187,31 +189,40 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = 0
         score, f"doc_id {id_type}, n_votes int, posterior double, score double, kept boolean")
 
 
-def _fit(docs: DataFrame, below: float, train_rows: int, of_pattern: dict) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on posterior labels."""
+def row_hash(doc_id, text: str | None) -> int:
+    """Unsigned 64-bit hash of a row."""
+    return xxhash.xxh64_intdigest((text or "").encode(), zlib.crc32(str(doc_id).encode()))
+
+
+def _fit(docs: DataFrame, share: float, of_pattern: dict) -> tuple[np.ndarray, float] | None:
+    """Weights and intercept of a logistic regression on posterior labels of the rows with the smallest ``share`` of
+    hashes; None if they leave less than two classes."""
+    below = int(share * 2 ** 64)
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for b in batches:
-            out: dict[str, list] = {"indices": [], "values": [], "posterior": []}
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if zlib.crc32(str(i).encode()) < below:
-                    f = features(t.as_py())
+            out: dict[str, list] = {"h": [], "indices": [], "values": [], "posterior": []}
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = row_hash(i, t)
+                if h < below:
+                    f = features(t)
+                    out["h"].append(h - (1 << 63))
                     out["indices"].append(sorted(f))
                     out["values"].append([f[k] for k in sorted(f)])
-                    out["posterior"].append(of_pattern[votes(t.as_py())])
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64())),
-                                                             ("posterior", pa.float64())]))
-    rows = docs.select("doc_id", "text").mapInArrow(sample, "indices array<int>, values array<double>, posterior double")
-    rows = stored(rows.limit(2 * train_rows), "weak-sample")  # ids with equal hashes cannot enlarge the sample without bound
+                    out["posterior"].append(of_pattern[votes(t)])
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("h", pa.int64()), ("indices", pa.list_(pa.int32())),
+                                                             ("values", pa.list_(pa.float64())), ("posterior", pa.float64())]))
+    rows = docs.select("doc_id", "text").mapInArrow(sample, "h long, indices array<int>, values array<double>, posterior double")
+    rows = stored(rows.groupBy("h").agg(*[F.first(c).alias(c) for c in ("indices", "values", "posterior")],
+                                        F.count(F.lit(1)).cast("double").alias("n")), "weak-sample")
     from pyspark.ml.linalg import VectorUDT
     vec = F.udf(_sparse, VectorUDT())
-    both = rows.select(vec("indices", "values").alias("features"), "posterior")
-    soft = both.select("features", F.lit(1.0).alias("label"), F.col("posterior").alias("weight")).unionByName(
-        both.select("features", F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight"))).where("weight > 1e-6")
-    totals = {r["label"]: r["w"] for r in soft.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
-    if len(totals) < 2:
-        share = 1.0 if 1.0 in totals else 0.0
-        return np.zeros(BUCKETS), 20.0 * (2 * share - 1)
+    both = rows.select(vec("indices", "values").alias("features"), "posterior", "n")
+    soft = both.select("features", F.lit(1.0).alias("label"), (F.col("n") * F.col("posterior")).alias("weight")).unionByName(
+        both.select("features", F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("posterior"))).alias("weight"))).where("weight > 1e-6")
+    if soft.select("label").distinct().count() < 2:
+        return None
     model = LogisticRegression(maxIter=50, regParam=1e-5, standardization=False, weightCol="weight").fit(soft)
     return model.coefficients.toArray(), float(model.intercept)
 
