@@ -24,8 +24,9 @@ texts are single words to the same code.
 Scale: texts up to ``chunk`` characters are one chunk, encoded in the scan of
 the input with no shuffle. Of longer ones only matrices move (some dozen
 entries per chunk), ``fan`` to a task, in log(chunks) rounds, then the chunks'
-own text; ids are gathered per text, whose row they are part of. Word
-encodings are remembered per task, in a bounded table.
+own text; ids are gathered per text, whose row they are part of. A word is
+encoded when a worker meets it first; its ids are kept as bytes in a bounded
+table, in which all words of a text are looked up and joined at once.
 
 Cases: NULL and empty text have no ids and decode to ''. Characters without a
 piece become byte pieces. The model's own normaliser comes first; what it
@@ -37,8 +38,10 @@ NULL ids of documents are encoded each. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,13 +51,33 @@ from .common import partitions, stored
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, FAN = 1 << 15, 64
 SPACE = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 State = tuple[int, int]  # characters past the cut, id of the piece (or -1 - code point for bytes)
 Matrix = dict[State, dict[State, int]]
 START: State = (0, -(1 << 30))
 
 
+class Known(dict):
+    """Ids of words, as int32 bytes; ``make`` encodes those not met before. Two generations of at most ``limit`` words: what
+    was not asked for since the last change goes."""
+
+    def __init__(self, make, limit: int = REMEMBERED) -> None:
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            out = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[word] = out
+        return out
+
+
 class Pieces:
     """The model's vocabulary, compatibility of neighbours, and paths."""
 
@@ -85,8 +108,8 @@ class Pieces:
             if len(t) > 2:
                 found.setdefault(t[:3], {1, 2}).add(len(t))
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}  # of pieces with these first characters
-        self.words: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.words = Known(self.encoded)
+        self.alone: dict[str, bytes] = {}  # by character, so bounded
         self.pairs: dict[tuple[int, int], bool] = {}
         self.made: dict[str, tuple[str, str] | None] = {}
         self.sound: dict[str, bool] = {}
@@ -184,26 +207,22 @@ class Pieces:
         self.over = over
         return best
 
-    def word(self, word: str) -> list[int]:
-        """Ids of a whole word, remembered; two characters that stand side by side in no piece part it."""
-        out = self.words.get(word) or self.older.get(word)
-        if out is None:
-            at, out, pairs = 0, [], self.neighbours
-            for i in range(1, len(word)):
-                if word[i - 1:i + 1] not in pairs:
-                    out += self.remembered(word[at:i])
-                    at = i
-            out = out + self.remembered(word[at:]) if at else self.fragment(word)
-        if len(word) <= 64:
-            self.words[word] = out
-            if len(self.words) > REMEMBERED:  # words not seen since the last time go
-                self.older, self.words = self.words, {}
-        return out
-
-    def remembered(self, part: str) -> list[int]:
-        found = self.words.get(part) or self.older.get(part) or self.fragment(part)
-        if len(part) <= 64:
-            self.words[part] = found
+    def encoded(self, word: str) -> bytes:
+        """Ids of a whole word; two characters that stand side by side in no piece part it, and its parts are words too."""
+        at, out, pairs, known = 0, [], self.neighbours, self.words
+        for i in range(1, len(word)):
+            if word[i - 1:i + 1] not in pairs:
+                out.append(known[word[at:i]] if i - at > 1 else self.single(word[at]))
+                at = i
+        if not at:
+            return _bytes(self.fragment(word))
+        out.append(known[word[at:]] if len(word) - at > 1 else self.single(word[at]))
+        return b"".join(out)
+
+    def single(self, character: str) -> bytes:
+        found = self.alone.get(character)
+        if found is None:
+            found = self.alone[character] = _bytes(self.fragment(character))
         return found
 
     def fragment(self, word: str) -> list[int]:
@@ -268,7 +287,7 @@ class Pieces:
         middle = 0
         if head is not None:
             words = self.split(text[head:right])
-            middle = sum(len(self.word(w)) for w in words[:-1])
+            middle = sum(map(len, map(self.words.__getitem__, words[:-1]))) // 4
             tail = self._from(text, START, right - len(words[-1]), right)
         out: Matrix = {}
         for e in entries:
@@ -288,22 +307,19 @@ class Pieces:
         self.path(text, state[1], at, stop)
         return {(end - stop, piece): -step[2] for (end, piece), step in self.over.items()}
 
-    def trace(self, text: str, left: int, right: int, entry: State, leave: State | None) -> list[int]:
-        """Ids of the pieces that start in text[left:right] after ``entry`` and end with ``leave`` (None: at the text's end)."""
+    def trace(self, text: str, left: int, right: int, entry: State, leave: State | None) -> bytes:
+        """Ids, as int32 bytes, of the pieces that start in text[left:right] after ``entry`` and end with ``leave`` (None: at the text's end)."""
         at = left + entry[0]
         if at >= right:
-            return []
-        ids: list[int] = []
+            return b""
         head = 0 if entry == START and at == 0 else self.border(text, at, right)
         if head is None:
-            return self._trace(text, entry[1], at, right, leave)
-        ids = self._trace(text, entry[1], at, head, None)
+            return _bytes(self._trace(text, entry[1], at, right, leave))
+        ids = _bytes(self._trace(text, entry[1], at, head, None))
         words = self.split(text[head:right])
         last = words if leave is None else words[:-1]
-        known = self.words.get
-        for w in last:
-            ids += known(w) or self.word(w)
-        return ids if leave is None else ids + self._trace(text, START[1], right - len(words[-1]), right, leave)
+        ids += b"".join(map(self.words.__getitem__, last))
+        return ids if leave is None else ids + _bytes(self._trace(text, START[1], right - len(words[-1]), right, leave))
 
     def _trace(self, text: str, first: int, at: int, stop: int, leave: State | None) -> list[int]:
         if at == stop:
@@ -319,16 +335,29 @@ class Pieces:
             place = step[0]
         return self.bytes_of(found[::-1])
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text that is one chunk."""
+    def packed(self, text: str) -> bytes:
+        """Ids, as int32 bytes, of a text that is one chunk."""
         t = self.normal(text)
-        return self.trace(t, 0, len(t), START, None) if t else []
+        return self.trace(t, 0, len(t), START, None) if t else b""
+
+    def encode(self, text: str) -> list[int]:
+        return memoryview(self.packed(text)).cast("i").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the pieces, space marks as spaces; the space that stands before every text is still there."""
         return b"".join(map(self.raw.__getitem__, ids))
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def _lists(rows: list[bytes]) -> pa.ListArray:
+    """Rows of int32 bytes as a list column."""
+    offsets = np.cumsum([0, *(len(r) // 4 for r in rows)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
 _loaded: dict[str, Pieces] = {}
 
 
@@ -447,11 +476,11 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, fa
         p = pieces(model)
         for b in batches:
             texts = [t.as_py() or "" for t in b.column(1)]
-            ids = [p.encode(t) for t in texts]
+            ids = [p.packed(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
+                [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), _lists(ids),
                  pa.array([1 if t else 0 for t in texts], pa.int32()),
-                 pa.array([decode(p, x) == t for x, t in zip(ids, texts, strict=True)])],
+                 pa.array([decode(p, memoryview(x).cast("i")) == t for x, t in zip(ids, texts, strict=True)])],
                 ["doc_id", "n_tokens", "ids", "n_chunks", "round_trip"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +508,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, fa
                 ids = p.trace(r["part"], r["low"], r["high"], (r["e"], r["p"]), None if final else (r["f"], r["q"]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["doc_id"]], b.column(0).type), pa.array([r["key"]]), pa.array([r["digest"]]), pa.array([r["no"]], pa.int64()),
-                     pa.array([r["first"]], pa.int64()), pa.array([ids], pa.list_(pa.int32()))],
+                     pa.array([r["first"]], pa.int64()), _lists([ids])],
                     ["doc_id", "key", "digest", "no", "first", "ids"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
