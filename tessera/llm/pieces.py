@@ -51,7 +51,9 @@ from .common import partitions, stored
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, FAN = 1 << 15, 64
 SPACE = "▁"
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+
+WORDS = re.compile(rb" +[^ ]*|[^ ]+")
 
 State = tuple[int, int]  # characters past the cut, id of the piece (or -1 - code point for bytes)
 Matrix = dict[State, dict[State, int]]
@@ -59,17 +61,17 @@ START: State = (0, -(1 << 30))
 
 
 class Known(dict):
-    """Ids of words, as int32 bytes; ``make`` encodes those not met before. Two generations of at most ``limit`` words: what
-    was not asked for since the last change goes."""
+    """Ids, as int32 bytes, of words in UTF-8 with spaces for space marks (the smallest form of a key); ``make`` encodes
+    those not met before. Two generations of at most ``limit`` words: what was not asked for since the last change goes."""
 
     def __init__(self, make, limit: int = REMEMBERED) -> None:
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         out = self.older.get(word)
         if out is None:
-            out = self.make(word)
+            out = self.make(word.decode().replace(" ", SPACE))
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.older = dict(self)
@@ -209,14 +211,13 @@ class Pieces:
 
     def encoded(self, word: str) -> bytes:
         """Ids of a whole word; two characters that stand side by side in no piece part it, and its parts are words too."""
-        at, out, pairs, known = 0, [], self.neighbours, self.words
-        for i in range(1, len(word)):
-            if word[i - 1:i + 1] not in pairs:
-                out.append(known[word[at:i]] if i - at > 1 else self.single(word[at]))
+        at, out, pairs, n = 0, [], self.neighbours, len(word)
+        for i in range(1, n + 1):
+            if i == n or word[i - 1:i + 1] not in pairs:
+                if not at and i == n:
+                    return _bytes(self.fragment(word))
+                out.append(self.words[_key(word[at:i])] if i - at > 1 else self.single(word[at]))
                 at = i
-        if not at:
-            return _bytes(self.fragment(word))
-        out.append(known[word[at:]] if len(word) - at > 1 else self.single(word[at]))
         return b"".join(out)
 
     def single(self, character: str) -> bytes:
@@ -287,7 +288,7 @@ class Pieces:
         middle = 0
         if head is not None:
             words = self.split(text[head:right])
-            middle = sum(map(len, map(self.words.__getitem__, words[:-1]))) // 4
+            middle = sum(map(len, map(self.words.__getitem__, map(_key, words[:-1])))) // 4
             tail = self._from(text, START, right - len(words[-1]), right)
         out: Matrix = {}
         for e in entries:
@@ -318,7 +319,7 @@ class Pieces:
         ids = _bytes(self._trace(text, entry[1], at, head, None))
         words = self.split(text[head:right])
         last = words if leave is None else words[:-1]
-        ids += b"".join(map(self.words.__getitem__, last))
+        ids += b"".join(map(self.words.__getitem__, map(_key, last)))
         return ids if leave is None else ids + _bytes(self._trace(text, START[1], right - len(words[-1]), right, leave))
 
     def _trace(self, text: str, first: int, at: int, stop: int, leave: State | None) -> list[int]:
@@ -337,6 +338,8 @@ class Pieces:
 
     def packed(self, text: str) -> bytes:
         """Ids, as int32 bytes, of a text that is one chunk."""
+        if self.marks_only and self.splits:
+            return b"".join(map(self.words.__getitem__, WORDS.findall(_key(" " + text)))) if text else b""
         t = self.normal(text)
         return self.trace(t, 0, len(t), START, None) if t else b""
 
@@ -348,6 +351,10 @@ class Pieces:
         return b"".join(map(self.raw.__getitem__, ids))
 
 
+def _key(word: str) -> bytes:
+    return word.replace(SPACE, " ").encode()
+
+
 def _bytes(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
