@@ -40,6 +40,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def salted_join(rows: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """``rows`` joined with at most one row of ``one`` per ``key``; the rows of a frequent key are dealt to ``salts`` tasks by ``spread``."""
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, root)``, one per
     node that has an edge to another node; ``root`` is the same node for all
