@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import components, partitions, salted_join, stored
 
-TABLES, ROTATIONS, PROBES = 8, 2, 2
+TABLES, ROTATIONS, PROBES = 8, 3, 3
 SALTS = 8
 
 
