@@ -4,8 +4,8 @@ The reference's six base models map onto Spark ML estimators (distributed
 training); its boosted-tree libraries, forest, elastic-net logistic
 regression and 1-D convolution net become GBTClassifier, RandomForest,
 LogisticRegression and a MultilayerPerceptron over the flattened window.
-Early stopping with patience is ``fit_with_patience``. Parameters that Spark ML
-lacks (leaf L1/L2 terms, leaf-count limits) are noted, not emulated.
+Early stopping with patience is ``fit_with_patience``. Leaf L1/L2 terms and leaf-count
+limits, which Spark ML lacks, are in ``leafwise``; ``penalised_learners`` has them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import exprs as X
 from ..session import ensure_checkpoint_dir
+from .leafwise import LeafwiseBooster
 from .ordering import join_small
 
 
@@ -68,6 +69,24 @@ def base_learners(n_features: int, scale: float = 1.0, seed: int = C.RANDOM_STAT
     }
 
 
+def penalised_learners(scale: float = 1.0, seed: int = C.RANDOM_STATE) -> dict:
+    """F1 and F3 with all their terms: leaf penalties, the weight of positive rows (F1), leaf count
+    (F3). They may replace the entries of the same name in ``base_learners``."""
+    def it(n):
+        return max(int(n * scale), 2)
+    p = C.XGBOOST_PARAMS
+    common = dict(featuresCol="features", labelCol="label", seed=seed)
+    return {
+        # a full tree of its depth, split wherever a gain is left
+        "XGBoost_Advanced": LeafwiseBooster(maxIter=it(p["n_estimators"]), stepSize=p["learning_rate"], maxDepth=p["max_depth"],
+                                            numLeaves=1 << p["max_depth"], maxBins=256, subsamplingRate=p["subsample"],
+                                            featureRate=p["colsample_bytree"], leafL1=p["reg_alpha"], leafL2=p["reg_lambda"], minRows=1,
+                                            minCurvature=1.0, positiveWeight=float(p["scale_pos_weight"]), **common),
+        "LightGBM": LeafwiseBooster(maxIter=it(400), stepSize=0.02, maxDepth=7, numLeaves=50, maxBins=255, subsamplingRate=0.8,
+                                    featureRate=0.8, leafL1=0.1, leafL2=2.0, weightCol="weight", **common),
+    }
+
+
 def meta_learner(scale: float = 1.0, seed: int = C.RANDOM_STATE) -> GBTClassifier:
     """the stacking model (200 trees, rate 0.05, depth 4), without class weights."""
     return GBTClassifier(maxIter=max(int(200 * scale), 2), stepSize=0.05, maxDepth=4,

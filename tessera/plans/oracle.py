@@ -124,6 +124,10 @@ def locf_select(src: str = "panel", cols: list | None = None) -> str:
     return f"SELECT patient_id, hour, event_id, label, {rest} FROM {src}"
 
 
+# L1 term 0.1 and L2 term 2 on a leaf's sums of gradient and curvature
+_SCORE = "power(greatest(abs({0}) - 0.1e0, 0e0), 2) / ({1} + 2e0)"
+
+
 def SQL() -> dict:
     q = {}
     q["panel_clip"] = with_views(
@@ -190,6 +194,22 @@ def SQL() -> dict:
         " (SELECT model, p, count(*) AS k FROM pl WHERE row_id % 2 = 0 GROUP BY ALL) b ON a.model = b.model"
         " GROUP BY a.model, a.p) c ON s.model = c.model AND s.p = c.p WHERE s.row_id % 2 = 1", "preds", extra=[f"pl AS ({long})"])
     q["stream_ranks"] = q["scoring_ranks"]
+    cuts = lambda src: (
+        "SELECT node, feature, bin, nl, n, h, sc(gl, hl) + sc(g - gl, h - hl) - sc(g, h) AS gain FROM (SELECT node, feature, bin,"
+        " sum(g) OVER run AS gl, sum(h) OVER run AS hl, CAST(sum(n) OVER run AS BIGINT) AS nl, sum(g) OVER part AS g, sum(h) OVER part AS h,"
+        f" CAST(sum(n) OVER part AS BIGINT) AS n FROM (SELECT node, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {src} GROUP BY ALL)"
+        " WINDOW part AS (PARTITION BY node, feature), run AS (PARTITION BY node, feature ORDER BY bin))"
+        " WHERE least(nl, n - nl) >= 20 AND least(hl, h - hl) >= 1e-3").replace("sc(gl, hl)", _SCORE.format("gl", "hl")).replace(
+        "sc(g - gl, h - hl)", _SCORE.format("(g - gl)", "(h - hl)")).replace("sc(g, h)", _SCORE.format("g", "h"))
+    q["split_gains"] = with_views(
+        "SELECT node, feature, bin, nl, n, round(gain, 6) AS gain FROM (SELECT * FROM root UNION ALL SELECT * FROM kids)", "preds", extra=[
+            "binned AS (SELECT p.row_id, f.feature, CAST(len(list_filter([0.1e0, 0.2e0, 0.3e0, 0.4e0, 0.5e0, 0.6e0, 0.7e0, 0.8e0, 0.9e0],"
+            " lambda e: e <= [m0, m1, m2, m3, m4, m5][f.feature + 1])) AS INT) AS bin, s.share - y AS g, s.share * (1 - s.share) AS h"
+            " FROM preds p, (SELECT avg(y) AS share FROM preds) s, (SELECT CAST(unnest(range(6)) AS INT) AS feature) f)",
+            f"root AS ({cuts('(SELECT 0 AS node, * FROM binned)')})",
+            "best AS (SELECT feature, bin FROM root ORDER BY round(gain / h, 10) DESC, feature, bin LIMIT 1)",
+            "sides AS (SELECT row_id, CASE WHEN b.bin <= best.bin THEN 1 ELSE 2 END AS node FROM binned b JOIN best USING (feature))",
+            f"kids AS ({cuts('(SELECT node, b.* FROM binned b JOIN sides USING (row_id))')})"])
     q["sketch_quantiles"] = (
         "SELECT feature, prob, n, true AS rank_ok, true AS distinct_ok FROM (VALUES (0.05e0), (0.25e0), (0.5e0), (0.75e0), (0.95e0)) p(prob),"
         " (SELECT 'value' AS feature, count(value) AS n FROM events UNION ALL SELECT 'event_id', count(event_id) FROM events)")

@@ -564,6 +564,23 @@ def q_mutual_information_knn(spark, sf):
     return meta.mutual_information_knn(fx.preds(spark, sf), MODELS).select("feature", F.round("mi", 9).alias("mi"))
 
 
+def q_split_gains(spark, sf):
+    """F1 + F3: histograms of gradients and curvatures over the base predictions' tenths, at the share of positive
+    rows: the gain of every cut of the root, and of the two nodes that its best cut makes."""
+    from ..operators import leafwise
+    tenths = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+    d = fx.preds(spark, sf).select(leafwise.binned(F.array(*MODELS), [tenths] * len(MODELS)).alias("bins"), "y")
+    share = d.agg(F.avg("y")).first()[0] or 0.0
+    d = d.select("bins", (F.lit(share) - F.col("y")).alias("g"), F.lit(share * (1 - share)).alias("h"))
+    terms = dict(alpha=0.1, lam=2.0, min_rows=20, min_weight=1e-3)
+    gains = leafwise.split_gains(leafwise.histograms(d.withColumn("node", F.lit(0))), **terms)
+    best = leafwise.best_splits(gains).first()
+    if best is not None:
+        side = F.when(F.get("bins", F.lit(best.feature)) <= best.bin, 1).otherwise(2)
+        gains = gains.unionByName(leafwise.split_gains(leafwise.histograms(d.withColumn("node", side)), **terms))
+    return gains.select("node", "feature", F.col("bin").cast("int").alias("bin"), "nl", "n", F.round("gain", 6).alias("gain"))
+
+
 def q_sketch_quantiles(spark, sf):
     """C3 + D12 + J4: sketches stored per day of ``events`` and merged without rereading it: does the exact rank
     of each approximate quantile lie within 1 % of it, the distinct count within 6 %?"""
@@ -650,6 +667,7 @@ def QUERIES() -> dict:
     return {
         "mutual_information_knn": q_mutual_information_knn,
         "sketch_quantiles": q_sketch_quantiles,
+        "split_gains": q_split_gains,
         "report_status": q_report_status,
         "stream_ranks": q_stream_ranks,
         "stream_closed_windows": q_stream_closed_windows,
