@@ -21,13 +21,19 @@ passages of one mark, its family, hold every repeat of their windows.
    bytes and come from several documents is a repeat, and its windows in all
    but the smallest document go.
 
+A family of more than ``FAMILY`` different passages (a template line filled with
+names) is dealt out once more: each window holds one of three 40-byte strings
+around the mark, so a passage goes to the groups of its three strings, where
+all passages are that can share a window with it, and its windows to go are
+those found in any of them.
+
 Scale: a frequent passage is one row per block, not per document, wherever it
 goes. Texts are stored once, compressed and bucketed by block, so that the
 three passes over them (passages, shards, removal) read them in place and
 only figures move: sixteen bytes per passage (one per 16 bytes of text)
 without equal passages of a block, then the ids of passages with a decision.
-Families are merged in batches of bounded size; a family itself is as large
-as its number of different contexts of one 20-byte string.
+Families are merged in batches of bounded size; a large one is dealt out by
+40-byte strings, and then as large as the different contexts of one of those.
 
 Cases: NULL and empty texts have no bytes; a document under 50 bytes loses
 none; a NULL doc_id neither removes nor loses; rows that share a doc_id do
@@ -61,6 +67,9 @@ BLOCK_DOCS = 60_000  # document numbers in a block fit 16 bits
 SEGMENT = 1 << 16
 BATCH_BYTES = 1 << 18  # merged at once, unless one family is larger; the arrays then stay in a processor's cache
 SHARDS = 8
+BACKS = (20, 10, 0)  # the strings of AROUND bytes that decide a passage's windows start so many bytes before its mark
+AROUND = 40
+FAMILY = 4096  # different passages of one mark that are compared together
 
 _BYTE = np.random.default_rng(50).integers(0, 1 << 64, 256, np.uint64)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -215,8 +224,15 @@ def _seen(n: int):
     return run
 
 
-def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket of marks, per block: contents that go whole, and contents whose bytes are to be compared."""
+def _decided(most: int):
+    """Of a bucket of marks, per block: contents that go whole, and contents whose bytes are to be compared (``ask``;
+    ``split`` where their family has more than ``most`` passages)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _decisions(batches, most)
+    return run
+
+
+def _decisions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     blocks, marks, content, docs, source = [], [], [], [], []
     for b in batches:
         for r in b.to_pylist():
@@ -245,7 +261,8 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mixed = np.minimum.reduceat(least, lead) != np.maximum.reduceat(least, lead)  # different passages, several documents
     whole = d > least[group]
     ask = ~whole & mixed[family][group]
-    for what, rows in (("whole", np.flatnonzero(whole)), ("ask", np.flatnonzero(ask))):
+    large = (np.diff(np.append(lead, len(family))) > most)[family][group]
+    for what, rows in (("whole", np.flatnonzero(whole)), ("ask", np.flatnonzero(ask & ~large)), ("split", np.flatnonzero(ask & large))):
         rows = rows[np.argsort(s[rows], kind="stable")]
         cuts = np.searchsorted(s[rows], np.arange(len(blocks) + 1))
         out = {"block": [], "what": [], "data": []}
@@ -260,24 +277,41 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SHARD = "bucket int, block long, marks binary, contents binary, docs binary, sizes binary, offsets binary, data binary"
 
 
+def _dealt(x: Block, asked: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Passages of a block that are asked for and the key by which each is dealt: its mark, or, of large families,
+    the hash of each of its strings around the mark."""
+    def of(what: str) -> np.ndarray:
+        parts = [np.frombuffer(d, np.uint64) for d in asked["data"][asked["what"] == what]]
+        return x.pick[x.places(np.unique(np.concatenate(parts)))] if parts else np.empty(0, np.int64)
+    picks, large = [of("ask")], of("split")
+    keys = [x.mark[picks[0]]]
+    view = memoryview(x.data)
+    for back in BACKS:
+        low = x.place[large] - back
+        fits = (low >= x.low[large]) & (low + AROUND <= x.high[large] + LENGTH)
+        picks.append(large[fits])
+        keys.append(np.fromiter((xxhash.xxh3_64_intdigest(view[a:a + AROUND], back) for a in low[fits].tolist()), np.uint64, int(fits.sum())))
+    return np.concatenate(picks), np.concatenate(keys)
+
+
 def _shards(n: int):
-    """A block and the contents asked of it -> their bytes, per bucket of marks."""
+    """A block and the contents asked of it -> their bytes, per bucket of marks, or of the strings around the mark."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = [c.split()[0] for c in SHARD.split(", ")]
         if not len(left) or not len(right):
             return pd.DataFrame([], columns=columns)
         x = Block(left.to_dict("records")[0])
-        asked = np.unique(np.concatenate([np.frombuffer(d, np.uint64) for d in right["data"]]))
-        pick = x.pick[x.places(asked)]
-        bucket = (x.mark[pick] % np.uint64(n)).astype(np.int64)
-        pick = pick[np.argsort(bucket, kind="stable")]
-        cuts = np.searchsorted(np.sort(bucket), np.arange(n + 1))
+        pick, key = _dealt(x, right)
+        bucket = (key % np.uint64(n)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        pick, key = pick[order], key[order]
+        cuts = np.searchsorted(bucket[order], np.arange(n + 1))
         out = []
         for k in range(n):
             p = pick[cuts[k]:cuts[k + 1]]
             if len(p):
                 joined = b"".join(x.data[a:b].tobytes() for a, b in zip(x.low[p].tolist(), (x.high[p] + LENGTH).tolist(), strict=True))
-                out.append((k, left["block"].iloc[0], (x.mark[p] & np.uint64(0xFFFFFFFFFFFF)).tobytes(), x.content[p].tobytes(),
+                out.append((k, left["block"].iloc[0], (key[cuts[k]:cuts[k + 1]] & np.uint64(0xFFFFFFFFFFFF)).tobytes(), x.content[p].tobytes(),
                             x.doc[p].tobytes(), (x.high[p] - x.low[p] + LENGTH).astype(np.int64).tobytes(),
                             (x.place[p] - x.low[p]).astype(np.int64).tobytes(), zstandard.compress(joined, 1)))
         return pd.DataFrame(out, columns=columns)
@@ -320,9 +354,9 @@ def may_repeat(data: np.ndarray, sizes: np.ndarray, offset: np.ndarray, family:
     h8 = _join(h4[:-4], h4[4:])
     h16 = _join(h8[:-8], h8[8:])
     out = np.zeros(len(sizes), bool)
-    for back in (20, 10, 0):
+    for back in BACKS:
         low = offset - back
-        rows = np.flatnonzero((low >= 0) & (low + 40 <= sizes))
+        rows = np.flatnonzero((low >= 0) & (low + AROUND <= sizes))
         at = (start + low)[rows]
         h = _join(_join(h16[at], h16[at + 16]), h8[at + 32])
         order = np.lexsort((doc[rows], h, family[rows]))
@@ -391,7 +425,7 @@ def gone_windows(x: Block, whole: np.ndarray, part: np.ndarray, bits: np.ndarray
     np.add.at(gone, x.high[go] + 1, -1)
     if len(part):
         of = np.zeros(len(x.pick), np.uint64)
-        of[x.places(part)] = bits
+        np.bitwise_or.at(of, x.places(part), bits)  # a passage of a large family is decided in up to three groups
         rows = np.flatnonzero(~go & (of[x.group] > 0))
         mask = of[x.group[rows]]
         for j in range(MARKS):
@@ -437,7 +471,7 @@ def _removed(carry: list[str], with_text: bool, names: list[str]):
 
 
 def suffix_dedup(docs: DataFrame, carry: list[str] | None = None, with_text: bool = False,
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 block_bytes: int = BLOCK_BYTES, family: int = FAMILY) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_text`` also kept_text (a
     character that is cut in two is left out), and every column of ``carry`` as ``x_<name>``."""
     spark: SparkSession = docs.sparkSession
@@ -449,8 +483,8 @@ def suffix_dedup(docs: DataFrame, carry: list[str] | None = None, with_text: boo
     blocks = spark.table(table)
     slim = blocks.drop("extra")
     seen = slim.mapInArrow(_seen(n), "bucket int, block long, ids binary, data binary")
-    decided = stored(seen.repartitionById(n, "bucket").mapInArrow(_decided, "block long, what string, data binary"), "suffix-decided")
-    ask = decided.where("what = 'ask'")
+    decided = stored(seen.repartitionById(n, "bucket").mapInArrow(_decided(family), "block long, what string, data binary"), "suffix-decided")
+    ask = decided.where("what <> 'whole'")
     sent = slim.groupBy("block").cogroup(ask.groupBy("block")).applyInPandas(_shards(n), SHARD)
     parts = stored(sent.repartitionById(n, "bucket").mapInArrow(_merged, "block long, what string, data binary"), "suffix-merged")
     decisions = decided.where("what = 'whole'").unionByName(parts)

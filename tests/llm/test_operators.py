@@ -280,6 +280,41 @@ def test_suffix_matches_brute_force(spark, odd):
     assert suffix_rows(odd, block_bytes=2000) == brute_suffix([(r.doc_id, r.text) for r in odd.collect()])
 
 
+def test_suffix_large_families(spark):
+    """One string of 20 bytes with other surroundings in a third of the texts; some surroundings repeat in part."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    hot = "Signed on behalf of:"
+    heads, tails = [word(45) for _ in range(6)], [word(45) for _ in range(6)]
+    rows = []
+    for i in range(240):
+        text = word(rng.randrange(60, 120))
+        if i % 3 == 0:
+            text = word(30) + rng.choice([*heads, word(45)]) + hot + rng.choice([*tails, word(45)]) + word(30)
+        rows.append((rng.randrange(200), text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_suffix(rows)
+    assert sum(r[2] > 0 for r in want) > 20
+    for family in (1, 8, suffix_dedup.FAMILY):
+        assert suffix_rows(df, block_bytes=2000, family=family) == want
+
+
+def test_large_families_leave_their_mark(spark):
+    """A large family's passages are dealt by the strings around the mark, others by the mark."""
+    import pandas as pd
+    import zstandard
+    texts = [f"{i:040d}".encode() + b"Signed on behalf of:" + f"{i:040d}".encode() for i in range(50)]
+    row = {"data": zstandard.compress(b"".join(texts)), "sizes": np.array([len(t) for t in texts], np.int64).tobytes(),
+           "ids": np.arange(50, dtype=np.int64).tobytes(), "known": np.ones(50, bool).tobytes()}
+    x = suffix_dedup.Block(row)
+    asked = lambda what: pd.DataFrame({"what": [what], "data": [np.sort(x.content).tobytes()]})
+    pick, key = suffix_dedup._dealt(x, asked("ask"))
+    assert len(pick) == len(x.pick) and (key == x.mark[pick]).all()
+    pick, key = suffix_dedup._dealt(x, asked("split"))
+    assert set(pick.tolist()) == set(x.pick.tolist()) and len(pick) <= 3 * len(x.pick)
+    assert len(np.unique(key)) > len(np.unique(x.mark))
+
+
 def test_suffix_carries_columns(spark, odd):
     got = suffix_dedup.suffix_dedup(odd, carry=["lang", "size"], with_text=True).collect()
     assert Counter((r.doc_id, r.x_lang, r.x_size) for r in got) == Counter((r.doc_id, r.lang, r["size"]) for r in odd.collect())
