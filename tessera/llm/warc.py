@@ -37,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored
+from .common import partitions, shared_folder, stored
 
+TASK_BYTES = 1 << 26  # archive bytes that a read task has on average, where that gives more tasks than the session's
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -97,13 +98,23 @@ def unpack(member: bytes) -> dict:
             "payload": payload if kind == "response" else None}
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI of the file system on which Spark resolves it, whether it names one or not."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.makeQualified(path).toString()
+
+
 def _open(folder: str):
+    """File system and path of a URI; ``file:/x`` and ``file:///x`` are one."""
     from pyarrow import fs
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
 
 
 def write_warc(decided: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Archives of the rows of ``decide`` in ``folder``; returns their stored index."""
+    folder = qualified(decided.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, at = None, f"{uuid.uuid4().hex}.warc.gz", 0
         schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()),
@@ -135,7 +146,10 @@ def read_warc(index: DataFrame, folder: str, payloads: bool = True, gap: int = 1
     """The records of the selected ``index`` rows.
 
     Ranges closer than ``gap`` are read together, up to ``most`` bytes at once
-    (more only for a single record larger than that)."""
+    (more only for a single record larger than that). Stretches of ``most`` bytes
+    of a file are dealt to a number of tasks that the records' bytes set."""
+    folder = qualified(index.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                             ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -162,8 +176,9 @@ def read_warc(index: DataFrame, folder: str, payloads: bool = True, gap: int = 1
                 end = o + n
         if ranges:
             yield read()
-    stretch = F.shiftright("offset", 26)  # 64 MB of a file to a task
-    return (index.select("file", "offset", "length").repartition("file", stretch)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(partitions(index.sparkSession), -(-size // TASK_BYTES))
+    return (index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / most))
             .sortWithinPartitions("file", "offset").mapInArrow(run, RECORD))
 
 

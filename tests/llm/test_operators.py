@@ -236,6 +236,19 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(warc.write_warc(warc.decide(pages.limit(0)), shared_folder(spark, "warc-none")), folder).collect() == []
 
 
+def test_warc_read_tasks_and_folders(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 50) for i in range(200)], "page_id long, url string, html string")
+    plain = shared_folder(spark, "warc-tasks").removeprefix("file://").removeprefix("file:")
+    index = warc.write_warc(warc.decide(pages), plain)
+    assert warc.qualified(spark, plain) == warc.qualified(spark, f"file://{plain}") == f"file:{plain}"
+    got = warc.read_warc(index, f"file:{plain}", most=1000)
+    assert sorted(r.page_id for r in got.collect()) == list(range(200))
+    tasks = got.rdd.getNumPartitions()
+    monkeypatch.setattr(warc, "TASK_BYTES", 500)
+    size = sum(r["length"] for r in index.collect())
+    assert warc.read_warc(index, plain).rdd.getNumPartitions() == -(-size // 500) > tasks
+
+
 def test_warc_small_payloads_stay(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
     assert [r.top for r in warc.decide(pages, min_bytes=3).collect()] == [None, None]
