@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, stored
+from .common import components, partitions, salted_join, stored
 
 BITS = 64
 
@@ -192,8 +192,8 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, carry: lis
     grouped = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left") \
         .withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fp.join(known, "fp").select(
+    known = salted_join(grouped.select("fp", "root"), least, "root", "fp").select("fp", "component_id")
+    return salted_join(fp, known, "fp", "doc_id").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
         *(carry or []))
