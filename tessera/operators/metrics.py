@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from .ordering import prefix_sums, unpivot
+from ..session import ensure_checkpoint_dir
+from .ordering import join_small, prefix_sums, unpivot
 
 
 def predictions_long(wide: DataFrame, pred_cols: list, row_id: str = "row_id", label: str = "y",
@@ -39,10 +40,9 @@ def score_counts(long: DataFrame, groups=("model",)) -> DataFrame:
                                         (F.count(F.lit(1)) - F.sum("y")).cast("long").alias("neg"))
 
 
-def _cumulative(long: DataFrame, groups=("model",)) -> DataFrame:
-    """Distinct scores with tp/fp = positives/negatives scored >= p."""
-    sc = score_counts(long, groups)
-    cum = prefix_sums(sc, list(groups), "p", ["pos", "neg"], descending=True)
+def _cumulative(counts: DataFrame, groups=("model",)) -> DataFrame:
+    """Of ``score_counts``: tp/fp = positives/negatives scored >= p."""
+    cum = prefix_sums(counts, list(groups), "p", ["pos", "neg"], descending=True)
     return cum.withColumnsRenamed({"pos_cum": "tp", "neg_cum": "fp"})
 
 
@@ -50,7 +50,7 @@ def auc_table(long: DataFrame, groups=("model",)) -> DataFrame:
     """H1 + H2 per model (or any groups, e.g. model and fold for E6): AUROC
     with ties counted half (Mann-Whitney), and average precision in step
     form sum(delta recall * precision)."""
-    c = _cumulative(long, groups)
+    c = _cumulative(score_counts(long, groups), groups)
     g = c.groupBy(*groups).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / F.lit(2.0))).alias("__u"),
@@ -126,12 +126,18 @@ def threshold_sweep(long: DataFrame, percents=None) -> DataFrame:
     return r.select("model", F.col("t").alias("threshold"), "sensitivity", "specificity", "precision", "f1")
 
 
+def _stored_counts(long: DataFrame) -> DataFrame:
+    """``score_counts``, written once: the bucket bounds, the running sums and the totals read it."""
+    ensure_checkpoint_dir(long.sparkSession)
+    return score_counts(long).checkpoint()
+
+
 def roc_curve(long: DataFrame) -> DataFrame:
     """H7: (fpr, tpr) at every distinct threshold per model, plus the origin
     (threshold NULL). All thresholds are kept."""
-    c = _cumulative(long).alias("c")
-    tot = score_counts(long).groupBy("model").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    pts = c.join(F.broadcast(tot), "model").select(
+    counts = _stored_counts(long)
+    tot = counts.groupBy("model").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    pts = join_small(_cumulative(counts).alias("c"), tot, "model").select(
         "model", F.col("c.p").alias("threshold"),
         _ratio(F.col("fp").cast("double"), F.col("n_neg")).alias("fpr"),
         _ratio(F.col("tp").cast("double"), F.col("n_pos")).alias("tpr"))
@@ -143,9 +149,9 @@ def roc_curve(long: DataFrame) -> DataFrame:
 def pr_curve(long: DataFrame) -> DataFrame:
     """H8: (precision, recall) at every distinct threshold per model plus
     the final (precision 1, recall 0) point (threshold NULL)."""
-    c = _cumulative(long).alias("c")
-    tot = score_counts(long).groupBy("model").agg(F.sum("pos").alias("n_pos"))
-    pts = c.join(F.broadcast(tot), "model").select(
+    counts = _stored_counts(long)
+    tot = counts.groupBy("model").agg(F.sum("pos").alias("n_pos"))
+    pts = join_small(_cumulative(counts).alias("c"), tot, "model").select(
         "model", F.col("c.p").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         _ratio(F.col("tp").cast("double"), F.col("n_pos")).alias("recall"))

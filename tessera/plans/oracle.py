@@ -194,6 +194,15 @@ def SQL() -> dict:
         " (SELECT model, p, count(*) AS k FROM pl WHERE row_id % 2 = 0 GROUP BY ALL) b ON a.model = b.model"
         " GROUP BY a.model, a.p) c ON s.model = c.model AND s.p = c.p WHERE s.row_id % 2 = 1", "preds", extra=[f"pl AS ({long})"])
     q["stream_ranks"] = q["scoring_ranks"]
+    q["batch_csv"] = with_views(
+        "SELECT id, prediction, CASE WHEN id % 11 <> 0 THEN confidence END AS confidence, id % 11 = 0 AS failed FROM predlog", "predlog")
+    q["meta_dataset_csv"] = with_views(
+        "SELECT row_id, CAST(y AS TINYINT) AS label, CASE WHEN row_id % 17 <> 0 THEN m0 END AS m0,"
+        " CASE WHEN row_id % 19 <> 0 THEN m1 END AS m1, CASE WHEN row_id % 23 = 0 THEN 1.5e0 ELSE m2 END AS m2, m3, m4, m5 FROM preds", "preds")
+    q["base_prediction_sink"] = with_views(
+        "SELECT model, count(*) AS n, round(sum(p), 6) AS sum_p, CAST(sum(y) AS BIGINT) AS positive_class,"
+        " CAST(count(*) - sum(y) AS BIGINT) AS negative_class, 6 AS n_models FROM pl GROUP BY model", "preds",
+        extra=[f"pl AS ({long.replace('SELECT row_id', 'SELECT row_id, y')})"])
     cuts = lambda src: (
         "SELECT node, feature, bin, nl, n, h, sc(gl, hl) + sc(g - gl, h - hl) - sc(g, h) AS gain FROM (SELECT node, feature, bin,"
         " sum(g) OVER run AS gl, sum(h) OVER run AS hl, CAST(sum(n) OVER run AS BIGINT) AS nl, sum(g) OVER part AS g, sum(h) OVER part AS h,"

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import PREDICTION_LOG_CAP, PanelSpec
 from pyspark.sql import Window
@@ -564,6 +565,45 @@ def q_mutual_information_knn(spark, sf):
     return meta.mutual_information_knn(fx.preds(spark, sf), MODELS).select("feature", F.round("mi", 9).alias("mi"))
 
 
+def _folder(spark, name):
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def q_batch_csv(spark, sf):
+    """A2: the log as a CSV batch, every eleventh confidence no number: rows that do not parse are routed, not lost."""
+    from ..sources import io
+    log, path = fx.predlog(spark, sf), _folder(spark, "batch-csv")
+    log.select("id", "prediction", F.when(F.col("id") % 11 == 0, F.lit("n/a")).otherwise(F.col("confidence").cast("string")).alias("confidence")) \
+        .write.option("header", True).csv(path)
+    schema = StructType().add("id", "long").add("prediction", "double").add("confidence", "double")
+    rows = io.read_batch_csv(spark, path, schema)
+    return rows.select("id", "prediction", "confidence", F.col("_corrupt_record").isNotNull().alias("failed"))
+
+
+def q_meta_dataset_csv(spark, sf):
+    """A1 + A5 + B1 + B2: the meta dataset written as CSV with an exported row number, read back with its schema."""
+    from ..sources import io
+    path = _folder(spark, "meta-csv")
+    io.write_meta_dataset(fx.preds_dirty(spark, sf).select(F.col("row_id").alias("_c0"), "row_id", F.col("y").alias("label"), *MODELS), path, "csv")
+    schema = StructType().add("_c0", "long").add("row_id", "long").add("label", "integer")
+    for m in MODELS:
+        schema.add(m, "double")
+    return io.read_panel_csv(spark, path, schema)
+
+
+def q_base_prediction_sink(spark, sf):
+    """A4 + A6: predictions stored by model and read back with the metadata beside them."""
+    from ..sources import io
+    wide, path, about = fx.preds(spark, sf), _folder(spark, "base"), _folder(spark, "about")
+    io.write_base_predictions(metrics.predictions_long(wide, MODELS, ensemble=None), path)
+    io.write_metadata(spark, ["ensemble_mean"], MODELS, meta.target_distribution(wide), about)
+    m = io.read_metadata(spark, about).first()
+    stored = spark.read.parquet(path).where(F.col("saved_at").isNotNull())
+    return stored.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p"), 6).alias("sum_p")).select(
+        "model", "n", "sum_p", F.lit(m["positive_class"]).alias("positive_class"), F.lit(m["negative_class"]).alias("negative_class"),
+        F.lit(len(m["base_models"])).alias("n_models"))
+
+
 def q_split_gains(spark, sf):
     """F1 + F3: histograms of gradients and curvatures over the base predictions' tenths, at the share of positive
     rows: the gain of every cut of the root, and of the two nodes that its best cut makes."""
@@ -668,6 +708,9 @@ def QUERIES() -> dict:
         "mutual_information_knn": q_mutual_information_knn,
         "sketch_quantiles": q_sketch_quantiles,
         "split_gains": q_split_gains,
+        "batch_csv": q_batch_csv,
+        "meta_dataset_csv": q_meta_dataset_csv,
+        "base_prediction_sink": q_base_prediction_sink,
         "report_status": q_report_status,
         "stream_ranks": q_stream_ranks,
         "stream_closed_windows": q_stream_closed_windows,
