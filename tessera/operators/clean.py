@@ -14,7 +14,7 @@ from .. import config as C
 from ..config import PanelSpec, lookup_ci, present
 from ..functions import exprs as X
 from .ordering import exact_quantiles
-from .scan import PLACED, entity_scan
+from .scan import CUT, PLACED, entity_scan
 
 INDEX_COLUMNS = ["Unnamed: 0", "_c0"]
 
@@ -41,7 +41,7 @@ def downcast(df: DataFrame, small_ints=("Gender", "SepsisLabel", "label")) -> Da
 
 def feature_columns(df: DataFrame, spec: PanelSpec = PanelSpec()) -> list:
     """Every column not in the exclude set and not a key/label column."""
-    drop = set(spec.exclude) | {x.lower() for x in [spec.entity, spec.time, spec.tie, spec.label, *PLACED] if x}
+    drop = set(spec.exclude) | {x.lower() for x in [spec.entity, spec.time, spec.tie, spec.label, *PLACED, CUT] if x}
     return [c for c in df.columns if c.lower() not in drop]
 
 

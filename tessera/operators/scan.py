@@ -5,43 +5,76 @@ the rows of one entity in time order. A plain ``Window.partitionBy(entity)``
 sends a whole entity to one task; if one entity holds a third of the data,
 that task holds a third of the data.
 
-There is one plan for every size. ``place`` range-partitions the rows by
-(entity, order): sampled bounds cut by row position, whatever the time unit,
-so a hot entity lies in many partitions and small entities share one. The
-partition number is the row's segment. ``entity_scan`` runs the window per
-(entity, segment), summarises each segment (row count, max, min, last and
-first non-NULL value, last two values), scans the summaries per entity to get
-what flows in from earlier (or, for the backward fill, later) segments, and
-joins that carry back on (entity, segment). An entity has at most as many
-summaries as there are range partitions. The scanned rows are already
-hash-partitioned and sorted on (entity, segment) by the window, so the join
-moves only the summaries.
+There is one plan for every size. ``place`` counts rows per entity and cuts
+each entity that holds more than two shares (one share: all rows by the number
+of shuffle partitions) into segments of about a share, by bounds from a sample of
+its own rows in order. The segment is an expression of the row, so nothing is moved or
+written for it; all other entities are one segment. ``entity_scan`` runs the
+window per (entity, segment) after one exchange, summarises the segments of cut
+entities (row count, max, min, last and first non-NULL value, last two values),
+scans the summaries per entity to get what flows in from earlier (or, for the
+backward fill, later) segments, and joins that carry back on (entity, segment).
+Cut entities have together at most twice as many segments as there are shares;
+where no entity is cut, the optimizer removes summaries and join. The scanned
+rows are already hash-partitioned and sorted on (entity, segment) by the
+window, so the join moves only the summaries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-# What ``place`` adds: the entity without NULL, whether it was NULL, the segment.
-KEY, SEGMENT = ["__entity", "__no_entity"], "__seg"
+# What ``place`` adds: the entity without NULL, whether it was NULL, the segment, whether the entity is cut.
+KEY, SEGMENT, CUT = ["__entity", "__no_entity"], "__seg", "__cut"
 PLACED = [*KEY, SEGMENT]
+# Rows sampled per share to find bounds.
+PER_SHARE = 50
+
+
+def _keyed(df: DataFrame, entity: str) -> DataFrame:
+    return df.withColumns({KEY[0]: F.coalesce(F.col(entity), F.lit("0").cast(df.schema[entity].dataType)), KEY[1]: F.col(entity).isNull()})
+
+
+def _bounds(keyed: DataFrame, order: list, n: int) -> DataFrame | None:
+    """(KEY, __bounds): for each entity of more than two shares the first ``order`` values of its
+    segments but the first, in order; at most n rows with together at most 2 n bounds. None if there is no such entity."""
+    total = Observation()
+    most = (keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows")).observe(total, F.sum("rows").alias("rows"))
+            .orderBy(F.col("rows").desc(), *KEY).limit(n).collect())  # fewer than n / 2 entities can have over two shares
+    share = (total.get["rows"] or 0) / n if most else 0
+    hot = [r for r in most if r["rows"] > 2 * share]
+    if not hot:
+        return None
+    spark = keyed.sparkSession
+    key_type = keyed.select(*KEY).schema
+    entities = spark.createDataFrame([(r[KEY[0]], r[KEY[1]]) for r in hot], key_type)
+    theirs = keyed.select(*KEY, F.struct(*order).alias("at")).join(F.broadcast(entities), KEY, "left_semi")  # at most n / 2 rows
+    some = theirs.sample(min(1.0, PER_SHARE / max(share, 1.0)), seed=42)  # at most about PER_SHARE * n rows
+    w = Window.partitionBy(*KEY)
+    step = F.greatest(F.lit(1), F.floor(F.col("sampled") / F.ceil(F.col("sampled") / F.lit(min(PER_SHARE, max(share, 1.0))))))
+    cuts = (some.select("*", F.row_number().over(w.orderBy("at")).alias("nth"), F.count(F.lit(1)).over(w).alias("sampled"))
+            .where((F.col("nth") > 1) & ((F.col("nth") - 1) % step == 0))
+            .groupBy(*KEY).agg(F.array_sort(F.collect_set("at")).alias("__bounds")))
+    # read back once, so that every later pass sees the same bounds
+    return spark.createDataFrame(cuts.collect(), cuts.schema)
 
 
 def place(df: DataFrame, entity: str, order: list, parts: int | None = None) -> DataFrame:
-    """``df`` with each row's entity key and segment, written once to the shared checkpoint
-    folder: range bounds are sampled anew on every execution, and summaries
-    and rows must see the same segments. Several scans may share one placed
-    table. ``parts`` is the number of range partitions (default: the session's
-    shuffle partitions)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return df.repartitionByRange(n, entity, *order).withColumns({
-        KEY[0]: F.coalesce(F.col(entity), F.lit("0").cast(df.schema[entity].dataType)),
-        KEY[1]: F.col(entity).isNull(), SEGMENT: F.spark_partition_id()}).checkpoint()
+    """``df`` with each row's entity key and segment. ``df`` is counted per entity here, and the
+    rows of cut entities are sampled; the bounds are fixed values of the plan, so summaries and
+    rows see the same segments. Several scans may share one placed table. ``parts`` is the
+    number of shares (default: the session's shuffle partitions)."""
+    n = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    keyed = _keyed(df, entity)
+    bounds = _bounds(keyed, order, n)
+    if bounds is None:
+        return keyed.withColumns({SEGMENT: F.lit(0), CUT: F.lit(False)})
+    at = F.struct(*order)
+    seg = F.size(F.filter("__bounds", lambda b: b <= at))
+    return (keyed.join(F.broadcast(bounds), KEY, "left")  # at most n rows and 2 n bounds
+            .withColumns({SEGMENT: F.when(F.col("__bounds").isNull(), F.lit(0)).otherwise(seg), CUT: F.col("__bounds").isNotNull()})
+            .select(*keyed.columns, SEGMENT, CUT))
 
 
 OPS = ("ffill", "bfill", "lag1", "lag2", "cummax", "cummin")
@@ -86,9 +119,11 @@ def entity_scan(df: DataFrame, entity: str, order: list, cols: list,
             loc_cols.append(F.last(c, ignorenulls=True).over(run).alias(f"{c}__ff"))
         if "bfill" in ops:
             loc_cols.append(F.last(c, ignorenulls=True).over(run_desc).alias(f"{c}__bf"))
+    if with_count:
+        loc_cols.append(F.count(F.lit(1)).over(Window.partitionBy(*KEY, seg)).alias("__here"))
     loc = d.select("*", *loc_cols)
 
-    # --- segment summaries (same partitioning as `loc`: no new exchange) ---
+    # --- segment summaries of cut entities ---
     ordstruct = F.struct(*[F.col(c) for c in order])
     aggs = [F.count(F.lit(1)).alias("__cnt")]
     for c in cols:
@@ -104,14 +139,14 @@ def entity_scan(df: DataFrame, entity: str, order: list, cols: list,
         if "lag1" in ops or "lag2" in ops:
             aggs.append(F.max_by(F.struct(F.col(c).alias("v1"), F.col(f"{c}__l1").alias("v2")),
                                  ordstruct).alias(f"{c}__slast"))
-    summ = loc.groupBy(*KEY, seg).agg(*aggs)
+    summ = loc.where(CUT).groupBy(*KEY, seg).agg(*aggs)
 
     ws = Window.partitionBy(*KEY).orderBy(seg)
     prev = ws.rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*KEY).orderBy(F.col(seg).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = [F.coalesce(F.sum("__cnt").over(prev), F.lit(0)).alias("__off")]
+    carry_cols = [F.sum("__cnt").over(prev).alias("__off")]
     if with_count:
-        carry_cols.append(F.sum("__cnt").over(Window.partitionBy(*KEY)).alias("__n"))
+        carry_cols.append(F.sum("__cnt").over(Window.partitionBy(*KEY)).alias("__all"))
     for c in cols:
         if "cummax" in ops:
             carry_cols.append(F.max(f"{c}__smx").over(prev).alias(f"{c}__kmx"))
@@ -130,7 +165,9 @@ def entity_scan(df: DataFrame, entity: str, order: list, cols: list,
     carry = summ.select(*KEY, seg, *carry_cols)
 
     out = loc.join(carry, PLACED, "left")
-    out = out.withColumn("__idx", (F.col("__off") + F.col("__rn") - 1).cast("long"))
+    out = out.withColumn("__idx", (F.coalesce("__off", F.lit(0)) + F.col("__rn") - 1).cast("long"))
+    if with_count:
+        out = out.withColumn("__n", F.coalesce("__all", "__here"))
     rn = F.col("__rn")
     finals = {}
     for c in cols:
