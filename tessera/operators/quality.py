@@ -83,11 +83,12 @@ def input_checks(df: DataFrame, features: str = "features", steps: int | None =
     """J7-J9 per request row: shape (steps, widths), NULL, NaN and
     infinity flags, and min/max/mean/population std of the present values."""
     a = F.col(features)
-    raw = F.flatten(a)
-    has_null = F.exists(raw, lambda x: x.isNull())
-    flat = F.filter(raw, lambda x: x.isNotNull())
+    # the present values and their mean are columns of their own, so that each is taken once a row
+    df = df.withColumn("__raw", F.flatten(a)).withColumn("__flat", F.filter("__raw", lambda x: x.isNotNull()))
+    raw, flat = F.col("__raw"), F.col("__flat")
     n = F.size(flat).cast("double")
-    mean = F.aggregate(flat, F.lit(0.0), lambda acc, x: acc + x) / n
+    df = df.withColumn("__mean", F.aggregate(flat, F.lit(0.0), lambda acc, x: acc + x) / n)
+    has_null, mean = F.exists(raw, lambda x: x.isNull()), F.col("__mean")
     var = F.aggregate(flat, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / n
     w = width
     bad_width = F.exists(a, lambda r: F.size(r) != F.size(F.element_at(a, 1))) if w is None else \
@@ -104,7 +105,7 @@ def input_checks(df: DataFrame, features: str = "features", steps: int | None =
         has_inf.alias("has_inf"),
         F.array_min(flat).alias("value_min"), F.array_max(flat).alias("value_max"),
         mean.alias("value_mean"), F.sqrt(var).alias("value_std"),
-        (shape_ok & ~has_null & ~has_nan & ~has_inf).alias("is_valid"))
+        (shape_ok & ~has_null & ~has_nan & ~has_inf).alias("is_valid")).drop("__raw", "__flat", "__mean")
 
 
 def validation_report(df: DataFrame, spec: PanelSpec = PanelSpec(), required=None) -> DataFrame:

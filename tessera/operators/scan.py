@@ -22,7 +22,7 @@ window, so the join moves only the summaries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # What ``place`` adds: the entity without NULL, whether it was NULL, the segment, whether the entity is cut.
@@ -39,11 +39,8 @@ def _keyed(df: DataFrame, entity: str) -> DataFrame:
 def _bounds(keyed: DataFrame, order: list, n: int) -> DataFrame | None:
     """(KEY, __bounds): for each entity of more than two shares the first ``order`` values of its
     segments but the first, in order; at most n rows with together at most 2 n bounds. None if there is no such entity."""
-    total = Observation()
-    most = (keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows")).observe(total, F.sum("rows").alias("rows"))
-            .orderBy(F.col("rows").desc(), *KEY).limit(n).collect())  # fewer than n / 2 entities can have over two shares
-    share = (total.get["rows"] or 0) / n if most else 0
-    hot = [r for r in most if r["rows"] > 2 * share]
+    share = keyed.count() / n
+    hot = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > F.lit(2 * share)).collect()  # fewer than n / 2 rows
     if not hot:
         return None
     spark = keyed.sparkSession

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.config import PanelSpec
 from tessera.operators import clean, temporal
 from tessera.operators.ordering import ordinal_rank, prefix_sums, quantiles_by
-from tessera.operators.scan import OPS, SEGMENT, entity_scan, place
+from tessera.operators.scan import CUT, OPS, SEGMENT, entity_scan, place
 from tessera.sources import fixtures as fx
 
 from conftest import SF01
@@ -59,6 +59,13 @@ def test_hot_entity_is_split_into_segments(spark):
         assert _null_first(tuple(r) for r in got) == want
 
 
+def test_only_entities_of_over_two_shares_are_cut(spark):
+    even = spark.range(4000).selectExpr("id % 40 AS e", "id AS t", "double(id) AS v")
+    assert [tuple(r) for r in place(even, "e", ["t"], parts=8).select(SEGMENT, CUT).distinct().collect()] == [(0, False)]
+    tied = even.withColumn("t", F.lit(7)).withColumn("e", F.lit(1).cast("long"))  # all rows tie: no bound can cut them
+    assert place(tied, "e", ["t"], parts=8).select(SEGMENT).distinct().count() == 1
+
+
 def test_scan_of_an_empty_table_is_empty(spark):
     df = spark.createDataFrame([], "e long, t int, v double")
     assert entity_scan(df, "e", ["t"], ["v"]).count() == 0

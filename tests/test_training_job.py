@@ -4,7 +4,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
 from conftest import SF
-from tessera.operators import clean, sketches, splits, windows
+from tessera.operators import clean, sketches, splits, temporal, windows
 from tessera.plans import pipeline
 from tessera.sources import fixtures as fx
 from tessera.sources import io
@@ -55,6 +55,21 @@ def test_a_failing_report_leaves_the_others(spark, scratch):
     assert [r.name for r in io.write_status(spark, status, scratch).where("ok").collect()] == ["a", "d"]
 
 
+def test_a_forest_scores_after_scans_and_reports(spark, scratch):
+    from pyspark.ml.classification import RandomForestClassifier
+    panel = fx.panel_hot(spark, SF)
+    assert io.write_reports_apart({"scan": temporal.temporal_features(panel)}, scratch)[0][1:3] == (True, panel.count())
+    rows = window_rows(panel)
+    model = RandomForestClassifier(numTrees=3, seed=1, featuresCol="features", labelCol="label").fit(rows)
+    assert model.transform(rows).where("prediction in (0.0, 1.0)").count() == rows.count()
+
+
+def window_rows(panel):
+    from pyspark.ml.functions import array_to_vector
+    return panel.select(array_to_vector(F.array(F.coalesce("hr", F.lit(0.0)), F.coalesce("temp", F.lit(0.0)))).alias("features"),
+                        F.col("label").cast("double").alias("label"))
+
+
 def test_sketches_stand_in_for_exact_statistics(spark):
     rng = np.random.default_rng(3)
     x, part = rng.normal(size=20_000), rng.integers(0, 9, 20_000)
