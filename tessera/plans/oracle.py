@@ -257,7 +257,7 @@ def SQL() -> dict:
     q["oof_coverage"] = (
         "SELECT vec_id AS row_id, model, CAST(1 AS BIGINT) AS n, CAST((row_number() OVER (PARTITION BY model, label <> 0 ORDER BY vec_id) - 1) % 3"
         " AS INT) AS fold, CAST(label <> 0 AS DOUBLE) AS label, true AS is_probability"
-        " FROM embeddings, (VALUES ('LogisticRegression'), ('XGBoost_Advanced')) AS t(model)")
+        " FROM embeddings, (VALUES ('LogisticRegression'), ('RandomForest'), ('CNN_Medical')) AS t(model)")
     q["importance_checks"] = "SELECT CAST(max(len(embedding)) AS BIGINT) AS n_features, true AS none_negative, true AS sum_is_one FROM embeddings"
     q["class_weights"] = (
         "SELECT vec_id AS row_id, CAST(label <> 0 AS INT) AS label, "

@@ -524,14 +524,18 @@ def q_class_weights(spark, sf):
     return w.select("row_id", F.col("label").cast("int").alias("label"), F.round("weight", 9).alias("weight"))
 
 
+def _whole_learners(n_features):
+    """The learners whose fits at the reference's full settings end in seconds: forest, logistic regression, neural model."""
+    from ..operators import learners
+    return {k: v for k, v in learners.base_learners(n_features).items() if k in ("RandomForest", "LogisticRegression", "CNN_Medical")}
+
+
 def q_oof_predictions(spark, sf):
-    """E5 + F5 + F1 (small): out-of-fold probabilities of a logistic
-    regression and a boosted-tree model over 3 stratified folds (rows-only)."""
+    """E5 + F4-F6: out-of-fold probabilities of the forest (300 trees), the logistic regression and the
+    neural model at full settings over 3 stratified folds (rows-only)."""
     from ..operators import learners
     d = splits.stratified_folds(_embedded(spark, sf), "label", "row_id", 3)
-    ests = {k: v for k, v in learners.base_learners(64, scale=0.02).items()
-            if k in ("LogisticRegression", "XGBoost_Advanced")}
-    return learners.out_of_fold(d, ests, "row_id", "fold", 3)
+    return learners.out_of_fold(d, _whole_learners(64), "row_id", "fold", 3, parallel=3)
 
 
 def q_oof_coverage(spark, sf):
@@ -543,20 +547,20 @@ def q_oof_coverage(spark, sf):
 
 
 def q_importance_checks(spark, sf):
-    """what must hold of a boosted-tree model's importances: one per
+    """what must hold of the whole forest's importances: one per
     feature, none negative, together 1."""
     from ..operators import learners
-    m = learners.base_learners(64, scale=0.02)["XGBoost_Advanced"].fit(learners.class_weights(_embedded(spark, sf), "label"))
+    m = _whole_learners(64)["RandomForest"].fit(learners.class_weights(_embedded(spark, sf), "label"))
     return learners.feature_importances(m).agg(
         F.countDistinct("feature").alias("n_features"), (F.min("importance") >= 0).alias("none_negative"),
         (F.abs(F.sum("importance") - 1) < 1e-9).alias("sum_is_one"))
 
 
 def q_top_importances(spark, sf):
-    """F10 + I23: top-20 feature importances of a boosted-tree model."""
+    """F10 + I23: top-20 feature importances of the forest at full settings."""
     from ..operators import learners
     d = learners.class_weights(_embedded(spark, sf), "label")
-    m = learners.base_learners(64, scale=0.02)["XGBoost_Advanced"].fit(d)
+    m = _whole_learners(64)["RandomForest"].fit(d)
     return reports.top_importances(learners.feature_importances(m), 20)
 
 
