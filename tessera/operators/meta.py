@@ -153,7 +153,7 @@ def mutual_information(df: DataFrame, features: list, label: str = "y", bins: in
                    [label], features, "feature", "value").filter(F.col("value").isNotNull())
     rng = long.groupBy("feature").agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
     width = (F.col("mx") - F.col("mn")) / F.lit(float(bins))
-    binned = long.join(F.broadcast(rng), "feature").select(
+    binned = join_small(long, rng, "feature", bound=len(features)).select(
         "feature", F.col(label).alias("y"),
         F.when(F.col("mx") == F.col("mn"), F.lit(0)).otherwise(
             F.least(F.floor((F.col("value") - F.col("mn")) / width), F.lit(bins - 1))).cast("int").alias("b"))

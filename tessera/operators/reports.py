@@ -110,7 +110,7 @@ def error_box_stats(long_one: DataFrame) -> DataFrame:
     q = quantiles_by(e, ["band"], "error", [0.25, 0.5, 0.75]).select(
         "band", F.col("q0").alias("lower_q"), F.col("q1").alias("median"), F.col("q2").alias("upper_q"))
     q = q.withColumnsRenamed({"lower_q": "q1", "upper_q": "q3"})
-    j = e.join(F.broadcast(q), "band")
+    j = join_small(e, q, "band", bound=3)  # three bands
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     inside = (F.col("error") >= lo) & (F.col("error") <= hi)
@@ -148,7 +148,7 @@ def high_error_histogram(long_one: DataFrame, pct: float = 0.9, bins: int = 20)
     their probabilities."""
     e = with_error(long_one)
     cut = quantiles_by(e.withColumn("__g", F.lit(0)), ["__g"], "error", [pct])
-    hi = e.withColumn("__g", F.lit(0)).join(F.broadcast(cut), "__g").filter(F.col("error") >= F.col("q0"))
+    hi = join_small(e.withColumn("__g", F.lit(0)), cut, "__g", bound=1).filter(F.col("error") >= F.col("q0"))
     return histogram(hi, "p", [], bins)
 
 
@@ -186,7 +186,7 @@ def high_uncertainty_cases(unc: DataFrame, pct: float = 0.75) -> DataFrame:
     """Rows whose std is strictly above its 75th percentile."""
     g = unc.withColumn("__g", F.lit(0))
     cut = quantiles_by(g, ["__g"], "std", [pct])
-    return (g.join(F.broadcast(cut), "__g").filter(F.col("std") > F.col("q0"))
+    return (join_small(g, cut, "__g", bound=1).filter(F.col("std") > F.col("q0"))
             .select("row_id", "y", "mean", "std"))
 
 
