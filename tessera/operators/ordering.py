@@ -29,6 +29,8 @@ helpers here give the same answers with work spread over all tasks:
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +49,11 @@ def _nparts(df: DataFrame, nparts: int | None) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def parts_for(spark, rows: int, per_task: int = 1_000_000) -> int:
+    """Partitions for ``rows`` rows: the session's number, more where a task would get over ``per_task`` rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, math.ceil(rows / per_task))
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                max_rows: int = BROADCAST_ROWS, bound: int | None = None) -> DataFrame:
     """Join a derived table whose size is bounded by construction, after
@@ -62,11 +69,13 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
 
 def ordinal_rank(df: DataFrame, group_cols: list, order_cols: list,
                  out: str = "rank", nparts: int | None = None,
-                 ngroups: int | None = None) -> DataFrame:
+                 ngroups: int | None = None, keep: list | None = None) -> DataFrame:
     """Add ``out``: 0-based position of each row inside ``group_cols`` when
     sorted by ``order_cols`` ascending (pass Columns with ``.desc()`` for
     descending). ``order_cols`` must make rows unique inside a group, or
-    ties come out in an arbitrary but repeatable order."""
+    ties come out in an arbitrary but repeatable order. With ``keep`` only those
+    columns and the groups are stored and returned, as Parquet files, which
+    take a fraction of a checkpoint's bytes."""
     n = _nparts(df, nparts)
     keys = [F.col(c) if isinstance(c, str) else c for c in list(group_cols) + list(order_cols)]
     ranged = (df.repartitionByRange(n, *keys)
@@ -80,8 +89,14 @@ def ordinal_rank(df: DataFrame, group_cols: list, order_cols: list,
     # checkpoint folder (reliable: survives executor loss) and both branches
     # read that copy.
     from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = ranged.checkpoint(eager=True)
+    folder = ensure_checkpoint_dir(df.sparkSession)
+    if keep is None:
+        ranged = ranged.checkpoint(eager=True)
+    else:
+        ranged = ranged.select(*dict.fromkeys([*group_cols, *keep]), "__pid", "__loc")
+        path = f"{folder.rstrip('/')}/tessera-rank-{uuid.uuid4().hex}"
+        ranged.write.parquet(path)
+        ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
     stats = ranged.groupBy("__pid", *group_cols).agg(
         F.count(F.lit(1)).alias("__cnt"), F.min("__loc").alias("__first"))
     w = Window.partitionBy(*group_cols).orderBy("__pid") if group_cols else Window.orderBy("__pid")
@@ -186,6 +201,45 @@ def quantiles_by(long: DataFrame, group_cols: list, value: str, probs: list,
     return picks.select(*group_cols, *out)
 
 
+def narrowed_quantiles(long: DataFrame, group: str, value: str, probs: list, bounds: DataFrame) -> DataFrame:
+    """``quantiles_by`` where a guess is known: ``bounds`` has one row per group with ``n`` (its
+    non-NULL values) and, for each quantile, ``low{i}`` and ``high{i}`` between which it should lie.
+
+    Values below ``low{i}`` are only counted; the values inside are counted one by one, so few rows
+    are shuffled. The counts tell whether both neighbouring ranks were inside; the quantiles of a
+    group where one was not come from ``quantiles_by``, so the result is exact whatever the guess."""
+    v, some = F.col(value).cast("double"), range(len(probs))
+    inside = lambda c, i: (c >= F.col(f"low{i}")) & (c <= F.col(f"high{i}"))
+    key = reduce(lambda w, i: w.when(inside(v, i), v), some[1:], F.when(inside(v, 0), v))
+    below = [F.sum(F.when(v < F.col(f"low{i}"), 1).otherwise(0)).alias(f"b{i}") for i in some]
+    few = long.where(v.isNotNull()).join(F.broadcast(bounds), group).groupBy(group, key.alias("v")) \
+        .agg(F.count(F.lit(1)).alias("c"), *below).join(F.broadcast(bounds), group)
+    own = lambda i: F.coalesce(inside(F.col("v"), i), F.lit(False))
+    counted = few.select(group, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(own(i), F.col("v")).alias("v"), F.when(own(i), F.col("c")).otherwise(F.col(f"b{i}")).alias("c"))
+        for i in some])).alias("x")).groupBy(group, "x.i", "x.v").agg(F.sum("x.c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(group, "i").orderBy(F.col("v").asc_nulls_first()))
+    pos = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1) * (F.col("n") - 1).cast("double")
+    cum = counted.withColumn("upto", upto).join(F.broadcast(bounds.select(group, "n")), group) \
+        .where("v is not null").withColumn("pos", pos)
+    at = lambda f: F.max(F.when((f("pos").cast("long") < F.col("upto"))
+                                & (f("pos").cast("long") >= F.col("upto") - F.col("c")), F.col("v")))
+    found = cum.groupBy(group, "i", "pos").agg(at(F.floor).alias("low"), at(F.ceil).alias("high"))
+    share = F.col("pos") - F.floor("pos")
+    # n groups x quantiles numbers
+    got = {(r[0], r[1]): r[2] for r in found.where("low is not null and high is not null").select(
+        group, "i", F.col("low") * (F.lit(1.0) - share) + F.col("high") * share).collect()}
+    groups = [r[0] for r in bounds.where("n > 0").select(group).collect()]
+    missed = [g for g in groups if any((g, i) not in got for i in range(len(probs)))]
+    names = [f"q{i}" for i in range(len(probs))]
+    out = long.sparkSession.createDataFrame(
+        [(g, *[got[g, i] for i in range(len(probs))]) for g in groups if g not in missed],
+        f"{group} {dict(long.dtypes)[group]}, " + ", ".join(f"{q} double" for q in names))
+    if missed:
+        out = out.unionByName(quantiles_by(long.where(F.col(group).isin(missed)), [group], value, probs))
+    return out
+
+
 def exact_quantiles(df: DataFrame, cols: list, probs: list, nparts: int | None = None) -> DataFrame:
     """One row per column: ``feature`` plus ``q{i}`` = linear-interpolated
     quantile ``probs[i]`` over the column's non-NULL values; columns with no

@@ -10,6 +10,8 @@ kept (count 0).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -253,12 +255,25 @@ def top_importances(imp: DataFrame, n: int = 20) -> DataFrame:
 
 def top_contributions(long: DataFrame, key: str, name: str, value: str, k: int = 15) -> DataFrame:
     """Per ``key``, the ``k`` values with the largest |value| (ties by
-    name), their sign and the running total in that order (waterfall). The
-    ``rank <= k`` filter becomes a partial per-group limit before the
-    shuffle."""
+    name), their sign and the running total in that order (waterfall). Rank
+    and total come from one sort, and the ``rank <= k`` filter becomes a
+    partial per-group limit before the shuffle."""
     w = Window.partitionBy(key).orderBy(F.abs(F.col(value)).desc(), F.col(name))
-    t = long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    wr = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    t = long.withColumns({
+        "rank": F.row_number().over(w),
+        "running_total": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))}).filter(F.col("rank") <= k)
     return t.select(key, "rank", name, value,
-                    F.when(F.col(value) < 0, "negative").otherwise("positive").alias("sign"),
-                    F.sum(value).over(wr).alias("running_total"))
+                    F.when(F.col(value) < 0, "negative").otherwise("positive").alias("sign"), "running_total")
+
+
+def row_top(df: DataFrame, key: str, cols: list, name: str, value: str, k: int = 15) -> DataFrame:
+    """Wide -> long (key, name, value) with those columns of each row that are among its first
+    ``k`` by |value| (NaN first, NULL last) or tie with the last of them. What ``top_contributions``
+    ranks of these is what it ranks of all columns, also where rows share a key, and a row's other
+    columns never become rows that are sorted."""
+    v = lambda c: F.col(c).cast("double")
+    # ascending: NaN before all, NULL (as NaN, the greatest double) behind all
+    size = lambda c: F.when(F.isnan(v(c)), F.lit(-math.inf)).otherwise(F.coalesce(-F.abs(v(c)), F.lit(math.nan)))
+    cut = df.withColumn("__cut", F.sort_array(F.array(*[size(c) for c in cols]))[min(k, len(cols)) - 1])
+    first = F.array_compact(F.array(*[F.when(size(c) <= F.col("__cut"), F.struct(F.lit(c).alias("c"), v(c).alias("v"))) for c in cols]))
+    return cut.select(key, F.explode(first).alias("__t")).select(key, F.col("__t.c").alias(name), F.col("__t.v").alias(value))

@@ -316,8 +316,7 @@ def q_top_contributions(spark, sf):
     totals (waterfall)."""
     m = _meta(spark, sf)
     names = meta.meta_column_names(MODELS)
-    lg = m.select("row_id", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(
-        ["row_id"], names, "feature", "value")
+    lg = reports.row_top(m, "row_id", names, "feature", "value", 15)
     return reports.top_contributions(lg, "row_id", "feature", "value", 15)
 
 
