@@ -189,8 +189,9 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, carry: lis
     fp = stored(fingerprints(docs, shingle, carry), "simhash-fp")
     classes = fp.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     comp = components(links(classes.select("fp"), radius), "simhash")
-    grouped = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left") \
-        .withColumn("root", F.coalesce("root", "fp"))
+    # written once: two joins read it, and each would run the whole chain of rounds
+    grouped = stored(classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
+                     .withColumn("root", F.coalesce("root", "fp")), "simhash-classes")
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = salted_join(grouped.select("fp", "root"), least, "root", "fp").select("fp", "component_id")
     return salted_join(fp, known, "fp", "doc_id").select(

@@ -504,3 +504,9 @@ def test_pages_odd(spark):
     got = Counter((r.page_id, r.text) for r in html_text.extract(df).collect())
     assert got == Counter([(1, ""), (2, ""), (None, "a\nb"), (3, "plain text"), (3, "plain text"), (4, ""), (5, ("long " * 50000).strip())])
     assert html_text.extract(df.limit(0)).collect() == []
+
+
+def test_simhash_runs_its_rounds_once(spark, odd):
+    """The two joins behind the components read stored classes, not the chain of rounds."""
+    plan = simhash.simhash_dedup(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2
