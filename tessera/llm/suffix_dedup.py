@@ -25,7 +25,10 @@ A family of more than ``FAMILY`` different passages (a template line filled with
 names) is dealt out once more: each window holds one of three 40-byte strings
 around the mark, so a passage goes to the groups of its three strings, where
 all passages are that can share a window with it, and its windows to go are
-those found in any of them.
+those found in any of them. Strings around a line that a share of all documents holds
+are as frequent as its mark, so a family of more than ``SPLIT`` times ``FAMILY`` passages is
+dealt out by its windows, each by itself: equal windows of a block are one row of
+the smallest doc_id, as equal passages are, and all but the smallest document's go.
 
 Scale: a frequent passage is one row per block, not per document, wherever it
 goes. Texts are stored once, compressed and bucketed by block, so that the
@@ -33,7 +36,8 @@ three passes over them (passages, shards, removal) read them in place and
 only figures move: sixteen bytes per passage (one per 16 bytes of text)
 without equal passages of a block, then the ids of passages with a decision.
 Families are merged in batches of bounded size; a large one is dealt out by
-40-byte strings, and then as large as the different contexts of one of those.
+40-byte strings or by windows, so that no merge grows with the table, and a
+window is one row per block, however many texts hold it.
 
 Cases: NULL and empty texts have no bytes; a document under 50 bytes loses
 none; a NULL doc_id neither removes nor loses; rows that share a doc_id do
@@ -70,6 +74,7 @@ SHARDS = 8
 BACKS = (20, 10, 0)  # the strings of AROUND bytes that decide a passage's windows start so many bytes before its mark
 AROUND = 40
 FAMILY = 4096  # different passages of one mark that are compared together
+SPLIT = 2  # times as many are dealt out by the strings around the mark, more by their windows
 
 _BYTE = np.random.default_rng(50).integers(0, 1 << 64, 256, np.uint64)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -156,6 +161,29 @@ class Block:
         return np.searchsorted(self.content[self.pick], content)
 
 
+def each_window(x: Block, pick: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of passages of a block, window by window: the passage's place in ``pick``, the window's offset in it, its 64-bit
+    hash, and the smallest document of the passages with an equal window."""
+    count = x.high[pick] - x.low[pick] + 1
+    owner = np.repeat(np.arange(len(pick)), count)
+    offset = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+    at = x.low[pick][owner] + offset
+    window = contents(x.data, at, at)
+    return owner, offset, window, smallest(window, x.doc[pick][owner])
+
+
+def smallest(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of every row, the smallest document of the rows with its key."""
+    if not len(key):
+        return doc
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    least = np.empty_like(doc)
+    least[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(k))))
+    return least
+
+
 def block_rows(docs: DataFrame, carry: list[str], block_bytes: int) -> DataFrame:
     """Documents joined to blocks: block, data (compressed), sizes, ids, known, extra (carried columns as Arrow)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +254,7 @@ def _seen(n: int):
 
 def _decided(most: int):
     """Of a bucket of marks, per block: contents that go whole, and contents whose bytes are to be compared (``ask``;
-    ``split`` where their family has more than ``most`` passages)."""
+    ``split`` where their family has more than ``most`` passages, ``each`` where it has more than ``SPLIT`` times as many)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _decisions(batches, most)
     return run
@@ -261,8 +289,10 @@ def _decisions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Reco
     mixed = np.minimum.reduceat(least, lead) != np.maximum.reduceat(least, lead)  # different passages, several documents
     whole = d > least[group]
     ask = ~whole & mixed[family][group]
-    large = (np.diff(np.append(lead, len(family))) > most)[family][group]
-    for what, rows in (("whole", np.flatnonzero(whole)), ("ask", np.flatnonzero(ask & ~large)), ("split", np.flatnonzero(ask & large))):
+    size = np.diff(np.append(lead, len(family)))
+    large, huge = (size > most)[family][group], (size > SPLIT * most)[family][group]
+    for what, rows in (("whole", np.flatnonzero(whole)), ("ask", np.flatnonzero(ask & ~large)),
+                       ("split", np.flatnonzero(ask & large & ~huge)), ("each", np.flatnonzero(ask & huge))):
         rows = rows[np.argsort(s[rows], kind="stable")]
         cuts = np.searchsorted(s[rows], np.arange(len(blocks) + 1))
         out = {"block": [], "what": [], "data": []}
@@ -271,19 +301,23 @@ def _decisions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Reco
                 out["block"].append(block)
                 out["what"].append(what)
                 out["data"].append(c[rows[cuts[k]:cuts[k + 1]]].tobytes())
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.int64()), ("what", pa.string()), ("data", pa.binary())]))
+        yield pa.RecordBatch.from_pydict(out, DECISION)
 
 
+DECISION = pa.schema([("block", pa.int64()), ("what", pa.string()), ("data", pa.binary())])
 SHARD = "bucket int, block long, marks binary, contents binary, docs binary, sizes binary, offsets binary, data binary"
 
 
+def _picked(x: Block, asked: pd.DataFrame, what: str) -> np.ndarray:
+    """The passages of a block whose contents are named in rows of ``what``."""
+    parts = [np.frombuffer(d, np.uint64) for d in asked["data"][asked["what"] == what]]
+    return x.pick[x.places(np.unique(np.concatenate(parts)))] if parts else np.empty(0, np.int64)
+
+
 def _dealt(x: Block, asked: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Passages of a block that are asked for and the key by which each is dealt: its mark, or, of large families,
     the hash of each of its strings around the mark."""
-    def of(what: str) -> np.ndarray:
-        parts = [np.frombuffer(d, np.uint64) for d in asked["data"][asked["what"] == what]]
-        return x.pick[x.places(np.unique(np.concatenate(parts)))] if parts else np.empty(0, np.int64)
-    picks, large = [of("ask")], of("split")
+    picks, large = [_picked(x, asked, "ask")], _picked(x, asked, "split")
     keys = [x.mark[picks[0]]]
     view = memoryview(x.data)
     for back in BACKS:
@@ -295,7 +329,8 @@ def _dealt(x: Block, asked: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shards(n: int):
-    """A block and the contents asked of it -> their bytes, per bucket of marks, or of the strings around the mark."""
+    """A block and the contents asked of it -> their bytes, per bucket of marks, or of the strings around the mark;
+    of ``each`` only marks and docs: their windows' hashes and smallest documents, per bucket of windows."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = [c.split()[0] for c in SHARD.split(", ")]
         if not len(left) or not len(right):
@@ -314,6 +349,14 @@ def _shards(n: int):
                 out.append((k, left["block"].iloc[0], (key[cuts[k]:cuts[k + 1]] & np.uint64(0xFFFFFFFFFFFF)).tobytes(), x.content[p].tobytes(),
                             x.doc[p].tobytes(), (x.high[p] - x.low[p] + LENGTH).astype(np.int64).tobytes(),
                             (x.place[p] - x.low[p]).astype(np.int64).tobytes(), zstandard.compress(joined, 1)))
+        _, _, window, least = each_window(x, _picked(x, right, "each"))
+        window, first = np.unique(window, return_index=True)
+        least, bucket = least[first], (window % np.uint64(n)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+        for k in np.unique(bucket).tolist():
+            o = order[cuts[k]:cuts[k + 1]]
+            out.append((k, left["block"].iloc[0], window[o].tobytes(), b"", zstandard.compress(least[o].tobytes(), 1), b"", b"", b""))
         return pd.DataFrame(out, columns=columns)
     return run
 
@@ -347,20 +390,28 @@ def may_repeat(data: np.ndarray, sizes: np.ndarray, offset: np.ndarray, family:
     A window that starts 20 or more bytes before the mark holds the 20 bytes before and the mark, one that starts 10 to
     19 before holds 10 before and 10 after it, and one that starts later holds the 20 after it: 40 bytes at a known
     distance from the mark. A passage none of whose three such strings another document's shares has no repeat."""
-    start = np.cumsum(sizes) - sizes
-    h1 = _BYTE[data]
-    h2 = _join(h1[:-1], h1[1:])
-    h4 = _join(h2[:-2], h2[2:])
-    h8 = _join(h4[:-4], h4[4:])
-    h16 = _join(h8[:-8], h8[8:])
+    ends = np.cumsum(sizes)
+    start = ends - sizes
+    fits = [(offset >= back) & (offset - back + AROUND <= sizes) for back in BACKS]
+    around = np.zeros((len(BACKS), len(sizes)), np.uint64)
+    at = 0
+    while at < len(sizes):  # a batch of bytes has hashes of forty times its size
+        upto = max(at + 1, int(np.searchsorted(ends, start[at] + BATCH_BYTES, "right")))
+        h1 = _BYTE[data[start[at]:ends[upto - 1]]]
+        h2 = _join(h1[:-1], h1[1:])
+        h4 = _join(h2[:-2], h2[2:])
+        h8 = _join(h4[:-4], h4[4:])
+        h16 = _join(h8[:-8], h8[8:])
+        for h, fit, back in zip(around, fits, BACKS, strict=True):
+            rows = at + np.flatnonzero(fit[at:upto])
+            low = (start + offset)[rows] - back - start[at]
+            h[rows] = _join(_join(h16[low], h16[low + 16]), h8[low + 32])
+        at = upto
     out = np.zeros(len(sizes), bool)
-    for back in BACKS:
-        low = offset - back
-        rows = np.flatnonzero((low >= 0) & (low + AROUND <= sizes))
-        at = (start + low)[rows]
-        h = _join(_join(h16[at], h16[at + 16]), h8[at + 32])
-        order = np.lexsort((doc[rows], h, family[rows]))
-        f, h, d = family[rows][order], h[order], doc[rows][order]
+    for h, fit in zip(around, fits, strict=True):
+        rows = np.flatnonzero(fit)
+        order = np.lexsort((doc[rows], h[rows], family[rows]))
+        f, h, d = family[rows][order], h[rows][order], doc[rows][order]
         first = np.flatnonzero(np.concatenate(([True], (f[1:] != f[:-1]) | (h[1:] != h[:-1])))) if len(rows) else rows
         if len(first):
             several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
@@ -368,11 +419,24 @@ def may_repeat(data: np.ndarray, sizes: np.ndarray, offset: np.ndarray, family:
     return out
 
 
+def _known(windows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Blocks' windows and their smallest documents -> per block: windows that another block has of a smaller document."""
+    doc = np.concatenate([d for _, _, d in windows])
+    gone = np.split(smallest(np.concatenate([w for _, w, _ in windows]), doc) < doc, np.cumsum([len(d) for _, _, d in windows])[:-1])
+    out = [(block, w[g].tobytes()) for (block, w, _), g in zip(windows, gone, strict=True) if g.any()]
+    return pa.RecordBatch.from_pydict({"block": [b for b, _ in out], "what": ["window"] * len(out), "data": [w for _, w in out]}, DECISION)
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards of a bucket of marks -> per block: contents and the windows of them that go, as bits."""
+    """Shards of a bucket of marks -> per block: contents and the windows of them that go, as bits; of a bucket of windows:
+    those that go."""
     block, mark, content, doc, size, offset, joined = [], [], [], [], [], [], []
+    windows: list[tuple[int, np.ndarray, np.ndarray]] = []
     for b in batches:
         for r in b.to_pylist():
+            if not r["sizes"]:
+                windows.append((r["block"], np.frombuffer(r["marks"], np.uint64), np.frombuffer(zstandard.decompress(r["docs"]), np.int64)))
+                continue
             sizes = np.frombuffer(r["sizes"], np.int64)
             joined.append(np.frombuffer(zstandard.decompress(r["data"]), np.uint8))
             size.append(sizes)
@@ -381,6 +445,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             content.append(np.frombuffer(r["contents"], np.uint64))
             doc.append(np.frombuffer(r["docs"], np.int64))
             block.append(np.full(len(sizes), r["block"], np.int64))
+    if windows:
+        yield _known(windows)
     if not block:
         return
     block, mark, content, doc, size, offset, joined = (np.concatenate(x) for x in (block, mark, content, doc, size, offset, joined))
@@ -408,7 +474,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hits.setdefault(int(block[p[k]]), []).append((p[k], bits[k]))
         out = {"block": list(hits), "what": ["part"] * len(hits),
                "data": [content[[i for i, _ in h]].tobytes() + np.array([x for _, x in h], np.uint64).tobytes() for h in hits.values()]}
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("block", pa.int64()), ("what", pa.string()), ("data", pa.binary())]))
+        yield pa.RecordBatch.from_pydict(out, DECISION)
         at = upto
 
 
@@ -435,6 +501,16 @@ def gone_windows(x: Block, whole: np.ndarray, part: np.ndarray, bits: np.ndarray
     return np.flatnonzero(np.cumsum(gone)[:-1] > 0)
 
 
+def _window_bits(x: Block, pick: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contents of the passages of ``pick`` and, as bits, their windows of which the block has one of a smaller document
+    or that are among ``gone``."""
+    owner, offset, window, least = each_window(x, pick)
+    hit = np.flatnonzero((least < x.doc[pick][owner]) | np.isin(window, gone))
+    bits = np.zeros(len(pick), np.uint64)
+    np.bitwise_or.at(bits, owner[hit], np.uint64(1) << offset[hit].astype(np.uint64))
+    return x.content[pick], bits
+
+
 def _removed(carry: list[str], with_text: bool, names: list[str]):
     """A block and the decisions for it -> a row per document."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -442,9 +518,10 @@ def _removed(carry: list[str], with_text: bool, names: list[str]):
             return pd.DataFrame([], columns=names)
         row = left.to_dict("records")[0]
         x = Block(row)
-        of = {w: [np.frombuffer(d, np.uint64) for d in right["data"][right["what"] == w]] for w in ("whole", "part")}
+        of = {w: [np.frombuffer(d, np.uint64) for d in right["data"][right["what"] == w]] for w in ("whole", "part", "window")}
         cat = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        window = gone_windows(x, cat(of["whole"]), cat([p[:len(p) // 2] for p in of["part"]]), cat([p[len(p) // 2:] for p in of["part"]]))
+        each, bits = _window_bits(x, _picked(x, right, "each"), cat(of["window"]))
+        window = gone_windows(x, cat(of["whole"]), cat([each, *(p[:len(p) // 2] for p in of["part"])]), cat([bits, *(p[len(p) // 2:] for p in of["part"])]))
         cover = np.zeros(len(x.data) + 1, np.int32)
         cover[:-1] += np.bincount(window, minlength=len(x.data)).astype(np.int32)[:len(x.data)] if len(window) else 0
         np.subtract.at(cover, window + LENGTH, 1)
@@ -487,7 +564,7 @@ def suffix_dedup(docs: DataFrame, carry: list[str] | None = None, with_text: boo
     ask = decided.where("what <> 'whole'")
     sent = slim.groupBy("block").cogroup(ask.groupBy("block")).applyInPandas(_shards(n), SHARD)
     parts = stored(sent.repartitionById(n, "bucket").mapInArrow(_merged, "block long, what string, data binary"), "suffix-merged")
-    decisions = decided.where("what = 'whole'").unionByName(parts)
+    decisions = decided.where("what IN ('whole', 'each')").unionByName(parts)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text + [f"x_{c}" for c in carry]
     kinds = dict(docs.dtypes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text \

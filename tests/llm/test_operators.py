@@ -328,6 +328,41 @@ def test_large_families_leave_their_mark(spark):
     assert len(np.unique(key)) > len(np.unique(x.mark))
 
 
+def test_common_line_stays_out_of_the_merge():
+    """The strings around the mark of a line that all texts hold are as frequent as the mark: its windows are dealt one by one."""
+    import pandas as pd
+    import pyarrow as pa
+    import zstandard
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90)).encode()
+    texts = [f"{i:045d}".encode() + line + f"{i // 2:045d}".encode() for i in range(400)]
+    blocks = []
+    for k in range(4):
+        part = texts[k::4]
+        blocks.append({"block": k, "data": zstandard.compress(b"".join(part)), "sizes": np.array([len(t) for t in part], np.int64).tobytes(),
+                       "ids": np.arange(k, 400, 4).astype(np.int64).tobytes(), "known": np.ones(100, bool).tobytes()})
+    batch = lambda rows, s: pa.RecordBatch.from_pylist(rows, s)
+    seen = [b for r in blocks for b in suffix_dedup._seen(1)(iter([pa.RecordBatch.from_pylist([r])]))]
+    decided = pd.concat([b.to_pandas() for b in suffix_dedup._decisions(iter(seen), 20)])
+    schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in suffix_dedup.SHARD.split(", "))])
+    shards = []
+    for r in blocks:
+        asked = decided[(decided["block"] == r["block"]) & (decided["what"] != "whole")]
+        shards += suffix_dedup._shards(1)(pd.DataFrame([r]), asked).to_dict("records")
+    keys = Counter(k for r in shards if r["sizes"] for k in np.frombuffer(r["marks"], np.uint64).tolist())
+    assert max(keys.values(), default=0) <= 20 * 2  # passages that are merged together
+    rows = Counter(w for r in shards if not r["sizes"] for w in np.frombuffer(r["marks"], np.uint64).tolist())
+    assert rows and max(rows.values()) <= len(blocks)  # a window is one row per block
+    parts = pd.concat([b.to_pandas() for b in suffix_dedup._merged(iter([batch(shards, schema)]))])
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = Counter()
+    for r in blocks:
+        mine = pd.concat([decided[decided["what"].isin(["whole", "each"])], parts])
+        frame = suffix_dedup._removed([], False, names)(pd.DataFrame([r]), mine[mine["block"] == r["block"]])
+        got.update(tuple(x) for x in frame.itertuples(index=False))
+    assert got == brute_suffix([(i, t.decode()) for i, t in enumerate(texts)])
+
+
 def test_suffix_carries_columns(spark, odd):
     got = suffix_dedup.suffix_dedup(odd, carry=["lang", "size"], with_text=True).collect()
     assert Counter((r.doc_id, r.x_lang, r.x_size) for r in got) == Counter((r.doc_id, r.lang, r["size"]) for r in odd.collect())
