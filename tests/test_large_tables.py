@@ -24,6 +24,35 @@ def test_forest_keeps_the_nodes_of_rows():
     assert L.base_learners(64)["RandomForest"].getCacheNodeIds()
 
 
+def test_large_forest_is_fitted_in_groups(spark, monkeypatch):
+    """Trees that would not fit in the driver together: groups of them score the held-out rows, and votes are added."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        x = rng.normal(size=3)
+        rows.append((None if i == 7 else i // 2, [float(v) for v in x], float(x[0] + 0.3 * rng.normal() > 0), i % 2))
+    df = spark.createDataFrame(rows, "row_id long, x array<double>, label double, fold int").withColumn("features", array_to_vector("x")).drop("x").coalesce(1)
+    est = RandomForestClassifier(numTrees=30, maxDepth=3, minInstancesPerNode=5, weightCol="weight", seed=42)
+    fits, fit = [], RandomForestClassifier.fit
+
+    def counted(self, *a):
+        model = fit(self, *a)
+        fits.append((self.getNumTrees(), model.totalNumNodes))
+        return model
+    monkeypatch.setattr(RandomForestClassifier, "fit", counted)
+    key = lambda d: sorted((r.row_id is None, r.row_id or 0, r.fold, r.label, r.p) for r in d.collect())
+    whole = key(L.out_of_fold(df, {"RandomForest": est}, k=2))
+    assert [t for t, _ in fits] == [30, 30] and all(n > 60 for _, n in fits)
+    fits.clear()
+    monkeypatch.setattr(L, "FOREST_NODES", 12, raising=False)
+    groups = key(L.out_of_fold(df, {"RandomForest": est}, k=2))
+    assert sum(t for t, _ in fits) == 60 and max(n for _, n in fits) <= 40 and len(fits) > 2 * 12
+    assert [r[:4] for r in groups] == [r[:4] for r in whole]
+    assert all(0 <= r[4] <= 1 for r in groups) and np.corrcoef([r[4] for r in groups], [r[4] for r in whole])[0, 1] > 0.9
+
+
 def test_partitions_grow_with_the_rows(spark, monkeypatch):
     assert parts_for(spark, 10) == 8 and parts_for(spark, 40_000_000) == 40
     monkeypatch.setattr(meta, "parts_for", lambda *a: 21)
