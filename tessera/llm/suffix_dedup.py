@@ -276,9 +276,16 @@ def _decisions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Reco
             blocks.append(r["block"])
     if not blocks:
         return
-    m, c, d, s = (np.concatenate(x) for x in (marks, content, docs, source))
-    order = np.lexsort((d, c, m))
-    m, c, d, s = m[order], c[order], d[order], s[order]
+    parts = [marks, content, docs, source]
+    del marks, content, docs, source, b, r  # a bucket's figures are held once
+    for k, x in enumerate(parts):
+        parts[k] = np.concatenate(x)
+    del x
+    order = np.lexsort((parts[2], parts[1], parts[0]))
+    for k in range(4):
+        parts[k] = parts[k][order]
+    m, c, d, s = parts
+    del order, parts
     new_mark = np.concatenate(([True], m[1:] != m[:-1]))
     new = new_mark | np.concatenate(([True], c[1:] != c[:-1]))
     first = np.flatnonzero(new)
